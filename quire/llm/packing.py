@@ -10,6 +10,8 @@ padding.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ class CachedTokenizer:
     cache is emptied at ``limit`` entries. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, limit: int = 700_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -41,7 +43,10 @@ class CachedTokenizer:
         self.find, self.limit, self.known = regex.compile(pattern).findall, limit, _Known(self)
 
     def one(self, piece: str) -> bytes:
-        return np.array(self.model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.model.encode(piece, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, text: str) -> bytes:
         if len(self.known) > self.limit:
@@ -61,6 +66,17 @@ class _Known(dict):
         return out
 
 
+_LOADED: dict[tuple[str, str], CachedTokenizer] = {}
+
+
+def tokenizer_of(path: str, pattern: str) -> CachedTokenizer:
+    """The tokenizer and its cache, once a worker process and not once a task."""
+    if (path, pattern) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, pattern] = CachedTokenizer(path, pattern)
+    return _LOADED[path, pattern]
+
+
 class SumOfSquares:
     """Packs pieces (doc_id, start, ids, doc_tokens) and hands out rows (doc_id, start, ids, doc_tokens, sequence, offset)."""
 
@@ -173,7 +189,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        model, packer = CachedTokenizer(tokenizer, pattern), SumOfSquares(capacity, part << 36, max_open)
+        model, packer = tokenizer_of(tokenizer, pattern), SumOfSquares(capacity, part << 36, max_open)
 
         def out() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
