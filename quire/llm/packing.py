@@ -9,7 +9,6 @@ padding.
 
 from __future__ import annotations
 
-import os
 import sys
 from array import array
 from collections.abc import Iterator
@@ -26,24 +25,29 @@ END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: a printable Latin-1 sign for itself, the others in order from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class CachedTokenizer:
-    """Ids of a tokenizers file as little-endian uint32 bytes; each distinct match of the split pattern is encoded once.
+    """Ids of a byte-level tokenizers file as little-endian uint32 bytes; each distinct match of its split pattern is encoded once.
 
-    The split pattern is the one that the byte-level file itself splits by, so the ids are those of whole texts. The
-    cache is emptied at ``limit`` entries. Special tokens' strings in a text are ordinary text.
+    Matches go straight to the file's model, so special tokens' strings in a text are ordinary text. The cache is emptied
+    at ``limit`` entries.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, pattern: str, limit: int = 1_200_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.tokenize, self.letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
         self.find, self.limit, self.known = regex.compile(pattern).findall, limit, _Known(self)
 
     def one(self, piece: str) -> bytes:
-        ids = array("I", self.model.encode(piece, add_special_tokens=False).ids)
+        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()

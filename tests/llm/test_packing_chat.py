@@ -147,3 +147,14 @@ def test_op4_adds_the_planted_conversation(spark):
     row = chat.op4_chat(spark, "/root/testdata/sf0.001").where("conv_id = -1").collect()[0]
     said = "<|im_end|><|im_start|>assistant ok"
     assert (row.n_turns, row.turns_sha256, row.loss_chars, row.loss_sha256) == slow_digest([("user", said), ("assistant", said)])
+
+
+def test_cached_ids_are_those_of_whole_texts():
+    rnd = random.Random(11)
+    model = Tokenizer.from_file(PATH)
+    model.encode_special_tokens = True
+    cached = packing.CachedTokenizer(PATH, P.PATTERN, limit=2000)
+    signs = [" ", " ", "  ", "\n", "\t", " \n", "\n ", " ", " ", "\x1f", "\x85", "a", "the", "über", "12", "!", "'s", "'", "🙂", "中", ",", "|", "x" * 70]
+    for _ in range(3000):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randrange(12)))
+        assert np.frombuffer(cached.ids(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
