@@ -102,7 +102,11 @@ def threshold_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: f
     c = _packed(vectors.where("id is not null").select("id", "v"), block, scale)
     q = _packed(queries.where("id is not null").select("id", "v").coalesce(8), query_block, scale)
     c, q = checkpoint(c.select("dim", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"))), checkpoint(q)
-    pairs = c.repartition(max(1, min(512, c.count()))).join(q, "dim")
+    slots = max(1, c.count())
+    c = c.withColumn("slot", F.pmod(F.xxhash64("c_ids"), F.lit(slots)))
+    q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("slot", F.col("slot").cast("long"))
+    tasks = min(slots, 10_000)
+    pairs = c.repartition(tasks, "dim", "slot").join(q.repartition(tasks, "dim", "slot"), ["dim", "slot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
