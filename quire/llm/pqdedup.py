@@ -1,9 +1,9 @@
 """Embedding near-duplicates by product quantisation.
 
 Coarse cells and, for residuals, subspace codes are fitted on a bounded sample; every vector is then indexed. Equal vectors
-of a label collapse first. A vector is listed under its nearest cell and asks every cell that a vector within the radius
-could be listed under (the half-space between the two cells' centres is at most the radius away), lower cells and its own
-only, since links are symmetric: the probes are sufficient for every link. In a list, asymmetric table look-ups give the
+of a label collapse first. A vector is listed under its nearest cell and asks its own cell and every other one whose border
+(the plane between the two centres) is at most half the radius away. Of two vectors within the radius in different cells
+one is that close to the border, so the probes are sufficient for every link. In a list, asymmetric table look-ups give the
 distance to each reconstructed vector; what lies within the radius plus that vector's own quantisation error is compared
 exactly, by cosine in double precision. Long lists are dealt out in blocks. A block answers with numbers of links and with
 a spanning forest, never with pairs.
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quire.llm.components import connected_components
 from quire.llm.runtime import checkpoint, map_arrow, table
@@ -75,45 +76,47 @@ class Codebook:
         return np.sqrt(np.maximum(out, 0))
 
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(own cell, rows x cells of those that vectors within the radius may be listed under)."""
+        """(own cell, rows x cells of those whose border is at most half the radius away, the own among them)."""
         d = self.distances(x)
         own = d.argmin(1)
         apart = np.sqrt(np.maximum(0, ((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)))
-        return own, d - d[np.arange(len(x)), own][:, None] <= 2 * (radius + 1e-6) * apart[own] + 1e-9
+        return own, d - d[np.arange(len(x)), own][:, None] <= (radius + 1e-6) * apart[own] + 1e-9
 
 
-def _usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, node, label, v): node names a label's distinct vector, null if the row links with nothing; v: doubles of length one."""
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length as doubles of length one."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
+def _usable(df: DataFrame, id_col: str, vector_col: str, label_col: str, kind: str) -> DataFrame:
+    """(id, node, label, v): node names a label's distinct vector, null if the row links with nothing; v: its components' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, x = matrix(b.column(1))
             labels, n = b.column(2).to_pylist(), b.num_rows
             node, vec = [None] * n, [None] * n
-            if len(at):
-                big = np.abs(x).max(axis=1)
-                x = x / np.where(big > 0, big, 1)[:, None]  # no overflow in the squares
-                size = np.sqrt((x**2).sum(1))
-                for i, row, s in zip(at, x, size, strict=True):
-                    if s > 0 and labels[i] is not None:
-                        unit = (row / s + 0.0).tobytes()
-                        node[i] = f"{labels[i]}:{hashlib.blake2b(b.column(1)[int(i)].values.to_numpy(zero_copy_only=False).tobytes(), digest_size=16).hexdigest()}"
-                        vec[i] = unit
+            for i, row in zip(at.tolist(), x.astype(kind), strict=True):
+                if row.any() and labels[i] is not None:
+                    vec[i] = row.tobytes()
+                    node[i] = f"{labels[i]}:{hashlib.blake2b(vec[i], digest_size=16).hexdigest()}"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), b.column(2), pa.array(vec, pa.binary())], ["id", "node", "label", "v"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     return map_arrow(src, run, "id long, node string, label string, v binary", rows=4096)
 
 
-def pq_links(distinct: DataFrame, cosine: float, cells: int, subspaces: int, codes: int, sample: int, block: int) -> tuple[DataFrame, DataFrame]:
+def pq_links(distinct: DataFrame, kind: str, cosine: float, cells: int, subspaces: int, codes: int, sample: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(node, n): links of each distinct vector, counted with multiplicity; (a, b): forest edges. ``distinct``: node, label, v, mult."""
     spark, radius = distinct.sparkSession, math.sqrt(max(0.0, 2 - 2 * cosine))
     n = distinct.count()
     share = min(1.0, sample / max(n, 1))
     rows = distinct.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("node", "v").limit(2 * sample).toArrow().to_pylist()
     rows.sort(key=lambda r: r["node"])
-    dims = {len(r["v"]) for r in rows}
-    books = {d: Codebook.fit(np.array([np.frombuffer(r["v"]) for r in rows if len(r["v"]) == d]), cells, subspaces, codes) for d in dims}
+    dims, width = {len(r["v"]) for r in rows}, np.dtype(kind).itemsize
+    books = {d: Codebook.fit(_units([r["v"] for r in rows if len(r["v"]) == d], kind), cells, subspaces, codes) for d in dims}
     shared = spark.sparkContext.broadcast(books)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,25 +129,27 @@ def pq_links(distinct: DataFrame, cosine: float, cells: int, subspaces: int, cod
                     place = np.array([i for i, v in enumerate(vec) if len(v) == d])
                     book = shared.value.get(d)
                     if book is None:  # a length that the sample has not: one cell, no codes
-                        book = Codebook(np.zeros((1, d // 8)), [np.arange(d // 8)], [np.zeros((1, d // 8))])
-                    x = np.array([np.frombuffer(vec[i]) for i in place])
+                        book = Codebook(np.zeros((1, d // width)), [np.arange(d // width)], [np.zeros((1, d // width))])
+                    x = _units([vec[i] for i in place], kind)
                     own, near = book.probes(x, radius)
                     code, error = book.encode(x, own)
-                    r, c = np.nonzero(near & (np.arange(near.shape[1]) <= own[:, None]))
+                    asked = pa.array([m.tobytes() for m in np.packbits(near, axis=1, bitorder="little")], pa.binary())
+                    r, c = np.nonzero(near)
                     ask = part.take(pa.array(place[r]))
                     keep = part.take(pa.array(place))
                     key = [f"{d}:{i}" for i in range(near.shape[1])]
                     m = pa.array([x.tobytes() for x in code], pa.binary())
-                    yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), keep.column(2), keep.column(3), pa.array([key[i] for i in own]), pa.array(np.zeros(len(own), np.int8)), pa.array(np.ones(len(own), bool)), m, pa.array(error)], names)
-                    yield pa.RecordBatch.from_arrays([ask.column(0), ask.column(1), ask.column(2), ask.column(3), pa.array([key[i] for i in c]), pa.array(np.ones(len(c), np.int8)), pa.array(c == own[r]), pa.nulls(len(c), pa.binary()), pa.array(np.zeros(len(c)))], names)
+                    yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), keep.column(2), keep.column(3), pa.array([key[i] for i in own]), pa.array(np.zeros(len(own), np.int8)), pa.array(own.astype(np.int32)), m, asked, pa.array(error)], names)
+                    yield pa.RecordBatch.from_arrays([ask.column(0), ask.column(1), ask.column(2), ask.column(3), pa.array([key[i] for i in c]), pa.array(np.ones(len(c), np.int8)), pa.array(own[r].astype(np.int32)), pa.nulls(len(c), pa.binary()), pa.nulls(len(c), pa.binary()), pa.array(np.zeros(len(c)))], names)
 
-    names = ["node", "label", "v", "mult", "cell", "ask", "own", "code", "error"]
-    lists = map_arrow(distinct.select("node", "label", "v", "mult"), listed, "node string, label string, v binary, mult long, cell string, ask tinyint, own boolean, code binary, error double", rows=4096)
+    names = ["node", "label", "v", "mult", "cell", "ask", "own", "code", "asked", "error"]
+    lists = map_arrow(distinct.select("node", "label", "v", "mult"), listed, "node string, label string, v binary, mult long, cell string, ask tinyint, own int, code binary, asked binary, error double", rows=4096)
     long = lists.where("ask = 0").groupBy("label", "cell").count().where(F.col("count") > block).select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    lists = lists.join(long, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    long = checkpoint(long)
+    lists = lists.join(F.broadcast(long) if long.count() <= 100_000 else long, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     to = F.when(F.col("ask") == 0, F.array(F.pmod(F.hash("node"), "blocks"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     keyed = lists.withColumn("block", F.explode(to)).withColumn("key", F.xxhash64("label", "cell", "block"))
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "label", "cell", "block", "ask").select("key", "label", "cell", "ask", "node", "v", "mult", "own", "code", "error")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "label", "cell", "block", "ask").select("key", "label", "cell", "ask", "node", "v", "mult", "own", "code", "asked", "error")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, listing = None, None
@@ -161,15 +166,15 @@ def pq_links(distinct: DataFrame, cosine: float, cells: int, subspaces: int, cod
                 if heads[lo] != now:
                     now, listing = heads[lo], None
                 if not asks[lo]:  # the list, which may go on in the next batch
-                    mine = (part["node"].to_pylist(), np.array([np.frombuffer(v) for v in part["v"].to_pylist()]), part["mult"].to_numpy(), np.array([np.frombuffer(v, np.uint8) for v in part["code"].to_pylist()]), part["error"].to_numpy())
+                    mine = (part["node"].to_pylist(), _units(part["v"].to_pylist(), kind), part["mult"].to_numpy(), _bytes(part["code"]), part["error"].to_numpy(), _bytes(part["asked"]))
                     listing = mine if listing is None else (listing[0] + mine[0], *(np.concatenate(x) for x in zip(listing[1:], mine[1:], strict=True)))
                     continue
                 if listing is None:
                     continue
                 dim, cell = heads[lo].rsplit("\0", 1)[1].split(":")
                 book = shared.value.get(int(dim))
-                q_node, q_mult, q_own = part["node"].to_pylist(), part["mult"].to_numpy(), part["own"].to_pylist()
-                q = np.array([np.frombuffer(v) for v in part["v"].to_pylist()])
+                q_node, q_mult, q_own = part["node"].to_pylist(), part["mult"].to_numpy(), part["own"].to_numpy()
+                q = _units(part["v"].to_pylist(), kind)
                 for at in range(0, len(q), 256):
                     found = _near(q[at : at + 256], listing, book, int(cell), radius, cosine)
                     for i, j in zip(*found, strict=True):
@@ -177,7 +182,7 @@ def pq_links(distinct: DataFrame, cosine: float, cells: int, subspaces: int, cod
                         if a == c:
                             continue
                         node.append(a), num.append(int(listing[2][j]))
-                        if not q_own[at + i]:  # the other asks only lower cells
+                        if not listing[5][j, q_own[at + i] >> 3] >> (q_own[at + i] & 7) & 1:  # the other doesn't ask back
                             node.append(c), num.append(int(q_mult[at + i]))
                         left.append(a), right.append(c)
             links = _added(node, num)
@@ -188,8 +193,13 @@ def pq_links(distinct: DataFrame, cosine: float, cells: int, subspaces: int, cod
     return out.where("to is null").groupBy("node").agg(F.sum("n").alias("n")), out.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
 
 
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _near(q: np.ndarray, listing: tuple, book: Codebook | None, cell: int, radius: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    _, vecs, _, codes, errors = listing
+    _, vecs, _, codes, errors, _ = listing
     if book is None:
         i, j = np.divmod(np.arange(len(q) * len(vecs)), len(vecs))
     else:
@@ -230,10 +240,11 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     lengths don't meet; an empty table gives no rows. Only the sample (about ``sample`` vectors, drawn by hash) comes to
     the driver.
     """
-    rows = checkpoint(_usable(df, id_col, vector_col, label_col))
+    kind = "<f4" if df.schema[vector_col].dataType == ArrayType(FloatType()) else "<f8"
+    rows = checkpoint(_usable(df, id_col, vector_col, label_col, kind))
     groups = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("mult"), F.min("id").alias("first"))
     groups = checkpoint(groups)
-    links, edges = pq_links(groups.select("node", "label", "v", "mult"), cosine, cells, subspaces, codes, sample, block)
+    links, edges = pq_links(groups.select("node", "label", "v", "mult"), kind, cosine, cells, subspaces, codes, sample, block)
     roots = connected_components(edges)
     of = groups.select("node", "mult", "first").join(links, "node", "left").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
