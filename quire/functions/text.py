@@ -18,6 +18,11 @@ def filled(text: Column) -> Column:
     return F.coalesce(text, _s(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, even where the body's lambdas use it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, whatever its kind."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -143,13 +148,24 @@ def average_sentence_length(text: Column) -> Column:
 # --- language and lines --------------------------------------------------------------------------------------------
 
 
+def letters(text: Column) -> Column:
+    """How many letters there are."""
+    return F.length(F.regexp_replace(filled(text), r"[^\p{L}]+", ""))
+
+
+def vietnamese_letters(text: Column) -> Column:
+    low = F.lower(filled(text))
+    return F.length(low) - F.length(F.translate(low, v.VI_LETTERS, ""))
+
+
 def vietnamese_share(text: Column) -> Column:
-    return F.try_divide(F.regexp_count(filled(text), _s(f"(?iu)[{v.VI_LETTERS}]")).cast("double"), F.regexp_count(filled(text), _s(r"\p{L}")))
+    return F.try_divide(vietnamese_letters(text).cast("double"), letters(text))
 
 
 def language(text: Column) -> Column:
-    share = vietnamese_share(text)
-    return F.when(F.regexp_count(filled(text), _s(r"\p{L}")) < 20, "Unknown").when(share > 0.06, "Vietnamese").when(share < 0.01, "English").otherwise("Mixed")
+    share = lambda c: F.try_divide(c["vi"].cast("double"), c["n"])
+    kind = lambda c: F.when(c["n"] < 20, v.UNKNOWN).when(share(c) > 0.06, "Vietnamese").when(share(c) < 0.01, "English").otherwise("Mixed")
+    return let(F.struct(letters(text).alias("n"), vietnamese_letters(text).alias("vi")), kind)
 
 
 def is_page_number(line: Column, strict: bool = False) -> Column:
@@ -245,7 +261,7 @@ def clean_terms(terms: Column, text: Column, least: int = 2, most_words: int = 4
     """One display form of each term, case aside: no long phrases and stop words; single words need evidence in the text."""
     t = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
     stops = F.array(*map(_s, stop)) if stop else F.array().cast("array<string>")
-    rows = F.transform(F.array_distinct(F.transform(t, F.lower)), lambda k: F.struct(k.alias("k"), F.filter(t, lambda x: F.lower(x) == k).alias("x")))
+    rows = let(t, lambda t: F.transform(F.array_distinct(F.transform(t, F.lower)), lambda k: F.struct(k.alias("k"), F.filter(t, lambda x: F.lower(x) == k).alias("x"))))
     upper = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
     acronym = lambda r: F.get(F.filter(r["x"], is_acronym), _s(0))
     mixed = lambda r: F.get(F.filter(r["x"], lambda x: ~upper(x)), _s(0))
@@ -269,15 +285,14 @@ def acronym_uses(text: Column) -> Column:
 
 def undefined_abbreviations(text: Column, defined: Column, least: int = 2) -> Column:
     """Acronyms used at least ``least`` times and not in ``defined``, sorted."""
-    uses = acronym_uses(text)
-    often = F.filter(F.array_distinct(uses), lambda a: F.size(F.filter(uses, lambda x: x == a)) >= least)
+    often = let(acronym_uses(text), lambda uses: F.filter(F.array_distinct(uses), lambda a: F.size(F.filter(uses, lambda x: x == a)) >= least))
     return F.array_sort(F.array_except(often, F.coalesce(defined, F.array().cast("array<string>"))))
 
 
 def top_concepts(text: Column, terms: Column, k: int = 10) -> Column:
     """The terms that occur most often, ties by lower case."""
-    low = F.lower(filled(text))
-    n = F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda x: F.struct((-F.regexp_count(low, bounded(F.lower(x)))).alias("n"), F.lower(x).alias("k"), x.alias("x")))
+    every = F.coalesce(terms, F.array().cast("array<string>"))
+    n = let(F.lower(filled(text)), lambda low: F.transform(F.filter(every, lambda x: low.contains(F.lower(x))), lambda x: F.struct((-F.regexp_count(low, bounded(F.lower(x)))).alias("n"), F.lower(x).alias("k"), x.alias("x"))))
     return F.transform(F.slice(F.array_sort(F.filter(n, lambda r: r["n"] < 0)), 1, k), lambda r: r["x"])
 
 

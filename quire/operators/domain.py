@@ -36,11 +36,13 @@ def _runs(low: Column, longest: int) -> Column:
     atoms = F.regexp_extract_all(low, F.lit(f"{t.W}+|[^\\p{{L}}\\p{{N}}_]+"), F.lit(0))
     word = lambda x: x.rlike(f"^{t.W}")
     out = F.filter(atoms, word)
-    for n in range(2, longest + 1):
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(atoms) - (2 * n - 2), F.lit(1))), lambda i, n=n: F.slice(atoms, i, 2 * n - 1))
-        good = lambda w, n=n: (F.size(w) == 2 * n - 1) & word(F.get(w, F.lit(0))) & (F.size(F.filter(w, lambda x: x == " ")) == n - 1)
-        out = F.concat(out, F.transform(F.filter(windows, good), lambda w: F.array_join(w, "")))
-    return out
+    def of(n: int) -> Column:
+        size = 2 * n - 1
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(atoms) - (size - 1), F.lit(1))), lambda i: F.slice(atoms, i, size))
+        good = F.filter(windows, lambda w: (F.size(w) == size) & word(F.get(w, F.lit(0))) & (F.size(F.filter(w, lambda x: x == " ")) == n - 1))
+        return F.transform(good, lambda w: F.array_join(w, ""))
+
+    return F.concat(out, *map(of, range(2, longest + 1))) if longest > 1 else out
 
 
 def keyword_counts(docs: DataFrame, lex: DataFrame) -> DataFrame:

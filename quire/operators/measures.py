@@ -16,15 +16,14 @@ def _rate(kept: Column, total: Column) -> Column:
 def term_preservation(summary: Column, terms: Column) -> Column:
     """struct(rate, kept, total): terms that the summary contains anywhere, case aside; repeats count."""
     all_terms = F.filter(terms, lambda x: t.strip(t.filled(x)) != "")
-    low = F.lower(t.filled(summary))
-    kept = F.size(F.filter(all_terms, lambda x: low.contains(F.lower(x))))
+    kept = t.let(F.lower(t.filled(summary)), lambda low: F.size(F.filter(all_terms, lambda x: low.contains(F.lower(x)))))
     return F.when(F.size(all_terms) > 0, F.struct(_rate(kept, F.size(all_terms)).alias("rate"), kept.alias("kept"), F.size(all_terms).alias("total")))
 
 
 def number_preservation(summary: Column, source: Column) -> Column:
     """struct(rate, total, unsupported): the summary's numbers that the source has; the rate counts repeats."""
-    mine, known = t.numbers(summary), t.numbers(source)
-    bad = F.filter(mine, lambda x: ~F.array_contains(known, x))
+    mine = t.numbers(summary)
+    bad = t.let(t.numbers(source), lambda known: F.filter(mine, lambda x: ~F.array_contains(known, x)))
     return F.when(F.size(mine) > 0, F.struct(_rate(F.size(mine) - F.size(bad), F.size(mine)).alias("rate"), F.size(mine).alias("total"), F.array_sort(F.array_distinct(bad)).alias("unsupported")))
 
 
@@ -38,8 +37,7 @@ def unit_preservation(summary: Column, source: Column) -> Column:
 def formula_preservation(summary: Column, formulas: Column) -> Column:
     """struct(rate, kept, total): formulas that the summary contains, white space aside."""
     every = F.filter(formulas, lambda x: t.strip(t.filled(x)) != "")
-    body = t.squash(summary)
-    kept = F.size(F.filter(every, lambda x: body.contains(t.squash(x))))
+    kept = t.let(t.squash(summary), lambda body: F.size(F.filter(every, lambda x: body.contains(t.squash(x)))))
     return F.when(F.size(every) > 0, F.struct(_rate(kept, F.size(every)).alias("rate"), kept.alias("kept"), F.size(every).alias("total")))
 
 

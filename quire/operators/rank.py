@@ -19,8 +19,9 @@ def sentence_tfidf(docs: DataFrame, most: int = 2000) -> DataFrame:
 
     Both counts are partitioned by doc_id, so one exchange serves them and the join.
     """
-    sents = F.slice(t.sentences(F.col("text")), 1, most)
-    rows = docs.select("doc_id", F.size(sents).alias("n"), F.posexplode(sents).alias("pos", "s")).select("doc_id", "n", "pos", F.explode(t.content_tokens(F.col("s"))).alias("token"))
+    sents = docs.select("doc_id", F.slice(t.sentences(F.col("text")), 1, most).alias("a"))
+    sents = sents.select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("pos", "s"))
+    rows = sents.select("doc_id", "n", "pos", F.explode(t.content_tokens(F.col("s"))).alias("token"))
     tf = rows.groupBy("doc_id", "n", "pos", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "token"))
     return tf.withColumn("df", df).select("doc_id", "pos", "token", (F.col("tf") * (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1)).alias("w"))

@@ -70,7 +70,7 @@ def made_lexicon(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\\p{{L}}')) AS INTEGER) AS n_letters, CAST(len(regexp_extract_all(lower(text), '[{v.VI_LETTERS}]')) AS DOUBLE) AS vi FROM documents)""")
 def language_ratio(spark, d):
     x = F.col("text")
-    return documents(spark, d).select("doc_id", F.regexp_count(x, F.lit(r"\p{L}")).alias("n_letters"), F.round(t.vietnamese_share(x), 6).alias("share"), t.language(x).alias("language"))
+    return documents(spark, d).select("doc_id", t.letters(x).alias("n_letters"), F.round(t.vietnamese_share(x), 6).alias("share"), t.language(x).alias("language"))
 
 
 @query(f"SELECT doc_id, CAST(len({TOK.format('text')}) AS INTEGER) AS n_tokens, CAST(len({CONTENT.format('text')}) AS INTEGER) AS n_content, CAST(len(list_distinct({CONTENT.format('text')})) AS INTEGER) AS n_distinct FROM documents")
@@ -507,12 +507,12 @@ def _language_rows(spark, d):
 
 @query()
 def classifier_logreg(spark, d):
-    return stats.accuracy(ml.cross_validate(_language_rows(spark, d), 2))
+    return stats.accuracy(ml.cross_validate(_language_rows(spark, d), 2, vocabulary=1 << 13))
 
 
 @query()
 def classifier_nb(spark, d):
-    return stats.accuracy(ml.cross_validate(_language_rows(spark, d), 2, kind="nb"))
+    return stats.accuracy(ml.cross_validate(_language_rows(spark, d), 2, kind="nb", vocabulary=1 << 13))
 
 
 # --- quiz, library, models, whole runs -----------------------------------------------------------------------------
