@@ -9,6 +9,7 @@ broadcast tree of all fingerprints would grow with the data.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from itertools import islice
@@ -194,7 +195,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
                     b.append(part[x])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return map_arrow(dealt, run, "a long, b long", rows=20_000).distinct()
+    return map_arrow(dealt, run, "a long, b long", rows=4096).distinct()
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
@@ -219,24 +220,25 @@ def band_places(bits: int, bands: int, width: int, seed: int = SEED) -> np.ndarr
     return np.concatenate(deals)[:bands]
 
 
-def _nearest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """For every value the nearest one before it, if it is within the radius."""
-    tree, out = BKTree(), []
+def _nearest(values: list[int], radius: int, most: int) -> Iterator[tuple[int, list[int], bool]]:
+    """(place, places of the ``most`` nearest ones before it within the radius, whether there are more) of values with any."""
+    tree = BKTree()
     for i, v in enumerate(values):
         if near := tree.near(v, radius):
-            out.append((i, min(near, key=lambda j: ((values[j] ^ v).bit_count(), j))))
+            yield i, [j for _, j in heapq.nsmallest(most, (((values[j] ^ v).bit_count(), j) for j in near))], len(near) > most
         tree.add(v)
-    return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 40, width: int = 16) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 56, width: int = 16, nearest: int = 4) -> DataFrame:
     """(id, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     A similarity of 0.8 differs in about 15 % of SimHash bits, far past where pigeonhole keys help, so fingerprints are
     ``words64`` * 64 bits wide and a shard is the texts that agree on one of ``bands`` sets of ``width`` bits: two texts of
-    similarity 0.8 / 0.85 / 0.9 share a shard with probability 0.95 / 0.99 / 1.00 at the defaults. A shard's BK-tree gives
-    each text its nearest one within the radius (the similarity's expected distance and 2.5 deviations), at most one
-    candidate a text and shard; each is then checked exactly on its shingle sets. Links that hold make components.
+    similarity 0.8 / 0.85 / 0.9 share a shard with probability 0.98 / 1.00 / 1.00 at the defaults. A shard's BK-tree gives
+    each text the ``nearest`` ones within the radius (the similarity's expected distance and 2.5 deviations), so candidates
+    grow with texts and not with pairs; each is then checked exactly on its shingle sets. Links that hold make components.
+    A second pass takes the texts that had more candidates in a shard and checks all of those, but for the ones that their
+    component holds by then: the number of candidates is no cap.
 
     Equal fingerprints collapse first. Null and empty texts are alike; null ids keep their row and never are a minimum;
     repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
@@ -264,20 +266,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for j, at in enumerate(places):
                 yield pa.RecordBatch.from_arrays([pa.array((on[:, at] @ weight) * bands + j), b.column(1), b.column(0)], ["key", "first", "fp"])
 
-    dealt = map_arrow(distinct.select("fp", "first"), deal, "key long, first long, fp binary", rows=5000).repartition("key").sortWithinPartitions("key", "first")
+    dealt = map_arrow(distinct.select("fp", "first"), deal, "key long, first long, fp binary", rows=4096)
+
+    def members(t: pa.Table, lo: int, hi: int) -> list[int]:
+        return [int.from_bytes(x, "little") for x in t["fp"].slice(lo, hi - lo).to_pylist()]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b), and (key, b) of texts with more candidates in that shard."""
         for t in _runs(batches, ["key"]):
-            at, first, a, b = _starts(t, ["key"]), t["first"].to_numpy(), [], []
+            at, first, keys, a, b, more = _starts(t, ["key"]), t["first"].to_numpy(), t["key"].to_numpy(), [], [], []
             for i in np.flatnonzero(np.diff(at) > 1):
-                values = [int.from_bytes(x, "little") for x in t["fp"].slice(at[i], at[i + 1] - at[i]).to_pylist()]
-                for x, y in _nearest(values, radius):
-                    a.append(first[at[i] + y])
-                    b.append(first[at[i] + x])
+                for x, near, others in _nearest(members(t, at[i], at[i + 1]), radius, nearest):
+                    a += [*(first[at[i] + y] for y in near), *([None] if others else [])]
+                    b += [first[at[i] + x]] * (len(near) + others)
+                    more += [*[None] * len(near), *([keys[at[i]]] if others else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, more)], ["a", "b", "key"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All further candidates of the texts with more, but for those that are in the text's component already."""
+        for t in _runs(batches, ["key"]):
+            at, first, root, asks, a, b = _starts(t, ["key"]), t["first"].to_numpy(), t["root"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), [], []
+            for lo, hi in zip(at, at[1:], strict=False):
+                tree = BKTree()
+                for x, v in enumerate(members(t, lo, hi), lo):
+                    for y in tree.near(v, radius) if asks[x] else ():
+                        if root[lo + y] != root[x]:
+                            a.append(first[lo + y])
+                            b.append(first[x])
+                    tree.add(v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    pairs = checkpoint(map_arrow(dealt, candidates, "a long, b long", rows=5000).distinct())
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t.lower().split(), k)), np.uint64)).tobytes() for t in utf8(b.column(1))]
@@ -292,11 +310,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = src.join(named, "id", "left_semi")
-    of = checkpoint(map_arrow(texts, sets, "id long, shingles binary").dropDuplicates(["id"]))
-    both = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    roots = connected_components(map_arrow(both, alike, "a long, b long", rows=256))
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike, with each other's shingle sets at hand."""
+        named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        of = checkpoint(map_arrow(src.join(named, "id", "left_semi"), sets, "id long, shingles binary").dropDuplicates(["id"]))
+        both = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        return checkpoint(map_arrow(both, alike, "a long, b long", rows=256))
+
+    found = checkpoint(map_arrow(dealt.repartition("key").sortWithinPartitions("key", "first"), candidates, "a long, b long, key long", rows=4096))
+    pairs = checkpoint(found.where("a is not null").select("a", "b").distinct())
+    edges = links_of(pairs)
+    roots = connected_components(edges)
+    asking = found.where("a is null").select("key", F.col("b").alias("first"), F.lit(True).alias("asks"))
+    shards = dealt.join(asking.select("key").distinct(), "key", "left_semi").join(asking, ["key", "first"], "left")
+    shards = shards.join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", "first", "fp", F.coalesce("root", "first").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    further = map_arrow(shards.repartition("key").sortWithinPartitions("key", "first"), rest, "a long, b long", rows=4096)
+    further = checkpoint(further.distinct().join(pairs, ["a", "b"], "left_anti"))
+    roots = connected_components(edges.union(links_of(further)))
     grouped = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("component_id"))
     return docs.join(grouped, "fp", "left").select("id", "component_id")
 

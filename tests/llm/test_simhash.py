@@ -140,3 +140,27 @@ def test_band_places():
     p = sh.band_places(256, 40, 16)
     assert p.shape == (40, 16) and all(len(set(x)) == 16 for x in p.tolist())
     assert np.bincount(p.ravel(), minlength=256).min() >= 2
+
+
+@pytest.mark.parametrize("nearest", (1, 4))
+def test_the_number_of_candidates_is_no_cap(spark, nearest):
+    """Two large groups that look alike to every shard, but are one only through a single pair."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 300, 12)]
+    rows += [" ".join(base[: 255 - i] + [f"y{rnd.randrange(10**6)}" for _ in range(45 + i)]) for i in range(0, 14, 2)]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(rows)], DOCS)
+    got = {r.id: r.component_id for r in sh.near_duplicates(df, nearest=nearest, bands=80).collect()}
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i], rows[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert got == {i: root(i) for i in range(len(rows))}
