@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application: they may not find it where the driver does."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):  # already inside an archive that was sent
+        return
+    with tempfile.TemporaryDirectory() as tmp:
+        shutil.copytree(package, os.path.join(tmp, "tree", "quire"), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quire-"), "quire"), "zip", os.path.join(tmp, "tree")))
+
 
 def session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
     """AQE with skew handling and Arrow transfer; the number of shuffle partitions is Spark's to coalesce."""
@@ -17,4 +37,6 @@ def session(app: str = "quire", master: str | None = None, **conf: str) -> Spark
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         "spark.sql.session.timeZone": "UTC",
     }
-    return b.config(map=settings | {k.replace("_", "."): v for k, v in conf.items()}).getOrCreate()
+    spark = b.config(map=settings | {k.replace("_", "."): v for k, v in conf.items()}).getOrCreate()
+    ship(spark)
+    return spark
