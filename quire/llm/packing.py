@@ -39,7 +39,7 @@ class CachedTokenizer:
     at ``limit`` entries.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 1_200_000) -> None:
+    def __init__(self, path: str, pattern: str, limit: int = 500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
