@@ -229,7 +229,7 @@ def _nearest(values: list[int], radius: int, most: int) -> Iterator[tuple[int, l
         tree.add(v)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 56, width: int = 16, nearest: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 56, width: int = 16, nearest: int = 1) -> DataFrame:
     """(id, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     A similarity of 0.8 differs in about 15 % of SimHash bits, far past where pigeonhole keys help, so fingerprints are
@@ -283,19 +283,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, more)], ["a", "b", "key"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All further candidates of the texts with more, but for those that are in the text's component already."""
+        """Links among all further candidates of the texts with more, but for those that hold within a component already."""
         for t in _runs(batches, ["key"]):
             at, first, root, asks, a, b = _starts(t, ["key"]), t["first"].to_numpy(), t["root"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), [], []
             for lo, hi in zip(at, at[1:], strict=False):
-                tree = BKTree()
-                for x, v in enumerate(members(t, lo, hi), lo):
-                    for y in tree.near(v, radius) if asks[x] else ():
-                        if root[lo + y] != root[x]:
+                tree, joined = BKTree(), {}
+                held = [np.frombuffer(x, np.uint64) for x in t["shingles"].slice(lo, hi - lo).to_pylist()]
+
+                def top(r: int, joined: dict[int, int] = joined) -> int:
+                    while r in joined:
+                        r = joined[r]
+                    return r
+
+                for x, v in enumerate(members(t, lo, hi)):
+                    for y in tree.near(v, radius) if asks[lo + x] else ():
+                        p, q = top(root[lo + y]), top(root[lo + x])
+                        if p != q and is_alike(held[y], held[x]):
+                            joined[max(p, q)] = min(p, q)
                             a.append(first[lo + y])
-                            b.append(first[x])
+                            b.append(first[lo + x])
                     tree.add(v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def is_alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t.lower().split(), k)), np.uint64)).tobytes() for t in utf8(b.column(1))]
@@ -303,30 +318,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            keep = [is_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike, with each other's shingle sets at hand."""
-        named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        of = checkpoint(map_arrow(src.join(named, "id", "left_semi"), sets, "id long, shingles binary").dropDuplicates(["id"]))
-        both = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return checkpoint(map_arrow(both, alike, "a long, b long", rows=256))
+    def shingled(named: DataFrame) -> DataFrame:
+        """(id, shingles) of the ids named."""
+        return map_arrow(src.join(named.distinct(), "id", "left_semi"), sets, "id long, shingles binary").dropDuplicates(["id"])
 
     found = checkpoint(map_arrow(dealt.repartition("key").sortWithinPartitions("key", "first"), candidates, "a long, b long, key long", rows=4096))
     pairs = checkpoint(found.where("a is not null").select("a", "b").distinct())
-    edges = links_of(pairs)
+    of = checkpoint(shingled(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
+    both = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    edges = checkpoint(map_arrow(both, alike, "a long, b long", rows=256))
     roots = connected_components(edges)
     asking = found.where("a is null").select("key", F.col("b").alias("first"), F.lit(True).alias("asks"))
-    shards = dealt.join(asking.select("key").distinct(), "key", "left_semi").join(asking, ["key", "first"], "left")
-    shards = shards.join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", "first", "fp", F.coalesce("root", "first").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks"))
-    further = map_arrow(shards.repartition("key").sortWithinPartitions("key", "first"), rest, "a long, b long", rows=4096)
-    further = checkpoint(further.distinct().join(pairs, ["a", "b"], "left_anti"))
-    roots = connected_components(edges.union(links_of(further)))
+    shards = checkpoint(dealt.join(asking.select("key").distinct(), "key", "left_semi").join(asking, ["key", "first"], "left"))
+    held = shingled(shards.select(F.col("first").alias("id"))).withColumnRenamed("id", "first")
+    shards = shards.join(roots.withColumnRenamed("node", "first"), "first", "left").join(held, "first").select("key", "first", "fp", F.coalesce("root", "first").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks"), "shingles")
+    further = map_arrow(shards.repartition("key").sortWithinPartitions("key", "first"), rest, "a long, b long", rows=512)
+    roots = connected_components(edges.union(checkpoint(further.distinct())))
     grouped = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("component_id"))
     return docs.join(grouped, "fp", "left").select("id", "component_id")
 
