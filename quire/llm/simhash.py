@@ -229,7 +229,33 @@ def _nearest(values: list[int], radius: int, most: int) -> Iterator[tuple[int, l
         tree.add(v)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 56, width: int = 16, nearest: int = 4) -> DataFrame:
+def bottom_sketch(text: bytes, k: int, most: int) -> bytes:
+    """The ``most`` smallest 32-bit hashes of the text's k-word shingles, ascending; all of them if there are no more."""
+    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), k)), np.uint64)
+    return np.unique(h >> np.uint64(32)).astype(np.uint32)[:most].tobytes()
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float, most: int) -> bool:
+    """Whether the texts of two sketches can have that Jaccard similarity.
+
+    Whole sketches give the similarity itself, with a little room for equal hashes; others an estimate from the smallest
+    hashes of the union, taken with 4.5 deviations of room.
+    """
+    whole = len(x) < most and len(y) < most
+    if whole and min(len(x), len(y)) < (similarity - 0.01) * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    twice = both[1:] == both[:-1]
+    n = len(both) - int(twice.sum())
+    if whole:
+        return len(both) - n >= (similarity - 0.01) * n
+    n = min(n, most)
+    last = both[np.flatnonzero(np.append(True, ~twice))[n - 1]]
+    room = 4.5 * math.sqrt(similarity * (1 - similarity) / n)
+    return int((twice & (both[1:] <= last)).sum()) >= (similarity - room) * n
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 56, width: int = 16, nearest: int = 4, bottom: int = 512) -> DataFrame:
     """(id, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     A similarity of 0.8 differs in about 15 % of SimHash bits, far past where pigeonhole keys help, so fingerprints are
@@ -237,8 +263,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similarity 0.8 / 0.85 / 0.9 share a shard with probability 0.98 / 1.00 / 1.00 at the defaults. A shard's BK-tree gives
     each text the ``nearest`` ones within the radius (the similarity's expected distance and 2.5 deviations), so candidates
     grow with texts and not with pairs; each is then checked exactly on its shingle sets. Links that hold make components.
-    A second pass takes the texts that had more candidates in a shard and checks all of those, but for the ones that their
-    component holds by then: the number of candidates is no cap.
+    A second pass takes the texts that had more candidates in a shard and looks at all of those, but for the ones that their
+    component holds by then: the number of candidates is no cap. There a text is its ``bottom`` smallest shingle hashes, so
+    that a shard's memory doesn't follow the texts' length; pairs that these can't rule out are checked exactly as well.
 
     Equal fingerprints collapse first. Null and empty texts are alike; null ids keep their row and never are a minimum;
     repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
@@ -282,17 +309,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     more += [*[None] * len(near), *([keys[at[i]]] if others else [])]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, more)], ["a", "b", "key"])
 
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bottom_sketch(t, k, bottom) for t in utf8(b.column(1))], pa.binary())], ["first", "sketch"])
+
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All further candidates of the texts with more, but for those that are in the text's component already."""
+        """The further candidates that may be alike of the texts with more, but for those that their component holds already."""
         for t in _runs(batches, ["key"]):
             at, first, root, asks, a, b = _starts(t, ["key"]), t["first"].to_numpy(), t["root"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), [], []
             for lo, hi in zip(at, at[1:], strict=False):
-                tree = BKTree()
-                for x, v in enumerate(members(t, lo, hi), lo):
-                    for y in tree.near(v, radius) if asks[x] else ():
-                        if root[lo + y] != root[x]:
+                tree, held = BKTree(), [np.frombuffer(x, np.uint32) for x in t["sketch"].slice(lo, hi - lo).to_pylist()]
+                for x, v in enumerate(members(t, lo, hi)):
+                    for y in tree.near(v, radius) if asks[lo + x] else ():
+                        if root[lo + y] != root[lo + x] and may_be_alike(held[y], held[x], similarity, bottom):
                             a.append(first[lo + y])
-                            b.append(first[x])
+                            b.append(first[lo + x])
                     tree.add(v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -323,8 +354,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected_components(edges)
     asking = found.where("a is null").select("key", F.col("b").alias("first"), F.lit(True).alias("asks"))
     shards = dealt.join(asking.select("key").distinct(), "key", "left_semi").join(asking, ["key", "first"], "left")
-    shards = shards.join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", "first", "fp", F.coalesce("root", "first").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks"))
-    further = map_arrow(shards.repartition("key").sortWithinPartitions("key", "first"), rest, "a long, b long", rows=4096)
+    shards = checkpoint(shards.join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", "first", "fp", F.coalesce("root", "first").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks")))
+    named = shards.select(F.col("first").alias("id")).distinct()
+    sketched = map_arrow(src.join(named, "id", "left_semi"), sketches, "first long, sketch binary").dropDuplicates(["first"])
+    further = map_arrow(shards.join(sketched, "first").repartition("key").sortWithinPartitions("key", "first").select(shards.columns + ["sketch"]), rest, "a long, b long", rows=1024)
     further = checkpoint(further.distinct().join(pairs, ["a", "b"], "left_anti"))
     roots = connected_components(edges.union(links_of(further)))
     grouped = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("component_id"))

@@ -142,15 +142,32 @@ def test_band_places():
     assert np.bincount(p.ravel(), minlength=256).min() >= 2
 
 
-@pytest.mark.parametrize("nearest", (1, 4))
-def test_the_number_of_candidates_is_no_cap(spark, nearest):
+def test_sketches_rule_out_no_link():
+    rnd, kept, far = random.Random(4), 0, 0
+    for _ in range(300):
+        n = rnd.choice((0, 3, 40, 300, 700, 3000))
+        a = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(n * rnd.randrange(60) // 1000):
+            b[rnd.randrange(n)] = f"n{rnd.randrange(10**6)}"
+        a, b = " ".join(a), " ".join(b)
+        x, y = (np.frombuffer(sh.bottom_sketch(t.encode(), 5, 512), np.uint32) for t in (a, b))
+        assert len(x) <= 512 and (np.diff(x.astype(int)) > 0).all()
+        may, is_so = sh.may_be_alike(x, y, 0.8, 512), not a or jaccard(a, b) >= 0.8
+        assert may or not is_so
+        kept, far = kept + is_so, far + (not may)
+    assert kept > 50 and far > 50
+
+
+@pytest.mark.parametrize(("nearest", "bottom"), ((1, 512), (4, 512), (4, 128)))
+def test_the_number_of_candidates_is_no_cap(spark, nearest, bottom):
     """Two large groups that look alike to every shard, but are one only through a single pair."""
     rnd = random.Random(3)
     base = [f"w{i}" for i in range(300)]
     rows = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 300, 12)]
     rows += [" ".join(base[: 255 - i] + [f"y{rnd.randrange(10**6)}" for _ in range(45 + i)]) for i in range(0, 14, 2)]
     df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(rows)], DOCS)
-    got = {r.id: r.component_id for r in sh.near_duplicates(df, nearest=nearest, bands=80).collect()}
+    got = {r.id: r.component_id for r in sh.near_duplicates(df, nearest=nearest, bottom=bottom, bands=80).collect()}
     parent = list(range(len(rows)))
 
     def root(x):
