@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -220,12 +220,18 @@ def band_places(bits: int, bands: int, width: int, seed: int = SEED) -> np.ndarr
     return np.concatenate(deals)[:bands]
 
 
-def _nearest(values: list[int], radius: int, most: int) -> Iterator[tuple[int, list[int], bool]]:
-    """(place, places of the ``most`` nearest ones before it within the radius, whether there are more) of values with any."""
+def _nearest(values: list[int], radius: int, most: int, own: Callable[[int, int], bool]) -> Iterator[tuple[int, list[int], bool]]:
+    """(place, places before it, whether there are more) of values with any.
+
+    The places are those of the ``most`` nearest ones within the radius; what isn't this shard's ``own`` is left to another.
+    """
     tree = BKTree()
     for i, v in enumerate(values):
         if near := tree.near(v, radius):
-            yield i, [j for _, j in heapq.nsmallest(most, (((values[j] ^ v).bit_count(), j) for j in near))], len(near) > most
+            ranked = [j for _, j in heapq.nsmallest(most, (((values[j] ^ v).bit_count(), j) for j in near))]
+            more = len(near) > most and any(own(v, values[j]) for j in set(near).difference(ranked))
+            if (mine := [j for j in ranked if own(v, values[j])]) or more:
+                yield i, mine, more
         tree.add(v)
 
 
@@ -262,7 +268,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``words64`` * 64 bits wide and a shard is the texts that agree on one of ``bands`` sets of ``width`` bits: two texts of
     similarity 0.8 / 0.85 / 0.9 share a shard with probability 0.98 / 1.00 / 1.00 at the defaults. A shard's BK-tree gives
     each text the ``nearest`` ones within the radius (the similarity's expected distance and 2.5 deviations), so candidates
-    grow with texts and not with pairs; each is then checked exactly on its shingle sets. Links that hold make components.
+    grow with texts and not with pairs; a pair belongs to the first shard that it shares. Each is then checked exactly on its shingle sets. Links that hold make components.
     A second pass takes the texts that had more candidates in a shard and looks at all of those, but for the ones that their
     component holds by then: the number of candidates is no cap. There a text is its ``bottom`` smallest shingle hashes, so
     that a shard's memory doesn't follow the texts' length; pairs that these can't rule out are checked exactly as well.
@@ -274,6 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     radius = math.floor(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
     places = band_places(bits, bands, width)
+    masks = [sum(1 << int(i) for i in at) for at in places]
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,12 +305,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def members(t: pa.Table, lo: int, hi: int) -> list[int]:
         return [int.from_bytes(x, "little") for x in t["fp"].slice(lo, hi - lo).to_pylist()]
 
+    def owner(key: int) -> Callable[[int, int], bool]:
+        """Whether the shard ``key`` is the first that two of its members share."""
+        before = masks[: key % bands]
+        return lambda v, w: all((v ^ w) & m for m in before)
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b), and (key, b) of texts with more candidates in that shard."""
         for t in _runs(batches, ["key"]):
             at, first, keys, a, b, more = _starts(t, ["key"]), t["first"].to_numpy(), t["key"].to_numpy(), [], [], []
             for i in np.flatnonzero(np.diff(at) > 1):
-                for x, near, others in _nearest(members(t, at[i], at[i + 1]), radius, nearest):
+                for x, near, others in _nearest(members(t, at[i], at[i + 1]), radius, nearest, owner(int(keys[at[i]]))):
                     a += [*(first[at[i] + y] for y in near), *([None] if others else [])]
                     b += [first[at[i] + x]] * (len(near) + others)
                     more += [*[None] * len(near), *([keys[at[i]]] if others else [])]
@@ -316,12 +328,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The further candidates that may be alike of the texts with more, but for those that their component holds already."""
         for t in _runs(batches, ["key"]):
-            at, first, root, asks, a, b = _starts(t, ["key"]), t["first"].to_numpy(), t["root"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), [], []
+            at, first, root, asks, keys, a, b = _starts(t, ["key"]), t["first"].to_numpy(), t["root"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), t["key"].to_numpy(), [], []
             for lo, hi in zip(at, at[1:], strict=False):
+                own, values = owner(int(keys[lo])), members(t, lo, hi)
                 tree, held = BKTree(), [np.frombuffer(x, np.uint32) for x in t["sketch"].slice(lo, hi - lo).to_pylist()]
-                for x, v in enumerate(members(t, lo, hi)):
+                for x, v in enumerate(values):
                     for y in tree.near(v, radius) if asks[lo + x] else ():
-                        if root[lo + y] != root[lo + x] and may_be_alike(held[y], held[x], similarity, bottom):
+                        if root[lo + y] != root[lo + x] and own(v, values[y]) and may_be_alike(held[y], held[x], similarity, bottom):
                             a.append(first[lo + y])
                             b.append(first[lo + x])
                     tree.add(v)
