@@ -372,8 +372,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketched = map_arrow(src.join(named, "id", "left_semi"), sketches, "first long, sketch binary").dropDuplicates(["first"])
     further = map_arrow(shards.join(sketched, "first").repartition("key").sortWithinPartitions("key", "first").select(shards.columns + ["sketch"]), rest, "a long, b long", rows=1024)
     further = checkpoint(further.distinct().join(pairs, ["a", "b"], "left_anti"))
-    roots = connected_components(edges.union(links_of(further)))
-    grouped = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("component_id"))
+    # The second pass joins whole components, so only their roots are its nodes.
+    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    between = links_of(further).join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = connected_components(between).select(F.col("node").alias("at"), F.col("root").alias("component"))
+    rooted = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("at"))
+    grouped = rooted.join(joined, "at", "left").select("fp", F.coalesce("component", "at").alias("component_id"))
     return docs.join(grouped, "fp", "left").select("id", "component_id")
 
 
