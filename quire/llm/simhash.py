@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,14 @@ def fingerprint(text: bytes, k: int, words64: int = 1, unique: bool = False) ->
     seen = shingles(words, k)
     if unique:
         seen = iter(dict.fromkeys(seen))
-    ones, n = np.zeros((words64, 64), np.int64), 0
     digest = xxhash.xxh64_intdigest
-    while True:
-        h = np.fromiter((digest(s, SEED) for s in islice(seen, _BLOCK)), np.uint64)
-        if not len(h):
-            break
+    return _vote((np.fromiter((digest(s, SEED) for s in islice(seen, _BLOCK)), np.uint64) for _ in count()), words64)
+
+
+def _vote(blocks: Iterable[np.ndarray], words64: int) -> np.ndarray:
+    """The majority of the hashes' bits; blocks end with one that is not full."""
+    ones, n = np.zeros((words64, 64), np.int64), 0
+    for h in blocks:
         n += len(h)
         for j in range(words64):
             ones[j] += np.unpackbits(_mixed(h, j).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -261,17 +264,76 @@ def may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float, most: int) ->
     return int((twice & (both[1:] <= last)).sum()) >= (similarity - room) * n
 
 
+def hash_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct XXH64 hashes of the text's k-word shingles, ascending."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), k)), np.uint64))
+
+
+def common_hashes(src: DataFrame, k: int, docs: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of the shingles seen most in about ``docs`` rows of ``src(id, text)``.
+
+    They only set the order of shingles in prefixes, which is right for any order: frequent ones come last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[int] = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
+            seen.clear()
+            return rows
+
+        for b in batches:
+            for t in utf8(b.column(1)):
+                seen.update(hash_set(t, k).view(np.int64).tolist())
+                if len(seen) > 400_000:
+                    yield out()
+        yield out()
+
+    sample = src.where(F.pmod(F.xxhash64("id"), F.lit(max(1, src.count() // docs))) == 0)
+    counts = map_arrow(sample, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes, rare ones first: two sets of that Jaccard similarity share one of these at least."""
+    seen = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        seen = np.where(common[at] == h, counts[at], 0)
+    most = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+    return h[np.lexsort((h, seen))[:most]]
+
+
+def _prefix_pairs(first: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Arrays (pair, 2) of the members of one prefix hash that can be alike by their sizes and places, and have other roots."""
+    order = np.argsort(n, kind="stable")
+    first, n, left, root = first[order], n[order], (n - pos)[order], root[order]
+    least = np.searchsorted(n, np.ceil(similarity * n - 1e-9))
+    for i in range(1, len(n)):
+        j = slice(least[i], i)
+        need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+        if len(other := first[j][(root[j] != root[i]) & (np.minimum(left[i], left[j]) >= need)]):
+            yield np.stack((np.minimum(other, first[i]), np.maximum(other, first[i])), axis=1)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 56, width: int = 16, nearest: int = 4, bottom: int = 512) -> DataFrame:
     """(id, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     A similarity of 0.8 differs in about 15 % of SimHash bits, far past where pigeonhole keys help, so fingerprints are
-    ``words64`` * 64 bits wide and a shard is the texts that agree on one of ``bands`` sets of ``width`` bits: two texts of
-    similarity 0.8 / 0.85 / 0.9 share a shard with probability 0.98 / 1.00 / 1.00 at the defaults. A shard's BK-tree gives
+    ``words64`` * 64 bits wide and a shard is the texts that agree on one of ``bands`` sets of ``width`` bits. Most similar
+    texts share one, fewer the shorter the texts are and the nearer they are to the bound. A shard's BK-tree gives
     each text the ``nearest`` ones within the radius (the similarity's expected distance and 2.5 deviations), so candidates
     grow with texts and not with pairs; a pair belongs to the first shard that it shares. Each is then checked exactly on its shingle sets. Links that hold make components.
     A second pass takes the texts that had more candidates in a shard and looks at all of those, but for the ones that their
     component holds by then: the number of candidates is no cap. There a text is its ``bottom`` smallest shingle hashes, so
     that a shard's memory doesn't follow the texts' length; pairs that these can't rule out are checked exactly as well.
+    A third pass is exact and takes what shards or the radius miss, at any length: texts that share a hash of their
+    ``prefix`` (two alike ones always do) and are in different components by then are candidates, if their sizes and the
+    hash's places allow the similarity. So every pair of ``similarity`` or more is in one component: recall is 1.
 
     Equal fingerprints collapse first. Null and empty texts are alike; null ids keep their row and never are a minimum;
     repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
@@ -284,11 +346,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t, k, words64, unique=True).tobytes() for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], ["id", "fp"])
+            held = [hash_set(t, k) for t in utf8(b.column(1))]
+            fp = [_vote((h[i : i + _BLOCK] for i in range(0, len(h) + 1, _BLOCK)), words64).tobytes() for h in held]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array([len(h) for h in held], pa.int64()), pa.array([prefix(h, similarity, *common.value).tobytes() for h in held], pa.binary())], ["id", "fp", "n", "prefix"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = checkpoint(map_arrow(src, wide, "id long, fp binary"))
+    common = df.sparkSession.sparkContext.broadcast(common_hashes(src, k))
+    docs = checkpoint(map_arrow(src, wide, "id long, fp binary, n long, prefix binary"))
     distinct = checkpoint(docs.where("id is not null").groupBy("fp").agg(F.min("id").alias("first")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +406,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t.lower().split(), k)), np.uint64)).tobytes() for t in utf8(b.column(1))]
+            found = [hash_set(t, k).tobytes() for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,6 +418,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+            size = [len(h) for h in held]
+            first, n, root = (np.repeat(b.column(i).to_numpy(), size) for i in range(3))
+            h, pos = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (held, map(np.arange, size)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, first, n, pos, root)], ["h", "first", "n", "pos", "root"])
+
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["h"]):
+            at, (first, n, pos, root) = _starts(t, ["h"]), (t[c].to_numpy() for c in ("first", "n", "pos", "root"))
+            mixed = np.minimum.reduceat(root, at[:-1]) != np.maximum.reduceat(root, at[:-1])
+            out = [np.zeros((0, 2), np.int64)]
+            for i in np.flatnonzero(mixed):
+                part = slice(at[i], at[i + 1])
+                out += _prefix_pairs(first[part], n[part], pos[part], root[part], similarity)
+            both = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
     def links_of(pairs: DataFrame) -> DataFrame:
         """The pairs that are alike, with each other's shingle sets at hand."""
         named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -376,8 +459,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     between = links_of(further).join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     joined = connected_components(between).select(F.col("node").alias("at"), F.col("root").alias("component"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("at"))
-    grouped = rooted.join(joined, "at", "left").select("fp", F.coalesce("component", "at").alias("component_id"))
+    rooted = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", "first", F.coalesce("root", "first").alias("at"))
+    grouped = checkpoint(rooted.join(joined, "at", "left").select("fp", "first", F.coalesce("component", "at").alias("root")))
+    prefixes = docs.join(grouped.select("fp", F.col("first").alias("id"), "root"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "n", "root", "prefix")
+    dealt = map_arrow(prefixes, by_hash, "h long, first long, n long, pos long, root long").repartition("h").sortWithinPartitions("h", "first")
+    last = map_arrow(dealt, sharing, "a long, b long", rows=4096).distinct().join(pairs.union(further), ["a", "b"], "left_anti")
+    to_a, to_b = (grouped.select(F.col("first").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    ends = links_of(checkpoint(last)).join(to_a, "a").join(to_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    ends = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("component"))
+    grouped = grouped.join(ends, "root", "left").select("fp", F.coalesce("component", "root").alias("component_id"))
     return docs.join(grouped, "fp", "left").select("id", "component_id")
 
 

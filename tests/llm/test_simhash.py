@@ -181,3 +181,27 @@ def test_the_number_of_candidates_is_no_cap(spark, nearest, bottom):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_prefixes_of_alike_sets_meet():
+    rnd = random.Random(6)
+    for _ in range(300):
+        n = rnd.choice((1, 4, 5, 12, 60, 300))
+        a = np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64))
+        b = np.unique(np.append(a[rnd.randrange(n // 6 + 1) :], np.array([rnd.getrandbits(64) for _ in range(rnd.randrange(n // 6 + 2))], np.uint64)))
+        common = a[::2]
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(*(sh.prefix(x, 0.8, common, np.arange(len(common)) + 3) for x in (a, b))))
+
+
+def test_every_pair_at_the_bound_is_found(spark):
+    """Four of five shingles, 12 of 15, and 120 of 150: similarity 0.8, where the bands and the radius miss many."""
+    rows = []
+    for n, changed in ((9, 1), (19, 3), (154, 30)):
+        for g in range(150 if n < 100 else 60):
+            words = [f"g{n}.{g}.{i}" for i in range(n)]
+            rows += [" ".join(words), " ".join(words[: n - changed])]
+    assert all(jaccard(rows[i], rows[i + 1]) >= 0.8 - 1e-9 for i in range(0, len(rows), 2))
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(rows)], DOCS)
+    got = {r.id: r.component_id for r in sh.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == len(rows)
