@@ -9,17 +9,17 @@ from quire.functions import arrow
 from quire.functions import text as t
 
 
-def sentence_table(docs: DataFrame, most: int = 2000) -> DataFrame:
+def sentence_table(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, sentence)."""
-    return docs.select("doc_id", F.posexplode(F.slice(t.sentences(F.col("text")), 1, most)).alias("pos", "sentence"))
+    return docs.select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-def sentence_tfidf(docs: DataFrame, most: int = 2000) -> DataFrame:
+def sentence_tfidf(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, token, w): count * (ln((1 + n) / (1 + df)) + 1), n the document's sentences.
 
     Both counts are partitioned by doc_id, so one exchange serves them and the join.
     """
-    sents = docs.select("doc_id", F.slice(t.sentences(F.col("text")), 1, most).alias("a"))
+    sents = docs.select("doc_id", t.sentences(F.col("text")).alias("a"))
     sents = sents.select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("pos", "s"))
     rows = sents.select("doc_id", "n", "pos", F.explode(t.content_tokens(F.col("s"))).alias("token"))
     tf = rows.groupBy("doc_id", "n", "pos", "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -27,9 +27,9 @@ def sentence_tfidf(docs: DataFrame, most: int = 2000) -> DataFrame:
     return tf.withColumn("df", df).select("doc_id", "pos", "token", (F.col("tf") * (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1)).alias("w"))
 
 
-def similarity_edges(docs: DataFrame, most: int = 2000) -> DataFrame:
+def similarity_edges(docs: DataFrame) -> DataFrame:
     """(doc_id, i, j, w): cosines of sentence pairs i < j that share a token."""
-    w = sentence_tfidf(docs, most)
+    w = sentence_tfidf(docs)
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", "pos")))
     unit = w.select("doc_id", "pos", "token", (F.col("w") / size).alias("u"))
     a, b = unit.withColumnsRenamed({"pos": "i", "u": "x"}), unit.withColumnsRenamed({"pos": "j", "u": "y"})

@@ -1,6 +1,7 @@
 """Operators on frames: domains, layout, measures, statistics, quiz, library, models."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -365,3 +366,11 @@ def test_relational_ranking(spark):
     assert set(e) == {(0, 1), (0, 2), (1, 2)} and all(0 < w < 1 for w in e.values())
     top = rank.textrank(docs(spark, text), 2).collect()
     assert [r.pos for r in top] == k.textrank(text, 2) and top[0].sentence == k.sentences(text)[top[0].pos]
+
+
+def test_no_sentence_is_cut_off(spark):
+    d = docs(spark, " ".join(f"Alpha{i % 1500} beta{i} runs far." for i in range(2100)))
+    assert rank.sentence_table(d).count() == 2100
+    w = {(r.pos, r.token): r.w for r in rank.sentence_tfidf(d).collect()}
+    assert max(p for p, _ in w) == 2099 and w[2099, "beta2099"] == pytest.approx(math.log(2101 / 2) + 1)
+    assert rank.similarity_edges(d.limit(1)).agg({"j": "max"}).first()[0] == 2099
