@@ -498,7 +498,7 @@ def coverage_table(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return stats.bootstrap(predictions(spark, d), ["0", "1"], 200)
+    return stats.bootstrap(predictions(spark, d), ["0", "1"])
 
 
 def _language_rows(spark, d):
@@ -507,12 +507,12 @@ def _language_rows(spark, d):
 
 @query()
 def classifier_logreg(spark, d):
-    return stats.accuracy(ml.cross_validate(_language_rows(spark, d), 2, vocabulary=1 << 13))
+    return stats.accuracy(ml.cross_validate(_language_rows(spark, d)))
 
 
 @query()
 def classifier_nb(spark, d):
-    return stats.accuracy(ml.cross_validate(_language_rows(spark, d), 2, kind="nb", vocabulary=1 << 13))
+    return stats.accuracy(ml.cross_validate(_language_rows(spark, d), kind="nb"))
 
 
 # --- quiz, library, models, whole runs -----------------------------------------------------------------------------

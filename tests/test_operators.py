@@ -374,3 +374,9 @@ def test_no_sentence_is_cut_off(spark):
     w = {(r.pos, r.token): r.w for r in rank.sentence_tfidf(d).collect()}
     assert max(p for p, _ in w) == 2099 and w[2099, "beta2099"] == pytest.approx(math.log(2101 / 2) + 1)
     assert rank.similarity_edges(d.limit(1)).agg({"j": "max"}).first()[0] == 2099
+
+
+def test_fit_takes_every_term(spark):
+    n = 140_000  # with the pairs, more than 2 ** 18 terms
+    rows = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(n))), ("b", "other words")], "label string, text string")
+    assert len(ml.fit(rows, "nb").count.vocabulary) == n + n - 1 + 3

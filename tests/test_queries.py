@@ -47,3 +47,15 @@ def test_golden_sentences():
     text = "Alpha beta gamma delta. Alpha beta gamma zeta. Alpha eta theta iota. Kappa lambda mu nu."
     rank, rounds = k.sentence_scores(k.sentences(text))
     assert rounds < 100 and rank[3] == pytest.approx(0.15 / 4) and rank[0] == pytest.approx(rank[1]) and rank[0] > rank[2]
+
+
+def test_registered_statistics_are_uncut(spark, monkeypatch):
+    from quire.plans import queries as q
+
+    calls = {}
+    monkeypatch.setattr(q.ml, "cross_validate", lambda rows, n=5, seed=0, kind="logreg", one_out=False, vocabulary=None: calls.update({kind: (n, vocabulary)}))
+    monkeypatch.setattr(q.stats, "accuracy", lambda p: p)
+    monkeypatch.setattr(q.stats, "bootstrap", lambda p, classes, rounds=1000, seed=0: calls.update(bootstrap=rounds))
+    for name in ("classifier_logreg", "classifier_nb", "bootstrap_ci"):
+        QUERIES[name](spark, D)
+    assert calls == {"logreg": (5, None), "nb": (5, None), "bootstrap": 1000}
