@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,33 +13,61 @@ from pyspark.sql import functions as F
 from quire.session import ship
 
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through spark.checkpoint.dir, the folder that the driver and all executors share."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share; only a local master may do without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that all nodes see, for tables an operator writes."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return sc.getCheckpointDir()
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` as a checkpoint, to be broadcast if its rows are counted to be ``most`` at most, else to be shuffled."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+#: What the JVM sends to a worker at a time. A batch ends with the row that passes it, so long texts come few at a time.
+BATCH_BYTES = 8 << 20
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow in batches of at most ``rows`` rows, so that a worker holds few of the longest texts at a time."""
-    ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow in batches of at most ``rows`` rows and about BATCH_BYTES bytes.
+
+    The bound in bytes is the session's, as Spark reads it when the plan runs: one fixed value, unless the session names
+    its own. The rows are cut here, for each operator by itself.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, BATCH_BYTES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, rows) for b in batches for at in range(0, max(1, b.num_rows), rows))
+
+    return df.mapInArrow(cut, schema)
 
 
 def crc_mod(doc_id: Column | str, modulus: int) -> Column:

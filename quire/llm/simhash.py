@@ -9,6 +9,7 @@ broadcast tree of all fingerprints would grow with the data.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections import Counter
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.runtime import checkpoint, map_arrow, table, utf8
+from quire.llm.runtime import checkpoint, map_arrow, small, table, utf8
 
 SEED = 42
 _BLOCK = 1 << 16
@@ -118,24 +119,31 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(i, r) for i in range(len(values)) if (r := root(i)) != i]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables that hold whole runs of equal keys, of input that is sorted by them."""
-    kept: pa.Table | None = None
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """Tables that hold whole runs of equal keys, of input that is sorted by them; a run past ``most`` rows is cut there."""
+    kept: list[pa.Table] = []  # the run that may go on
+
+    def whole() -> pa.Table:
+        return pa.concat_tables(kept).combine_chunks()
+
     for b in batches:
         t = pa.Table.from_batches([b])
         if not t.num_rows:
             continue
-        t = pa.concat_tables([kept, t]) if kept is not None else t
-        last, n = [t[k][-1].as_py() for k in keys], t.num_rows
-        same = np.ones(n, bool)
-        for k, v in zip(keys, last, strict=True):
-            same &= t[k].to_numpy() == v
-        cut = n - int(same[::-1].argmin()) if not same.all() else 0
+        cut = int(_starts(t, keys)[-2])
+        goes_on = bool(kept) and all(kept[-1][k][-1].as_py() == t[k][0].as_py() for k in keys)
         if cut:
-            yield t.slice(0, cut).combine_chunks()
-        kept = t.slice(cut)
-    if kept is not None and kept.num_rows:
-        yield kept.combine_chunks()
+            kept.append(t.slice(0, cut))
+        if kept and (cut or not goes_on):
+            yield whole()
+            kept = []
+        kept.append(t.slice(cut))
+        while most and sum(map(len, kept)) > most:
+            t = whole()
+            yield t.slice(0, most)
+            kept = [t.slice(most)]
+    if kept:
+        yield whole()
 
 
 def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -223,47 +231,15 @@ def band_places(bits: int, bands: int, width: int, seed: int = SEED) -> np.ndarr
     return np.concatenate(deals)[:bands]
 
 
-def _nearest(values: list[int], radius: int, most: int, own: Callable[[int, int], bool]) -> Iterator[tuple[int, list[int], bool]]:
-    """(place, places before it, whether there are more) of values with any.
-
-    The places are those of the ``most`` nearest ones within the radius; what isn't this shard's ``own`` is left to another.
-    """
+def _nearest(values: list[int], radius: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """(place, place before it, distance) for each value's ``most`` nearest ones within the radius among those before it."""
     tree = BKTree()
     for i, v in enumerate(values):
-        if near := tree.near(v, radius):
-            ranked = [j for _, j in heapq.nsmallest(most, (((values[j] ^ v).bit_count(), j) for j in near))]
-            more = len(near) > most and any(own(v, values[j]) for j in set(near).difference(ranked))
-            if (mine := [j for j in ranked if own(v, values[j])]) or more:
-                yield i, mine, more
+        for d, j in heapq.nsmallest(most, (((values[j] ^ v).bit_count(), j) for j in tree.near(v, radius))):
+            yield i, j, d
         tree.add(v)
 
 
-def bottom_sketch(text: bytes, k: int, most: int) -> bytes:
-    """The ``most`` smallest 32-bit hashes of the text's k-word shingles, ascending; all of them if there are no more."""
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), k)), np.uint64)
-    return np.unique(h >> np.uint64(32)).astype(np.uint32)[:most].tobytes()
-
-
-def may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float, most: int) -> bool:
-    """Whether the texts of two sketches can have that Jaccard similarity.
-
-    Whole sketches give the similarity itself, with a little room for equal hashes; others an estimate from the smallest
-    hashes of the union, taken with 4.5 deviations of room.
-    """
-    whole = len(x) < most and len(y) < most
-    if whole and min(len(x), len(y)) < (similarity - 0.01) * max(len(x), len(y)):
-        return False
-    both = np.sort(np.concatenate((x, y)), kind="stable")
-    twice = both[1:] == both[:-1]
-    n = len(both) - int(twice.sum())
-    if whole:
-        return len(both) - n >= (similarity - 0.01) * n
-    n = min(n, most)
-    last = both[np.flatnonzero(np.append(True, ~twice))[n - 1]]
-    room = 4.5 * math.sqrt(similarity * (1 - similarity) / n)
-    return int((twice & (both[1:] <= last)).sum()) >= (similarity - room) * n
-
-
 def hash_set(text: bytes, k: int) -> np.ndarray:
     """The distinct XXH64 hashes of the text's k-word shingles, ascending."""
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), k)), np.uint64))
@@ -308,106 +284,81 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndar
     return h[np.lexsort((h, seen))[:most]]
 
 
-def _prefix_pairs(first: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Arrays (pair, 2) of the members of one prefix hash that can be alike by their sizes and places, and have other roots."""
+def _prefix_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float, one: bool) -> Iterator[np.ndarray]:
+    """Arrays (pair, 2) of the members of one prefix hash that can be alike by their sizes and places, and have other roots.
+
+    With ``one`` a member gets one partner, the likeliest, of each other root.
+    """
     order = np.argsort(n, kind="stable")
-    first, n, left, root = first[order], n[order], (n - pos)[order], root[order]
+    node, n, left, root = node[order], n[order], (n - pos)[order], root[order]
     least = np.searchsorted(n, np.ceil(similarity * n - 1e-9))
     for i in range(1, len(n)):
-        j = slice(least[i], i)
+        j = np.arange(least[i], i)
+        both = np.minimum(left[j], left[i])
         need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
-        if len(other := first[j][(root[j] != root[i]) & (np.minimum(left[i], left[j]) >= need)]):
-            yield np.stack((np.minimum(other, first[i]), np.maximum(other, first[i])), axis=1)
+        j = j[(root[j] != root[i]) & (both >= need)]
+        if one and len(j) > 1:
+            j = j[np.lexsort((n[j] - left[j], n[i] - n[j]))]
+            j = j[np.unique(root[j], return_index=True)[1]]
+        if len(j):
+            yield np.stack((np.minimum(node[j], node[i]), np.maximum(node[j], node[i])), axis=1)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 56, width: int = 16, nearest: int = 4, bottom: int = 512) -> DataFrame:
-    """(id, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
+def radius_of(similarity: float, bits: int) -> int:
+    """The expected number of differing bits at that Jaccard similarity, and 2.5 deviations."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.floor(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
 
-    A similarity of 0.8 differs in about 15 % of SimHash bits, far past where pigeonhole keys help, so fingerprints are
-    ``words64`` * 64 bits wide and a shard is the texts that agree on one of ``bands`` sets of ``width`` bits. Most similar
-    texts share one, fewer the shorter the texts are and the nearer they are to the bound. A shard's BK-tree gives
-    each text the ``nearest`` ones within the radius (the similarity's expected distance and 2.5 deviations), so candidates
-    grow with texts and not with pairs; a pair belongs to the first shard that it shares. Each is then checked exactly on its shingle sets. Links that hold make components.
-    A second pass takes the texts that had more candidates in a shard and looks at all of those, but for the ones that their
-    component holds by then: the number of candidates is no cap. There a text is its ``bottom`` smallest shingle hashes, so
-    that a shard's memory doesn't follow the texts' length; pairs that these can't rule out are checked exactly as well.
-    A third pass is exact and takes what shards or the radius miss, at any length: texts that share a hash of their
-    ``prefix`` (two alike ones always do) and are in different components by then are candidates, if their sizes and the
-    hash's places allow the similarity. So every pair of ``similarity`` or more is in one component: recall is 1.
-
-    Equal fingerprints collapse first. Null and empty texts are alike; null ids keep their row and never are a minimum;
-    repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
+
+def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity: float, words64: int, bands: int, width: int, nearest: int, shard: int) -> DataFrame:
+    """(id, raw, digest, component_id, stays) for every row: raw is the text's MD5; ``near_duplicates`` says the rest.
+
+    ``stays`` marks the rows of the group's smallest id, and of the smallest shingle set among those.
     """
     bits = 64 * words64
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    radius = math.floor(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+    radius = radius_of(similarity, bits)
     places = band_places(bits, bands, width)
-    masks = [sum(1 << int(i) for i in at) for at in places]
+    further = np.random.default_rng(SEED + 1).permutation(bits)[:32]
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = common.value
         for b in batches:
-            held = [hash_set(t, k) for t in utf8(b.column(1))]
-            fp = [_vote((h[i : i + _BLOCK] for i in range(0, len(h) + 1, _BLOCK)), words64).tobytes() for h in held]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array([len(h) for h in held], pa.int64()), pa.array([prefix(h, similarity, *common.value).tobytes() for h in held], pa.binary())], ["id", "fp", "n", "prefix"])
+            raw, digest, fp, size, first = [], [], [], [], []
+            for t in utf8(b.column(1)):
+                h = hash_set(t, k)
+                raw.append(hashlib.md5(t, usedforsecurity=False).digest()), digest.append(xxhash.xxh3_128_digest(h.tobytes())), size.append(len(h))
+                fp.append(_vote((h[i : i + _BLOCK] for i in range(0, len(h) + 1, _BLOCK)), words64).tobytes())
+                first.append(prefix(h, similarity, *order).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.binary()) for x in (raw, digest, fp)), pa.array(size, pa.int32()), pa.array(first, pa.binary())], ["id", "raw", "digest", "fp", "n", "prefix"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = df.sparkSession.sparkContext.broadcast(common_hashes(src, k))
-    docs = checkpoint(map_arrow(src, wide, "id long, fp binary, n long, prefix binary"))
-    distinct = checkpoint(docs.where("id is not null").groupBy("fp").agg(F.min("id").alias("first")))
+    docs = checkpoint(map_arrow(src, wide, "id long, raw binary, digest binary, fp binary, n int, prefix binary"))
+    # Equal shingle sets are one node from here on.
+    nodes = docs.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(width, dtype=np.int64)
+        weight, high = 1 << np.arange(width, dtype=np.int64), 1 << np.arange(len(further), dtype=np.int64)
         for b in batches:
-            n = b.num_rows
-            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(n, -1)
-            on = np.unpackbits(raw, axis=1, bitorder="little")
+            on = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            more = pa.array(on[:, further] @ high)
             for j, at in enumerate(places):
-                yield pa.RecordBatch.from_arrays([pa.array((on[:, at] @ weight) * bands + j), b.column(1), b.column(0)], ["key", "first", "fp"])
-
-    dealt = map_arrow(distinct.select("fp", "first"), deal, "key long, first long, fp binary", rows=4096)
-
-    def members(t: pa.Table, lo: int, hi: int) -> list[int]:
-        return [int.from_bytes(x, "little") for x in t["fp"].slice(lo, hi - lo).to_pylist()]
-
-    def owner(key: int) -> Callable[[int, int], bool]:
-        """Whether the shard ``key`` is the first that two of its members share."""
-        before = masks[: key % bands]
-        return lambda v, w: all((v ^ w) & m for m in before)
+                yield pa.RecordBatch.from_arrays([pa.array((on[:, at] @ weight) * bands + j), more, b.column(1), b.column(0)], ["key", "more", "node", "fp"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b), and (key, b) of texts with more candidates in that shard."""
-        for t in _runs(batches, ["key"]):
-            at, first, keys, a, b, more = _starts(t, ["key"]), t["first"].to_numpy(), t["key"].to_numpy(), [], [], []
-            for i in np.flatnonzero(np.diff(at) > 1):
-                for x, near, others in _nearest(members(t, at[i], at[i + 1]), radius, nearest, owner(int(keys[at[i]]))):
-                    a += [*(first[at[i] + y] for y in near), *([None] if others else [])]
-                    b += [first[at[i] + x]] * (len(near) + others)
-                    more += [*[None] * len(near), *([keys[at[i]]] if others else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, more)], ["a", "b", "key"])
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bottom_sketch(t, k, bottom) for t in utf8(b.column(1))], pa.binary())], ["first", "sketch"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The further candidates that may be alike of the texts with more, but for those that their component holds already."""
-        for t in _runs(batches, ["key"]):
-            at, first, root, asks, keys, a, b = _starts(t, ["key"]), t["first"].to_numpy(), t["root"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), t["key"].to_numpy(), [], []
+        for t in _runs(batches, ["key", "part"], shard):
+            at, node, a, b, d = _starts(t, ["key", "part"]), t["node"].to_numpy(), [], [], []
             for lo, hi in zip(at, at[1:], strict=False):
-                own, values = owner(int(keys[lo])), members(t, lo, hi)
-                tree, held = BKTree(), [np.frombuffer(x, np.uint32) for x in t["sketch"].slice(lo, hi - lo).to_pylist()]
-                for x, v in enumerate(values):
-                    for y in tree.near(v, radius) if asks[lo + x] else ():
-                        if root[lo + y] != root[lo + x] and own(v, values[y]) and may_be_alike(held[y], held[x], similarity, bottom):
-                            a.append(first[lo + y])
-                            b.append(first[lo + x])
-                    tree.add(v)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if hi - lo > 1:
+                    for x, y, apart in _nearest([int.from_bytes(v, "little") for v in t["fp"].slice(lo, hi - lo).to_pylist()], radius, nearest):
+                        a.append(node[lo + y]), b.append(node[lo + x]), d.append(apart)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], ["a", "b", "d"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [hash_set(t, k).tobytes() for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            held = [hash_set(t, k).tobytes() for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h) for h in held], pa.binary()), pa.array(held, pa.binary())], ["digest", "shingles"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -418,69 +369,104 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike, by their whole shingle sets."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        named = small(ends.join(nodes.select("node", "digest", "first"), "node"), 500_000)
+        texts = src.join(named.withColumnRenamed("first", "id").select("id"), "id", "left_semi")
+        of = map_arrow(texts, sets, "digest binary, shingles binary").join(named.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        both = pairs.join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        return checkpoint(map_arrow(both.select("a", "b", "x", "y"), alike, "a long, b long", rows=256))
+
     def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
             size = [len(h) for h in held]
-            first, n, root = (np.repeat(b.column(i).to_numpy(), size) for i in range(3))
+            cols = [np.repeat(b.column(i).to_numpy(), size) for i in range(3)]
             h, pos = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (held, map(np.arange, size)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, first, n, pos, root)], ["h", "first", "n", "pos", "root"])
-
-    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["h"]):
-            at, (first, n, pos, root) = _starts(t, ["h"]), (t[c].to_numpy() for c in ("first", "n", "pos", "root"))
-            mixed = np.minimum.reduceat(root, at[:-1]) != np.maximum.reduceat(root, at[:-1])
-            out = [np.zeros((0, 2), np.int64)]
-            for i in np.flatnonzero(mixed):
-                part = slice(at[i], at[i + 1])
-                out += _prefix_pairs(first[part], n[part], pos[part], root[part], similarity)
-            both = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *cols, pos.astype(np.int32))], ["h", "node", "n", "root", "pos"])
+
+    def sharing(one: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _runs(batches, ["h"]):
+                at, (node, n, pos, root) = _starts(t, ["h"]), (t[c].to_numpy() for c in ("node", "n", "pos", "root"))
+                for i in np.flatnonzero(np.minimum.reduceat(root, at[:-1]) != np.maximum.reduceat(root, at[:-1])):
+                    part = slice(at[i], at[i + 1])
+                    if found := list(_prefix_pairs(node[part], n[part], pos[part], root[part], similarity, one)):
+                        both = np.unique(np.concatenate(found), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        return run
+
+    # First the texts of equal fingerprints, and each text's nearest ones of all its shards.
+    alone = nodes.groupBy("fp").agg(F.min("node").alias("a"))
+    same = nodes.join(alone, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    alone = checkpoint(alone)
+    dealt = map_arrow(alone.select("fp", F.col("a").alias("node")), deal, "key long, more long, node long, fp binary", rows=4096)
+    hot = small(dealt.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.log2(F.col("count") / shard)).cast("int").alias("cut")), 100_000)
+    dealt = dealt.join(hot, "key", "left").select("key", F.when(F.col("cut").isNull(), 0).otherwise(F.col("more").bitwiseAND(F.expr("shiftleft(1L, least(cut, 32)) - 1"))).alias("part"), "node", "fp")
+    found = map_arrow(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node"), candidates, "a long, b long, d int", rows=4096)
+    best = found.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, nearest).alias("x")).select(F.explode("x.a").alias("a"), "b")
+    pairs = checkpoint(best.union(same))
+    roots = connected_components(links_of(pairs))
+    grouped = checkpoint(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    # Then, exactly, texts of different groups that share a hash of their prefixes.
+    spread = map_arrow(grouped.select("node", "n", "root", "prefix"), by_hash, "h long, node long, n int, root long, pos int")
+    mixed = small(spread.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), 500_000)
+    spread = checkpoint(spread.join(mixed, "h", "left_semi"))
+    for one in (True, False):
+        ordered = spread.repartition("h").sortWithinPartitions("h", "node").select("h", "node", "n", "root", "pos")
+        more = checkpoint(map_arrow(ordered, sharing(one), "a long, b long", rows=4096).distinct().join(pairs, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        of_a, of_b = (grouped.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        between = links_of(more).join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        joined = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        grouped, spread = (checkpoint(x.join(joined, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")) for x in (grouped.select("node", "digest", "first", "root"), spread))
+        pairs = pairs.union(more)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike, with each other's shingle sets at hand."""
-        named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        of = checkpoint(map_arrow(src.join(named, "id", "left_semi"), sets, "id long, shingles binary").dropDuplicates(["id"]))
-        both = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return checkpoint(map_arrow(both, alike, "a long, b long", rows=256))
-
-    found = checkpoint(map_arrow(dealt.repartition("key").sortWithinPartitions("key", "first"), candidates, "a long, b long, key long", rows=4096))
-    pairs = checkpoint(found.where("a is not null").select("a", "b").distinct())
-    edges = links_of(pairs)
-    roots = connected_components(edges)
-    asking = found.where("a is null").select("key", F.col("b").alias("first"), F.lit(True).alias("asks"))
-    shards = dealt.join(asking.select("key").distinct(), "key", "left_semi").join(asking, ["key", "first"], "left")
-    shards = checkpoint(shards.join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", "first", "fp", F.coalesce("root", "first").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks")))
-    named = shards.select(F.col("first").alias("id")).distinct()
-    sketched = map_arrow(src.join(named, "id", "left_semi"), sketches, "first long, sketch binary").dropDuplicates(["first"])
-    further = map_arrow(shards.join(sketched, "first").repartition("key").sortWithinPartitions("key", "first").select(shards.columns + ["sketch"]), rest, "a long, b long", rows=1024)
-    further = checkpoint(further.distinct().join(pairs, ["a", "b"], "left_anti"))
-    # The second pass joins whole components, so only their roots are its nodes.
-    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    between = links_of(further).join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = connected_components(between).select(F.col("node").alias("at"), F.col("root").alias("component"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "first"), "first", "left").select("fp", "first", F.coalesce("root", "first").alias("at"))
-    grouped = checkpoint(rooted.join(joined, "at", "left").select("fp", "first", F.coalesce("component", "at").alias("root")))
-    prefixes = docs.join(grouped.select("fp", F.col("first").alias("id"), "root"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "n", "root", "prefix")
-    dealt = map_arrow(prefixes, by_hash, "h long, first long, n long, pos long, root long").repartition("h").sortWithinPartitions("h", "first")
-    last = map_arrow(dealt, sharing, "a long, b long", rows=4096).distinct().join(pairs.union(further), ["a", "b"], "left_anti")
-    to_a, to_b = (grouped.select(F.col("first").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    ends = links_of(checkpoint(last)).join(to_a, "a").join(to_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    ends = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("component"))
-    grouped = grouped.join(ends, "root", "left").select("fp", F.coalesce("component", "root").alias("component_id"))
-    return docs.join(grouped, "fp", "left").select("id", "component_id")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
+    least = grouped.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("least"))
+    of = grouped.join(least, "root").select("digest", F.col("least.first").alias("component_id"), F.col("least.digest").alias("least"))
+    out = docs.join(of, "digest", "left").select("id", "raw", "digest", "component_id", "least")
+    return out.select("id", "raw", "digest", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), ((F.col("id") == F.col("component_id")) & (F.col("digest") == F.col("least"))).alias("stays"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 48, width: int = 16, nearest: int = 2, shard: int = 4096) -> DataFrame:
+    """(id, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    A similarity of 0.8 differs in about 15 % of SimHash bits, far past where pigeonhole keys help, so fingerprints are
+    ``words64`` * 64 bits wide and a shard is the texts that agree on one of ``bands`` sets of ``width`` bits. A shard of
+    more than ``shard`` texts is dealt on by further bits. Its BK-tree gives each text the ``nearest`` ones before it within
+    the radius (``radius_of``), and of those of all its shards the ``nearest`` are checked on their whole shingle sets; texts
+    of equal fingerprints are checked against the first of them. So candidates grow with texts and not with pairs. Links
+    that hold make groups.
+
+    What shards, radius and ``nearest`` leave out is taken exactly: two sets of that similarity share a hash of their
+    prefixes (``prefix``). Where a prefix hash has texts of different groups, each text is checked against one text of every
+    other group, then, of groups that are still apart, against all whose sizes and places allow the similarity. So every
+    pair of ``similarity`` or more is in one group: recall is 1 by construction, and no limit drops a link.
+
+    Equal sets collapse first. Null and empty texts are alike; null ids keep their row, belong to no group and have a null
+    component; repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
+    """
+    return _near_groups(df, id_col, text_col, k, similarity, words64, bands, width, nearest, shard).select("id", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 48, width: int = 16, nearest: int = 2, shard: int = 4096) -> DataFrame:
     """The rows of ``df``, all columns, with one row of each group of ``near_duplicates`` left: the smallest id's.
 
-    Rows of one id with equal texts are one row as well. A row without an id can't be told from others and stays.
+    Of rows that repeat an id each counts with its own text: of a group's rows with the smallest id one stays, and no row
+    goes because another row of its id does. A row without an id can't be told from others and stays.
     """
-    groups = checkpoint(near_duplicates(df, id_col, text_col, **how).where("id is not null"))
-    gone = groups.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    again = groups.groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col))
-    kept = df.join(gone, id_col, "left_anti")
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])).select(df.columns)
+    groups = checkpoint(_near_groups(df, id_col, text_col, k, similarity, words64, bands, width, nearest, shard).where("id is not null"))
+    again = groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
+    gone = groups.where("not stays").select(F.col("id").alias("__id")).distinct()
+    rows = df.withColumn("__id", F.col(id_col).cast("long"))
+    once = rows.join(gone.union(again).distinct(), "__id", "left_anti")
+    left = groups.where("stays").join(again.withColumnRenamed("__id", "id"), "id", "left_semi").groupBy("id", "digest").agg(F.min("raw").alias("raw")).select(F.col("id").alias("__id"), F.col("raw").alias("__raw"))
+    several = rows.withColumn("__raw", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).join(left, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"])
+    return once.select(df.columns).unionByName(several.select(df.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
