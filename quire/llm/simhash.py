@@ -420,11 +420,13 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
         more = checkpoint(map_arrow(ordered, sharing(one), "a long, b long", rows=4096).distinct().join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
+        pairs, links = pairs.union(more), links_of(more)
+        if links.isEmpty():
+            continue
         of_a, of_b = (grouped.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        between = links_of(more).join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        between = links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         joined = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
         grouped, spread = (checkpoint(x.join(joined, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")) for x in (grouped.select("node", "digest", "first", "root"), spread))
-        pairs = pairs.union(more)
 
     least = grouped.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("least"))
     of = grouped.join(least, "root").select("digest", F.col("least.first").alias("component_id"), F.col("least.digest").alias("least"))
