@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -49,6 +50,15 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
+
+    It acts on the driver's garbage collections, which may be half an hour apart while executors' disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: What the JVM sends to a worker at a time. A batch ends with the row that passes it, so long texts come few at a time.
 BATCH_BYTES = 8 << 20
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.runtime import checkpoint, map_arrow, small, table, utf8
+from quire.llm.runtime import checkpoint, map_arrow, release, small, table, utf8
 
 SEED = 42
 _BLOCK = 1 << 16
@@ -245,6 +245,18 @@ def hash_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), k)), np.uint64))
 
 
+def short(h: np.ndarray) -> bytes:
+    """Ascending hashes by their upper six bytes: what travels of a set. Two texts' unequal shingles agree in these about
+    once in 10^9 pairs of texts of 500 shingles."""
+    return (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unshort(raw: pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def common_hashes(src: DataFrame, k: int, docs: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, counts) of the shingles seen most in about ``docs`` rows of ``src(id, text)``.
 
@@ -284,24 +296,33 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndar
     return h[np.lexsort((h, seen))[:most]]
 
 
-def _prefix_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float, one: bool) -> Iterator[np.ndarray]:
-    """Arrays (pair, 2) of the members of one prefix hash that can be alike by their sizes and places, and have other roots.
+def prefix_pairs(t: pa.Table, similarity: float, most: int = 1 << 21) -> Iterator[np.ndarray]:
+    """Arrays (pair, 5) of a, b, their roots and a bound of their overlap, for members of one hash ``h`` with different roots
+    that can be alike by their sizes and places. ``t`` is sorted by (h, n).
 
-    With ``one`` a member gets one partner, the likeliest, of each other root.
+    Members are compared at a distance of one place, of two, and so on, all hashes at once, as long as sizes allow.
     """
-    order = np.argsort(n, kind="stable")
-    node, n, left, root = node[order], n[order], (n - pos)[order], root[order]
-    least = np.searchsorted(n, np.ceil(similarity * n - 1e-9))
-    for i in range(1, len(n)):
-        j = np.arange(least[i], i)
-        both = np.minimum(left[j], left[i])
-        need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
-        j = j[(root[j] != root[i]) & (both >= need)]
-        if one and len(j) > 1:
-            j = j[np.lexsort((n[j] - left[j], n[i] - n[j]))]
-            j = j[np.unique(root[j], return_index=True)[1]]
-        if len(j):
-            yield np.stack((np.minimum(node[j], node[i]), np.maximum(node[j], node[i])), axis=1)
+    node, n, pos, root = (t[c].to_numpy() for c in ("node", "n", "pos", "root"))
+    run = np.cumsum(np.append(0, np.diff(t["h"].to_numpy()) != 0))
+    left, least = n - pos, np.ceil(similarity * n - 1e-9)
+    k, apart, held = np.arange(len(n)), 0, []
+    while len(k):
+        apart += 1
+        k = k[k + apart < len(n)]
+        k = k[(run[k] == run[k + apart]) & (n[k] >= least[k + apart])]
+        i, j = k, k + apart
+        both = np.minimum(left[i], left[j])
+        good = (root[i] != root[j]) & (both >= np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9))
+        i, j, both = i[good], j[good], both[good]
+        if len(i):
+            turn = node[i] > node[j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            held.append(np.stack((node[i], node[j], root[i], root[j], 1_000_000 * both // (n[i] + n[j])), axis=1))
+            if sum(map(len, held)) > most:
+                yield np.unique(np.concatenate(held), axis=0)
+                held = []
+    if held:
+        yield np.unique(np.concatenate(held), axis=0)
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -333,10 +354,10 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = df.sparkSession.sparkContext.broadcast(common_hashes(src, k))
-    docs = checkpoint(map_arrow(src, wide, "id long, raw binary, digest binary, fp binary, n int, prefix binary"))
-    # Equal shingle sets are one node from here on.
-    nodes = docs.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    whole = checkpoint(map_arrow(src, wide, "id long, raw binary, digest binary, fp binary, n int, prefix binary").withColumn("row", F.monotonically_increasing_id()))
+    docs = checkpoint(whole.select("id", "raw", "digest"))
+    # Equal shingle sets are one node from here on: the number of one of their rows.
+    nodes = checkpoint(whole.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.min("row").alias("node"), F.first("fp").alias("fp")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, high = 1 << np.arange(width, dtype=np.int64), 1 << np.arange(len(further), dtype=np.int64)
@@ -357,14 +378,14 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [hash_set(t, k).tobytes() for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h) for h in held], pa.binary()), pa.array(held, pa.binary())], ["digest", "shingles"])
+            held = [hash_set(t, k) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in held], pa.binary()), pa.array(map(short, held), pa.binary())], ["digest", "shingles"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unshort(x.as_buffer()), unshort(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -386,17 +407,11 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
             h, pos = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (held, map(np.arange, size)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *cols, pos.astype(np.int32))], ["h", "node", "n", "root", "pos"])
 
-    def sharing(one: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _runs(batches, ["h"]):
-                at, (node, n, pos, root) = _starts(t, ["h"]), (t[c].to_numpy() for c in ("node", "n", "pos", "root"))
-                for i in np.flatnonzero(np.minimum.reduceat(root, at[:-1]) != np.maximum.reduceat(root, at[:-1])):
-                    part = slice(at[i], at[i + 1])
-                    if found := list(_prefix_pairs(node[part], n[part], pos[part], root[part], similarity, one)):
-                        both = np.unique(np.concatenate(found), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        return run
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "root_a", "root_b", "bound"]
+        for t in _runs(batches, ["h"]):
+            for found in prefix_pairs(t, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names)
 
     # First the texts of equal fingerprints, and each text's nearest ones of all its shards.
     alone = nodes.groupBy("fp").agg(F.min("node").alias("a"))
@@ -409,24 +424,34 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
     best = found.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, nearest).alias("x")).select(F.explode("x.a").alias("a"), "b")
     pairs = checkpoint(best.union(same))
     roots = connected_components(links_of(pairs))
-    grouped = checkpoint(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    grouped = checkpoint(nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    release(df.sparkSession)
 
     # Then, exactly, texts of different groups that share a hash of their prefixes.
-    spread = map_arrow(grouped.select("node", "n", "root", "prefix"), by_hash, "h long, node long, n int, root long, pos int")
+    of = small(grouped.select(F.col("node").alias("row"), "root"), 500_000)
+    spread = map_arrow(whole.select("row", "n", "prefix").join(of, "row").select("row", "n", "root", "prefix"), by_hash, "h long, node long, n int, root long, pos int")
     mixed = small(spread.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), 500_000)
     spread = checkpoint(spread.join(mixed, "h", "left_semi"))
-    for one in (True, False):
-        ordered = spread.repartition("h").sortWithinPartitions("h", "node").select("h", "node", "n", "root", "pos")
-        more = checkpoint(map_arrow(ordered, sharing(one), "a long, b long", rows=4096).distinct().join(pairs, ["a", "b"], "left_anti"))
+    del whole, of, mixed
+    for likeliest in (True, False):
+        release(df.sparkSession)
+        ordered = spread.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "node", "n", "root", "pos")
+        more = map_arrow(ordered, sharing, "a long, b long, root_a long, root_b long, bound long", rows=10_000)
+        if likeliest:
+            ends = F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")
+            more = more.groupBy(*ends).agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")
+        else:
+            more = more.select("a", "b").distinct()
+        more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
-            break
+            continue
         pairs, links = pairs.union(more), links_of(more)
         if links.isEmpty():
             continue
         of_a, of_b = (grouped.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
         between = links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         joined = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        grouped, spread = (checkpoint(x.join(joined, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")) for x in (grouped.select("node", "digest", "first", "root"), spread))
+        grouped, spread = (checkpoint(x.join(joined, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")) for x in (grouped, spread))
 
     least = grouped.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("least"))
     of = grouped.join(least, "root").select("digest", F.col("least.first").alias("component_id"), F.col("least.digest").alias("least"))
@@ -434,7 +459,7 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
     return out.select("id", "raw", "digest", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), ((F.col("id") == F.col("component_id")) & (F.col("digest") == F.col("least"))).alias("stays"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 48, width: int = 16, nearest: int = 2, shard: int = 4096) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 32, width: int = 16, nearest: int = 2, shard: int = 4096) -> DataFrame:
     """(id, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     A similarity of 0.8 differs in about 15 % of SimHash bits, far past where pigeonhole keys help, so fingerprints are
@@ -445,8 +470,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that hold make groups.
 
     What shards, radius and ``nearest`` leave out is taken exactly: two sets of that similarity share a hash of their
-    prefixes (``prefix``). Where a prefix hash has texts of different groups, each text is checked against one text of every
-    other group, then, of groups that are still apart, against all whose sizes and places allow the similarity. So every
+    prefixes (``prefix``). Of groups whose texts share such a hash the likeliest pair is checked, then, of those that are
+    still apart, every pair whose sizes and places allow the similarity. So every
     pair of ``similarity`` or more is in one group: recall is 1 by construction, and no limit drops a link.
 
     Equal sets collapse first. Null and empty texts are alike; null ids keep their row, belong to no group and have a null
@@ -455,7 +480,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _near_groups(df, id_col, text_col, k, similarity, words64, bands, width, nearest, shard).select("id", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 48, width: int = 16, nearest: int = 2, shard: int = 4096) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, similarity: float = 0.8, words64: int = 4, bands: int = 32, width: int = 16, nearest: int = 2, shard: int = 4096) -> DataFrame:
     """The rows of ``df``, all columns, with one row of each group of ``near_duplicates`` left: the smallest id's.
 
     Of rows that repeat an id each counts with its own text: of a group's rows with the smallest id one stays, and no row

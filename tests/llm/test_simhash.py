@@ -208,3 +208,29 @@ def test_repeated_ids_lose_no_other_text(spark):
     rows = [(1, text, "a", 1), (1, text.upper(), "a", 1), (1, text + " x", "b", 1), (7, text, "c", 2), (7, other, "d", 3), (9, other + " y", "e", 4)]
     out = sh.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.doc_id, r.fp) for r in out)[1:] == [(7, "d")] and len(out) == 2 and out[0].doc_id in (1, 7)
+
+
+def test_prefix_pairs_against_all_pairs():
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    rows = sorted((rnd.randrange(8), rnd.randrange(1, 40), i, rnd.randrange(3), rnd.randrange(5)) for i in range(150))
+    h, n, node, root, pos = zip(*rows, strict=True)
+    t = pa.table({"h": h, "node": node, "n": pa.array(n, pa.int32()), "root": root, "pos": pa.array(pos, pa.int32())})
+    want = set()
+    for i, (x, a, u, r, p) in enumerate(rows):
+        for y, b, w, q, o in rows[:i]:
+            if x == y and r != q and min(a, b) >= 0.8 * max(a, b) - 1e-9 and min(a - p, b - o) >= 0.8 / 1.8 * (a + b) - 1e-9:
+                want.add((min(u, w), max(u, w)))
+    for most in (1 << 21, 10):
+        got = np.concatenate(list(sh.prefix_pairs(t, 0.8, most)))
+        assert {tuple(x) for x in got[:, :2].tolist()} == want and len(want) > 20
+        of = dict(zip(node, root, strict=True))
+        assert all(of[a] == x and of[b] == y for a, b, x, y, _ in got.tolist())
+
+
+def test_short_sets_keep_their_size():
+    h = np.unique(np.array([random.Random(1).getrandbits(64) for _ in range(1000)] + [0, 2**64 - 1], np.uint64))
+    import pyarrow as pa
+
+    assert (sh.unshort(pa.py_buffer(sh.short(h))) == h >> np.uint64(16)).all() and sh.short(h[:0]) == b""
