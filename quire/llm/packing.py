@@ -2,9 +2,10 @@
 
 A document's ids fill whole windows first; what remains goes to the fill level h that gives the smallest sum of squared
 counts N(h)^2 of partly filled windows, N being the level array. A partition packs on its own, so packing needs no shuffle;
-a task that runs again makes the same sequences from the same rows. At a partition's end (or past ``max_open`` open
-windows) open windows are poured together, cutting pieces, and the last one is cut into powers of two, which need no
-padding.
+a task that runs again makes the same sequences from the same rows. While ``max_open`` windows are open no new one is
+opened: the same rule picks among the open levels, and a piece that fits nowhere is cut to fill a window of the level whose
+loss lowers the sum most, its rest being placed in turn. At a partition's end open windows are poured together, cutting
+pieces, and the last one is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -35,24 +36,32 @@ def byte_letters() -> dict[int, str]:
 class CachedTokenizer:
     """Ids of a byte-level tokenizers file as little-endian uint32 bytes; each distinct match of its split pattern is encoded once.
 
-    Matches go straight to the file's model, so special tokens' strings in a text are ordinary text. The cache is emptied
-    at ``limit`` entries.
+    Matches go straight to the file's model. A text that holds the string of one of the file's added tokens goes through
+    the library's own ``encode``, which gives that token's id. The cache is emptied at ``limit`` entries.
     """
 
     def __init__(self, path: str, pattern: str, limit: int = 500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenize, self.letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.tokenize, self.letters = self.whole.model.tokenize, byte_letters()
         self.find, self.limit, self.known = regex.compile(pattern).findall, limit, _Known(self)
 
     def one(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        return self._bytes([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        ids = array("I", ids)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
     def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self.known) > self.limit:
             self.known.clear()
         return b"".join(map(self.known.__getitem__, self.find(text)))
@@ -98,36 +107,41 @@ class SumOfSquares:
         self.next += 1
 
     def best(self, size: int) -> int:
-        """The level, 0 for a new window, whose choice makes the sum of squares smallest; ties go to the fullest."""
+        """The level, 0 for a new window, whose choice makes the sum of squares smallest; ties go to the fullest.
+
+        At the bound of open windows a level that has no room for the whole piece, if none has.
+        """
         n, cap = self.levels, self.capacity
+        full = self.n_open >= self.max_open
         low = np.flatnonzero(n[1 : cap - size + 1]) + 1
-        new = 2 * n[size] + 1
         if not len(low):
-            return 0
+            return cap - int(n[::-1].argmax()) if full else 0
         after = n[low + size] * 2 + 1
         after[low + size == cap] = 0
         change = after - (2 * n[low] - 1)
         i = len(low) - 1 - int(change[::-1].argmin())
-        return int(low[i]) if change[i] <= new else 0
+        return int(low[i]) if full or change[i] <= 2 * n[size] + 1 else 0
 
     def put(self, piece: tuple) -> None:
-        size = len(piece[2]) // 4
-        h = self.best(size)
-        if h:
-            window = self.open[h].pop()
-            self.levels[h] -= 1
-            self.n_open -= 1
-        else:
-            window = []
-        window.append(piece)
-        if h + size == self.capacity:
-            self.close(window)
-        else:
-            self.open.setdefault(h + size, []).append(window)
-            self.levels[h + size] += 1
-            self.n_open += 1
-            if self.n_open > self.max_open:
-                self.flush(keep_last=True)
+        while piece:
+            doc, start, ids, total = piece
+            size = len(ids) // 4
+            h = self.best(size)
+            if h:
+                window = self.open[h].pop()
+                self.levels[h] -= 1
+                self.n_open -= 1
+            else:
+                window = []
+            room = min(size, self.capacity - h)
+            window.append((doc, start, ids[: 4 * room], total))
+            if h + room == self.capacity:
+                self.close(window)
+            else:
+                self.open.setdefault(h + room, []).append(window)
+                self.levels[h + room] += 1
+                self.n_open += 1
+            piece = (doc, start + room, ids[4 * room :], total) if room < size else None
 
     def add(self, doc: int | None, ids: bytes) -> None:
         total, step = len(ids) // 4, self.capacity * 4
@@ -138,8 +152,8 @@ class SumOfSquares:
             else:
                 self.put(piece)
 
-    def flush(self, keep_last: bool = False) -> None:
-        """Pour the open windows together, emptiest into fullest; at most one stays, which is cut into powers of two."""
+    def flush(self) -> None:
+        """Pour the open windows together, emptiest into fullest; at most one is left, which is cut into powers of two."""
         windows = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
         self.open, self.n_open = {}, 0
         self.levels[:] = 0
@@ -161,11 +175,7 @@ class SumOfSquares:
                 if 4 * cut < len(ids):
                     windows[hi].append((doc, start + cut, ids[4 * cut :], total))
         if lo == hi and windows[lo]:
-            if keep_last and fill[lo] < self.capacity:
-                self.open, self.n_open = {fill[lo]: [windows[lo]]}, 1
-                self.levels[fill[lo]] = 1
-            else:
-                self._powers(windows[lo])
+            self._powers(windows[lo])
 
     def _powers(self, window: list) -> None:
         left = sum(len(p[2]) // 4 for p in window)
@@ -220,6 +230,7 @@ def vocabulary(name: str) -> str:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document's ids and where it lies; ``pack`` has the cases."""
     import public_tokenizers
 
     out = pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)

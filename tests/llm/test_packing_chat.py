@@ -35,10 +35,9 @@ def check_packing(rows, want, capacity):
 
 def test_pack_documents(spark):
     rnd = random.Random(1)
-    texts = [(i, " ".join(rnd.choice(("the", "packing", "über", "x1")) for _ in range(rnd.randrange(1, 400)))) for i in range(200)] + [(200, None), (201, "x y " * 6000), (None, "null id"), (202, " <|endoftext|> ")]
+    texts = [(i, " ".join(rnd.choice(("the", "packing", "über", "x1")) for _ in range(rnd.randrange(1, 400)))) for i in range(200)] + [(200, None), (201, "x y " * 6000), (None, "null id"), (202, " <|endoftext|> "), (203, "a<|endoftext|>b"), (204, "<|endoftext|>" * 3)]
     df = spark.createDataFrame([(i, t, 1, "clash") for i, t in texts], WIDE).repartition(3)
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     want = {}
     for i, t in texts:
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -152,7 +151,6 @@ def test_op4_adds_the_planted_conversation(spark):
 def test_cached_ids_are_those_of_whole_texts():
     rnd = random.Random(11)
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     cached = packing.CachedTokenizer(PATH, P.PATTERN, limit=2000)
     signs = [" ", " ", "  ", "\n", "\t", " \n", "\n ", " ", " ", "\x1f", "\x85", "a", "the", "über", "12", "!", "'s", "'", "🙂", "中", ",", "|", "x" * 70]
     for _ in range(3000):
