@@ -24,8 +24,11 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from quire.llm.components import connected_components
 from quire.llm.runtime import checkpoint, map_arrow, table
-from quire.llm.simhash import _runs, _starts
-from quire.llm.vectors import matrix
+from quire.llm.vectors import matrices
+
+
+#: Cells grow with the vectors, two for each block that they fill, up to this number; longer lists are then dealt in more blocks.
+MOST_CELLS = 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -95,13 +98,13 @@ def _usable(df: DataFrame, id_col: str, vector_col: str, label_col: str, kind: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, x = matrix(b.column(1))
             labels, n = b.column(2).to_pylist(), b.num_rows
             node, vec = [None] * n, [None] * n
-            for i, row in zip(at.tolist(), x.astype(kind), strict=True):
-                if row.any() and labels[i] is not None:
-                    vec[i] = row.tobytes()
-                    node[i] = f"{labels[i]}:{hashlib.blake2b(vec[i], digest_size=16).hexdigest()}"
+            for at, x in matrices(b.column(1)):
+                for i, row in zip(at.tolist(), x.astype(kind), strict=True):
+                    if row.any() and labels[i] is not None:
+                        vec[i] = row.tobytes()
+                        node[i] = f"{labels[i]}:{hashlib.blake2b(vec[i], digest_size=16).hexdigest()}"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), b.column(2), pa.array(vec, pa.binary())], ["id", "node", "label", "v"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
@@ -112,6 +115,8 @@ def pq_links(distinct: DataFrame, kind: str, cosine: float, cells: int, subspace
     """(node, n): links of each distinct vector, counted with multiplicity; (a, b): forest edges. ``distinct``: node, label, v, mult."""
     spark, radius = distinct.sparkSession, math.sqrt(max(0.0, 2 - 2 * cosine))
     n = distinct.count()
+    cells = min(MOST_CELLS, max(cells, 1 << math.ceil(math.log2(max(n, 1) / block) + 1) if n > block else 1))
+    sample = max(sample, 32 * cells)
     share = min(1.0, sample / max(n, 1))
     rows = distinct.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("node", "v").limit(2 * sample).toArrow().to_pylist()
     rows.sort(key=lambda r: r["node"])
@@ -160,34 +165,26 @@ def pq_links(distinct: DataFrame, kind: str, cosine: float, cells: int, subspace
             heads = np.array([f"{k}\0{a}\0{c}" for k, a, c in zip(t["key"].to_pylist(), t["label"].to_pylist(), t["cell"].to_pylist(), strict=True)], object)
             asks = t["ask"].to_numpy()
             new = np.flatnonzero(np.append(True, (heads[1:] != heads[:-1]) | (asks[1:] != asks[:-1])))
-            node, num, left, right = [], [], [], []
             for lo, hi in zip(new, np.append(new[1:], len(heads)), strict=True):
                 part = t.slice(lo, hi - lo)
                 if heads[lo] != now:
+                    if listing is not None:
+                        yield listing.rows()
                     now, listing = heads[lo], None
                 if not asks[lo]:  # the list, which may go on in the next batch
-                    mine = (part["node"].to_pylist(), _units(part["v"].to_pylist(), kind), part["mult"].to_numpy(), _bytes(part["code"]), part["error"].to_numpy(), _bytes(part["asked"]))
-                    listing = mine if listing is None else (listing[0] + mine[0], *(np.concatenate(x) for x in zip(listing[1:], mine[1:], strict=True)))
+                    mine = (np.array(part["node"].to_pylist(), object), _units(part["v"].to_pylist(), kind), part["mult"].to_numpy(), _bytes(part["code"]), part["error"].to_numpy(), _bytes(part["asked"]))
+                    listing = Listing(*mine) if listing is None else listing.longer(mine)
                     continue
                 if listing is None:
                     continue
                 dim, cell = heads[lo].rsplit("\0", 1)[1].split(":")
-                book = shared.value.get(int(dim))
-                q_node, q_mult, q_own = part["node"].to_pylist(), part["mult"].to_numpy(), part["own"].to_numpy()
                 q = _units(part["v"].to_pylist(), kind)
+                q_node, q_mult, q_own = np.array(part["node"].to_pylist(), object), part["mult"].to_numpy(), part["own"].to_numpy()
                 for at in range(0, len(q), 256):
-                    found = _near(q[at : at + 256], listing, book, int(cell), radius, cosine)
-                    for i, j in zip(*found, strict=True):
-                        a, c = q_node[at + i], listing[0][j]
-                        if a == c:
-                            continue
-                        node.append(a), num.append(int(listing[2][j]))
-                        if not listing[5][j, q_own[at + i] >> 3] >> (q_own[at + i] & 7) & 1:  # the other doesn't ask back
-                            node.append(c), num.append(int(q_mult[at + i]))
-                        left.append(a), right.append(c)
-            links = _added(node, num)
-            edges = _forest(left, right)
-            yield pa.RecordBatch.from_arrays([pa.array([*links, *(a for a, _ in edges)], pa.string()), pa.array([*links.values(), *(0 for _ in edges)], pa.int64()), pa.array([*(None for _ in links), *(c for _, c in edges)], pa.string())], ["node", "n", "to"])
+                    s = slice(at, at + 256)
+                    yield listing.ask(q_node[s], q[s], q_mult[s], q_own[s], shared.value.get(int(dim)), int(cell), radius, cosine)
+        if listing is not None:
+            yield listing.rows()
 
     out = checkpoint(map_arrow(dealt, compare, "node string, n long, to string", rows=4096))
     return out.where("to is null").groupBy("node").agg(F.sum("n").alias("n")), out.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
@@ -198,38 +195,53 @@ def _bytes(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _near(q: np.ndarray, listing: tuple, book: Codebook | None, cell: int, radius: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    _, vecs, _, codes, errors, _ = listing
-    if book is None:
-        i, j = np.divmod(np.arange(len(q) * len(vecs)), len(vecs))
-    else:
-        i, j = np.nonzero(book.look_up(q, cell, codes) <= radius + errors + 1e-6)
-    good = np.zeros(len(i), bool)
-    for at in range(0, len(i), 65536):
-        s = slice(at, at + 65536)
-        good[s] = np.einsum("nd,nd->n", q[i[s]], vecs[j[s]]) >= cosine
-    return i[good], j[good]
-
-
-def _added(nodes: list[str], nums: list[int]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for a, n in zip(nodes, nums, strict=True):
-        out[a] = out.get(a, 0) + n
-    return out
-
-
-def _forest(left: list[str], right: list[str]) -> list[tuple[str, str]]:
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    for a, b in zip(left, right, strict=True):
-        a, b = sorted((root(a), root(b)))
-        parent[b] = a
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+def _links(node: list, n: list, to: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.string()), pa.array(n, pa.int64()), pa.array(to, pa.string())], ["node", "n", "to"])
+
+
+class Listing:
+    """A list's vectors, with what its askers have joined: a number of links and a group for each, never the pairs."""
+
+    def __init__(self, nodes: np.ndarray, vecs: np.ndarray, mult: np.ndarray, codes: np.ndarray, errors: np.ndarray, asked: np.ndarray) -> None:
+        self.all = nodes, vecs, mult, codes, errors, asked
+        self.nodes, self.vecs, self.mult, self.codes, self.errors, self.asked = self.all
+        self.links, self.group = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+
+    def longer(self, more: tuple) -> Listing:
+        return Listing(*(np.concatenate(x) for x in zip(self.all, more, strict=True)))
+
+    def near(self, q: np.ndarray, book: Codebook | None, cell: int, radius: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places (asker, listed) of cosines that reach the bound: look-ups first, then the exact product."""
+        if book is None:
+            i, j = np.divmod(np.arange(len(q) * len(self.vecs)), len(self.vecs))
+        else:
+            i, j = np.nonzero(book.look_up(q, cell, self.codes) <= radius + self.errors + 1e-6)
+        good = np.zeros(len(i), bool)
+        for at in range(0, len(i), 65536):
+            s = slice(at, at + 65536)
+            good[s] = np.einsum("nd,nd->n", q[i[s]], self.vecs[j[s]]) >= cosine
+        return i[good], j[good]
+
+    def ask(self, node: np.ndarray, q: np.ndarray, mult: np.ndarray, own: np.ndarray, book: Codebook | None, cell: int, radius: float, cosine: float) -> pa.RecordBatch:
+        """The askers' numbers of links and one edge of each to a group; the listed ones' numbers and groups stay here."""
+        i, j = self.near(q, book, cell, radius, cosine)
+        other = node[i] != self.nodes[j]
+        i, j = i[other], j[other]
+        number = np.bincount(i, self.mult[j], len(q)).astype(np.int64)
+        back = (self.asked[j, own[i] >> 3] >> (own[i] & 7) & 1) == 0  # the listed one doesn't ask back
+        np.add.at(self.links, j[back], mult[i[back]])
+        some, start = np.unique(i, return_index=True)
+        to = []
+        for part in np.split(j, start[1:]) if len(i) else ():
+            groups = np.unique(self.group[part])
+            if len(groups) > 1:
+                self.group[np.isin(self.group, groups)] = groups[0]
+            to.append(self.nodes[groups[0]])
+        return _links([*node[some], *node[some]], [*number[some].tolist(), *[0] * len(some)], [*[None] * len(some), *to])
+
+    def rows(self) -> pa.RecordBatch:
+        has, joined = np.flatnonzero(self.links), np.flatnonzero(self.group != np.arange(len(self.group)))
+        return _links([*self.nodes[has], *self.nodes[joined]], [*self.links[has].tolist(), *[0] * len(joined)], [*[None] * len(has), *self.nodes[self.group[joined]]])
 
 
 def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, cosine: float = 0.98, cells: int = 64, subspaces: int = 8, codes: int = 128, sample: int = 8192, block: int = 4096) -> DataFrame:
@@ -237,8 +249,8 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
 
     A row whose label is null or whose vector is null, zero, or holds null or non-finite components has no links and is
     its own component. Equal vectors of a label are linked; repeated ids stay rows of their own; vectors of different
-    lengths don't meet; an empty table gives no rows. Only the sample (about ``sample`` vectors, drawn by hash) comes to
-    the driver.
+    lengths don't meet; an empty table gives no rows. Cells grow from ``cells`` to MOST_CELLS. Only the sample (about
+    ``sample`` vectors or 32 a cell, drawn by hash) comes to the driver.
     """
     kind = "<f4" if df.schema[vector_col].dataType == ArrayType(FloatType()) else "<f8"
     rows = checkpoint(_usable(df, id_col, vector_col, label_col, kind))
@@ -255,5 +267,6 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def op10_pqdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept rows of ``embeddings``; ``embedding_components`` has the cases."""
     out = embedding_components(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

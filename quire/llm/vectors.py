@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that hold a vector, their components as doubles).
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the rows that hold a vector of it, and their components as doubles.
 
-    A vector that is null or empty, holds a null or non-finite component, or has not the batch's most common length holds no row.
+    A vector that is null or empty, or holds a null or non-finite component, holds no row.
     """
-    n = np.array([len(x) if x is not None else 0 for x in column.to_pylist()], np.int64) if column.null_count else np.diff(column.offsets.to_numpy())
-    if not len(n) or not n.any():
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    dim = np.bincount(n[n > 0]).argmax()
-    at = np.flatnonzero(n == dim)
-    flat = column.take(pa.array(at)).flatten().cast(pa.float64())
-    x = np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(-1, dim)  # nulls become NaN
-    good = np.isfinite(x).all(axis=1)
-    return at[good], x[good]
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(n[n > 0]).tolist():
+        at = np.flatnonzero(n == dim)
+        flat = column.take(pa.array(at)).flatten().cast(pa.float64())
+        x = np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(-1, dim)  # nulls become NaN
+        good = np.isfinite(x).all(axis=1)
+        if good.any():
+            yield at[good], x[good]

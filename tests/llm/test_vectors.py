@@ -109,3 +109,30 @@ def test_queries_on_tables(spark):
     got = pqdedup.op10_pqdedup(spark, d).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == slow_components(raw, 0.98)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_mixed_lengths_in_one_batch(spark):
+    """Each length meets its own, whatever lengths share the batch."""
+    rows = [(i, [1.0, float(i)]) for i in range(5)] + [(10 + i, [1.0, 2.0, float(i)]) for i in range(2)] + [(20, [3.0])]
+    v = spark.createDataFrame([(i, x, "") for i, x in rows], TOP).coalesce(1)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.threshold_top_k(v, v, k=2).collect())
+    want = []
+    for n in (2, 3, 1):
+        some = [r for r in rows if len(r[1]) == n]
+        want += slow_top(some, [i for i, _ in some], 2)
+    assert got == sorted(want)
+    same = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, [5.0, 0.0, 0.0], 1), (5, [1.0], 1)]
+    got = pqdedup.embedding_components(spark.createDataFrame([(*r, "", 1) for r in same], DUP).coalesce(1)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 2), (5, 0, 5)]
+
+
+def test_large_components_are_exact(spark):
+    """Past 2^20 a quantised component is past 2^28, past 2^54 the scores need more than 64 bits: the ranks stay exact."""
+    rows = [(50, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [1e7, -1.0]), (3, [1e7 + 1 / 256, -1.0]), (4, [-1e7, 9.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.threshold_top_k(v, v.where("id = 50")).collect())
+    assert got == slow_top(rows, [50], 5)
+    rows = [(50, [1e30, 1.0]), (1, [1e-30, 0.0]), (2, [2.0**60, 0.0]), (3, [2.0**60 + 2.0**10, 0.0]), (4, [-1e300, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = topk.threshold_top_k(v, v.where("id = 50")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 2, 1, 4] and got[0].score == 2**63 - 1 and got[3].score == -(2**63)
