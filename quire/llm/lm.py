@@ -1,12 +1,17 @@
 """Brown class-based bigram scores.
 
 Every word belongs to one class, P(text) is the product of P(class | class before) * P(word | class), and a text ends with
-an end token. Counts of all words come from the whole training corpus. Words are clustered by *key*: each of the
-``n_words`` most frequent words is its own key, every other word shares the key of its ending and shape, so rare and unseen
-words have a class too. Exchange clustering moves keys between classes, one at a time, as long as the bigram likelihood of
-the classes rises; it works on key bigram counts, a matrix of bounded size that is summed over the whole training corpus.
-Emission probabilities need a word's own count: frequent words' counts travel with the model (bounded), the others are
-joined by word, after a document's repeats are added up.
+an end token. Counts of all words come from the whole training corpus. Words get their classes in two steps:
+
+* Exchange clustering moves the ``n_words`` most frequent words, and the shared *tails* of all others (a hash of a word's
+  ending and shape), between classes, one at a time, as long as the bigram likelihood of the classes rises. It works on a
+  count matrix of bounded size that is summed over the whole training corpus.
+* Every other word of the ``n_table`` most frequent ones is then exchanged by its own contexts: it goes where its counts of
+  classes before and after raise that likelihood most, all words side by side, their contexts summed over the whole corpus.
+
+Words past the table, seen or not, have their tail's class. Class bigrams, class sizes and numbers of types are counted anew
+with these classes. Emission probabilities need a word's own count: the table's counts travel with the model, the others
+are joined by word, after a document's repeats are added up.
 
 Smoothing: transitions add ``alpha``; a word that its class has seen c times gets (c - d) / T, the unknown word of a class
 gets d * V / T (T: the class's tokens, V: its distinct words, d: the discount), so the known words and the unknown one of
@@ -26,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.runtime import checkpoint, crc_mod, map_arrow, table, utf8
+from quire.llm.simhash import _runs, _starts
 
 #: The end token. Words are never empty.
 END = b""
-N_WORDS, N_CLASSES, N_TABLE, DISCOUNT, ALPHA = 400, 32, 50_000, 0.75, 0.1
+N_WORDS, N_CLASSES, N_TABLE, DISCOUNT, ALPHA = 2000, 64, 200_000, 0.75, 0.1
 _TAILS = 256
 _FLUSH = 400_000
 
@@ -47,18 +53,14 @@ def tail_key(word: bytes) -> int:
     return (int.from_bytes(core[-3:], "big") * 2654435761 + 97 * (len(core) != len(word)) + 31 * (not word[:1].isalpha())) % 4294967291 % _TAILS
 
 
-class Keys:
-    """Words to keys 0 .. len - 1: the end token, the frequent words in order, then the tails."""
+class Places(dict):
+    """Words to their places in a table; any other word gives -1 - its tail."""
 
-    def __init__(self, frequent: list[bytes]) -> None:
-        self.frequent = frequent
-        self.of = {END: 0} | {w: i + 1 for i, w in enumerate(frequent)}
-        self.first_tail = len(self.of)
-        self.size = self.first_tail + _TAILS
+    def __missing__(self, word: bytes) -> int:
+        return -1 - tail_key(word)
 
-    def key(self, word: bytes) -> int:
-        k = self.of.get(word)
-        return self.first_tail + tail_key(word) if k is None else k
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -82,36 +84,91 @@ def word_counts(train: DataFrame) -> DataFrame:
     return map_arrow(train.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def key_bigrams(train: DataFrame, keys: Keys) -> np.ndarray:
-    """The counts of key pairs (before, after) of all rows' texts; every text begins after an end token.
+def pair_counts(train: DataFrame, places: Places, of: np.ndarray) -> np.ndarray:
+    """The counts of pairs (before, after) of the groups ``of`` over all rows' texts; every text begins after an end token.
 
-    Each task adds up a matrix of its own, and the driver gets at most keys.size ** 2 sums.
+    ``of`` has the groups of the table's places, then of the tails. Each task adds up a matrix of its own, and the driver
+    gets as many sums as the matrix has places at most.
     """
+    size, shared = int(of.max()) + 1, train.sparkSession.sparkContext.broadcast((places, of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, key = np.zeros(keys.size**2, np.int64), dict(keys.of)
+        m, (at, group) = np.zeros(size**2, np.int64), shared.value
         for b in batches:
             for t in utf8(b.column(0)):
-                ks = np.fromiter(_keyed(words_of(t), key, keys), np.int64)
-                np.add.at(m, np.append(0, ks[:-1]) * keys.size + ks, 1)
-            if len(key) > _FLUSH:
-                key = dict(keys.of)
-        at = np.flatnonzero(m)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], ["pair", "n"])
+                g = group[_shifted(at.of(words_of(t)), len(at))]
+                np.add.at(m, np.append(group[0], g[:-1]) * size + g, 1)
+        some = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(m[some])], ["pair", "n"])
 
     rows = map_arrow(train.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(keys.size**2)
+    out = np.zeros(size**2)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(keys.size, keys.size)
+    return out.reshape(size, size)
+
 
+def _shifted(at: np.ndarray, size: int) -> np.ndarray:
+    """Places with the tails behind the table: -1 becomes ``size``."""
+    return np.where(at >= 0, at, size - 1 - at)
 
-def _keyed(words: list[bytes], key: dict[bytes, int], keys: Keys) -> Iterator[int]:
-    """Keys of words; ``key`` keeps what was worked out."""
-    for w in words:
-        k = key.get(w)
-        if k is None:
-            k = key[w] = keys.first_tail + tail_key(w)
-        yield k
+
+def exchange_by_contexts(train: DataFrame, places: Places, of: np.ndarray, bigrams: np.ndarray, fixed: int) -> np.ndarray:
+    """The classes with those of the table's words from place ``fixed`` on exchanged, all at once, by their own contexts.
+
+    ``bigrams`` are the class pairs under ``of``. A word of n tokens goes to the class h with the largest sum of
+    log N(g, h) and log N(h, g) over the classes g before and after its tokens, less 2 n log N(h): the first-order change
+    of the likelihood that ``exchange`` raises. Ties go to the lowest class; the end's class is left out.
+    """
+    classes, known = len(bigrams), len(places)
+    size = np.log(bigrams.sum(0) + 0.5 * classes)
+    weight = np.concatenate([np.log(bigrams + 0.5), np.log(bigrams.T + 0.5)]) - size
+    weight[:, 0] = -np.inf
+    shared = train.sparkSession.sparkContext.broadcast((places, of))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (at, group), held, n = shared.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            code, times = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(code // (2 * classes)), pa.array((code % (2 * classes)).astype(np.int32)), pa.array(times)], ["word", "side", "n"])
+
+        for b in batches:
+            for t in utf8(b.column(0)):
+                w = at.of(words_of(t))
+                g = group[_shifted(w, known)]
+                own = np.flatnonzero(w >= fixed)
+                if len(own):  # the end is always fixed, so something follows
+                    before = np.where(own > 0, g[own - 1], group[0])
+                    held += [w[own] * 2 * classes + before, w[own] * 2 * classes + classes + g[own + 1]]
+                    n += 2 * len(own)
+            if n > 4 * _FLUSH:
+                yield out()
+                n = 0
+        yield out()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["word"]):
+            start = _starts(t, ["word"])[:-1]
+            best = np.concatenate([np.zeros(0, np.int64), *(np.add.reduceat(weight[side] * n[:, None], first).argmax(1) for side, n, first in _pieces(t["side"].to_numpy(), t["n"].to_numpy(), start))])
+            yield pa.RecordBatch.from_arrays([pa.array(t["word"].to_numpy()[start]), pa.array(best)], ["word", "g"])
+
+    summed = map_arrow(train.select("text"), contexts, "word long, side int, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
+    rows = map_arrow(summed.repartition("word").sortWithinPartitions("word", "side"), choose, "word long, g long", rows=4096).toArrow()
+    out = of.copy()
+    out[rows["word"].to_numpy()] = rows["g"].to_numpy()
+    return out
+
+
+def _pieces(side: np.ndarray, n: np.ndarray, start: np.ndarray, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs in groups of about ``most`` rows or one run, so that their weights take little memory."""
+    ends = np.append(start[1:], len(side))
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(ends, start[lo] + most, "right")))
+        a, z = start[lo], ends[hi - 1]
+        yield side[a:z], n[a:z], start[lo:hi] - a
+        lo = hi
 
 
 def _xlogx(a: np.ndarray) -> np.ndarray:
@@ -173,16 +230,13 @@ def exchange(n: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
 
 
 class ClassModel:
-    """What scoring needs besides the counts of words that are not in ``table``."""
+    """What scoring needs besides the counts of words that are not in the table. ``of``: classes of places, then tails."""
 
-    def __init__(self, keys: Keys, of: np.ndarray, bigrams: np.ndarray, types: np.ndarray, table: dict[bytes, int], total: int, distinct: int, discount: float, alpha: float) -> None:
-        k = int(of.max(initial=0)) + 1
-        hot = np.zeros((keys.size, k))
-        hot[np.arange(keys.size), of] = 1
-        n = hot.T @ bigrams @ hot
-        self.keys, self.of, self.table, self.total, self.distinct, self.discount = keys, of, table, total, distinct, discount
-        self.transition = np.log10((n + alpha) / (n.sum(1, keepdims=True) + alpha * k))
-        self.tokens, self.types = n.sum(0), np.bincount(of, types, k)
+    def __init__(self, places: Places, of: np.ndarray, counts: np.ndarray, bigrams: np.ndarray, types: np.ndarray, total: int, distinct: int, discount: float, alpha: float) -> None:
+        self.places, self.of, self.counts, self.total, self.distinct, self.discount = places, of, counts, total, distinct, discount
+        self.transition = np.log10((bigrams + alpha) / (bigrams.sum(1, keepdims=True) + alpha * len(bigrams)))
+        self.tokens, self.types = bigrams.sum(0), types
+        self.table_emission, self.table_base = self.emission(counts, of[: len(counts)]), self.base(counts)
 
     def emission(self, c: np.ndarray, g: np.ndarray) -> np.ndarray:
         """log10 P(word | class) of words of class g that were seen c times."""
@@ -195,53 +249,58 @@ class ClassModel:
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
-    """Words and their counts by falling count: all from the lowest count on, in steps of an eighth of a doubling, that no more than ``most`` words reach."""
+    """About the ``most`` most frequent words, no more, and their counts, by falling count and then by word.
+
+    All words come from the lowest count on, in steps of an eighth of a doubling, that stays within the bound; of the
+    step that passes it, words are drawn by hash.
+    """
     step = F.floor(8 * F.log2("c")).cast("int")
     words = counts.where(F.length("word") > 0)
-    least, total = None, 0
+    wanted, room = F.lit(False), most
     for s, n in sorted(words.groupBy(step.alias("s")).count().toLocalIterator(), reverse=True):
-        total += n
-        if total > most:
+        if n > room:  # two deviations fewer than there is room for
+            share = max(0.0, (room - 4 * math.sqrt(room)) / n)
+            wanted |= (step == s) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))
             break
-        least = s
-    if least is None:
-        return [], []
-    rows = words.where(step >= least).toArrow()
-    both = sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+        room -= n
+        wanted |= step == s
+    rows = words.where(wanted).toArrow()
+    both = sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))[:most]
     return [w for w, _ in both], [c for _, c in both]
 
 
 def train_model(train: DataFrame, counts: DataFrame, n_words: int, classes: int, n_table: int, discount: float, alpha: float) -> ClassModel:
     spark = train.sparkSession
     words, cs = frequent_words(counts, n_table)
-    keys = Keys(words[:n_words])
-    first_tail, of = keys.first_tail, spark.sparkContext.broadcast(keys.of)
-
-    def key_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, n, ends = np.zeros(first_tail + _TAILS, np.int64), 0, 0
+    keys = Places({w: i for i, w in enumerate([END, *words[:n_words]])})
+    key_of = exchange(pair_counts(train, keys, np.arange(len(keys) + _TAILS)), classes)
+    places = Places({w: i for i, w in enumerate([END, *words])})
+    tails = key_of[len(keys) :]
+    of = np.concatenate([key_of[: len(keys)], tails[[tail_key(w) for w in words[n_words:]]].astype(np.int64), tails])
+    if len(words) > n_words:
+        of = exchange_by_contexts(train, places, of, pair_counts(train, places, of), len(keys))
+    bigrams = pair_counts(train, places, of)
+    known, size, shared = len(places), len(bigrams), spark.sparkContext.broadcast((places, of))
+
+    def class_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, n, (at, group) = np.zeros(size, np.int64), 0, shared.value
         for b in batches:
-            for w in b.column(0).to_pylist():
-                k = of.value.get(w)
-                v[first_tail + tail_key(w) if k is None else k] += 1
+            v += np.bincount(group[_shifted(at.of(b.column(0).to_pylist()), known)], minlength=size)
             n += pc.sum(b.column(1)).as_py() or 0
-        at = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(v[at], n))], ["k", "v"])
+        some = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(v[some], n))], ["k", "v"])
 
-    rows = map_arrow(counts.select("word", "c"), key_types, "k long, v long", rows=4096).groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    rows = map_arrow(counts.select("word", "c"), class_types, "k long, v long", rows=4096).groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     by = dict(zip(rows["k"].to_pylist(), rows["v"].to_pylist(), strict=True))
-    types = np.array([by.get(k, 0) for k in range(keys.size)], float)
-    total, distinct = int(by.get(-1, 0)), int(types.sum())
-    bigrams = key_bigrams(train, keys)
-    table = dict(zip(words, cs, strict=True))
-    table[END] = int(bigrams[:, 0].sum())
-    return ClassModel(keys, exchange(bigrams, classes), bigrams, types, table, total, distinct, discount, alpha)
+    types = np.array([by.get(k, 0) for k in range(size)], float)
+    return ClassModel(places, of, np.array([int(bigrams[:, 0].sum()), *cs], np.int64), bigrams, types, int(by.get(-1, 0)), int(types.sum()), discount, alpha)
 
 
 def score_texts(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_words: int = N_WORDS, classes: int = N_CLASSES, n_table: int = N_TABLE, discount: float = DISCOUNT, alpha: float = ALPHA) -> DataFrame:
     """(row, id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``df``; log10 probabilities.
 
     ``train`` has a column ``text``. Null texts are empty and are their end token alone; with no training text every
-    token is unknown. Repeated and null ids keep their rows; an empty table gives no rows; other columns are ignored.
+    token is unknown. Words of equal counts at the table's edge are drawn by hash. Repeated and null ids keep their rows; an empty table gives no rows; other columns are ignored.
     ``base_score`` is the add-one unigram score.
     """
     spark = df.sparkSession
@@ -252,24 +311,22 @@ def score_texts(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
         """A row a document (n = 0, and a word with a space in it, which no text has), and one for each of its distinct
         words that the table has not."""
         m = model.value
-        keys, table, of = m.keys, m.table, m.of
-        first, key = keys.first_tail, dict(keys.of)
+        places, of, table = m.places, m.of, len(m.counts)
         for b in batches:
             row, ids, word, n, g, size, known, base, score = [], [], [], [], [], [], [], [], []
             for r, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
                 ws = words_of(t)
-                ks = of[np.fromiter(_keyed(ws, key, keys), np.int64, len(ws))]
-                s = float(m.transition[np.append(0, ks[:-1]), ks].sum())
-                c = np.fromiter((table.get(w, -1) for w in ws), np.int64, len(ws))
-                here = c >= 0
-                s += float(m.emission(c[here], ks[here]).sum())
+                at = places.of(ws)
+                ks = of[_shifted(at, table)]
+                here = at[at >= 0]
+                s = float(m.transition[np.append(of[0], ks[:-1]), ks].sum()) + float(m.table_emission[here].sum())
                 row.append(r), ids.append(i), word.append(b" %d" % r), n.append(0), g.append(0), size.append(len(ws))
-                known.append(int((c > 0).sum())), base.append(float(m.base(c[here]).sum())), score.append(s)
-                for w, k in Counter([ws[j] for j in np.flatnonzero(~here)]).items():
-                    row.append(r), ids.append(None), word.append(w), n.append(k), g.append(int(of[key[w]]))
+                known.append(int((m.counts[here] > 0).sum())), base.append(float(m.table_base[here].sum())), score.append(s)
+                rare = np.flatnonzero(at < 0).tolist()
+                where = dict(zip((ws[j] for j in rare), rare, strict=True))
+                for w, k in Counter([ws[j] for j in rare]).items():
+                    row.append(r), ids.append(None), word.append(w), n.append(k), g.append(int(ks[where[w]]))
                     size.append(0), known.append(0), base.append(0.0), score.append(0.0)
-            if len(key) > _FLUSH:
-                key = dict(keys.of)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(ids, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(g, pa.int32()), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["row", "id", "word", "n", "g", "size", "known", "base", "score"])
 
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -291,6 +348,7 @@ def score_texts(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a model of those outside the held-out fold; ``score_texts`` has the cases."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_texts(docs, docs.where(crc_mod("doc_id", 7) != 2))
     return out.select(F.col("id").alias("doc_id"), (crc_mod("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

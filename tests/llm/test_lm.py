@@ -32,13 +32,18 @@ def corpus(seed, n):
     return out
 
 
+def class_of(model, word):
+    at = model.places[word]
+    return int(model.of[at if at >= 0 else len(model.places) - 1 - at])
+
+
 def slow_scores(model, counts, texts):
     """The model's definition, token by token."""
     out = []
     for t in texts:
-        before, s = 0, 0.0
+        before, s = class_of(model, lm.END), 0.0
         for w in lm.words_of((t or "").encode()):
-            g = int(model.of[model.keys.key(w)])
+            g = class_of(model, w)
             s += float(model.transition[before, g]) + float(model.emission(np.array([counts[w]]), np.array([g]))[0])
             before = g
         out.append(s)
@@ -57,7 +62,7 @@ def test_scores_against_the_definition(spark):
     for t in train_texts:
         counts.update(lm.words_of((t or "").encode()))
     model = lm.train_model(train, lm.word_counts(train), 40, 6, 60, 0.75, 0.1)
-    assert len(model.table) < len(counts)  # some words are joined
+    assert 40 < len(model.places) < len(counts)  # some words are joined, some get their class by their contexts
     scores = slow_scores(model, counts, texts)
     assert len(got) == len(texts)
     for r, w, s in zip(got, want, scores, strict=True):
@@ -76,7 +81,7 @@ def test_probabilities_add_up(spark):
     model = lm.train_model(train, lm.word_counts(train), 30, 5, 50, 0.75, 0.1)
     assert np.allclose((10**model.transition).sum(1), 1)
     for g in range(len(model.tokens)):
-        c = np.array([counts[w] for w in counts if model.of[model.keys.key(w)] == g] + [0])
+        c = np.array([counts[w] for w in counts if class_of(model, w) == g] + [0])
         assert math.isclose((10 ** model.emission(c, np.full(len(c), g))).sum(), 1, abs_tol=1e-9)
     assert model.total == sum(counts.values()) and model.distinct == len(counts)
 
@@ -122,3 +127,43 @@ def test_op7(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and math.isclose(r.base_score, want[r.doc_id][3], rel_tol=1e-9)
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_contexts_find_the_best_class(spark):
+    """The step for the table's further words, word by word: the class of the largest first-order gain."""
+    texts = corpus(7, 200)
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = Counter()
+    for t in texts:
+        counts.update(lm.words_of(t.encode()))
+    words = [w for w, _ in counts.most_common() if w][:150]
+    places = lm.Places({w: i for i, w in enumerate([lm.END, *words])})
+    rng = np.random.default_rng(1)
+    of = np.append(0, rng.integers(1, 7, len(words) + lm._TAILS))
+    bigrams = lm.pair_counts(train, places, of)
+    want = np.zeros_like(bigrams)
+    sides = {}
+    for t in texts:
+        ws = lm.words_of(t.encode())
+        g = [int(of[places[w] if places[w] >= 0 else len(places) - 1 - places[w]]) for w in ws]
+        for i, w in enumerate(ws):
+            before = g[i - 1] if i else 0
+            want[before, g[i]] += 1
+            if places[w] >= 50:
+                sides.setdefault(places[w], []).append((before, g[i + 1]))
+    assert (bigrams == want).all()
+    got = lm.exchange_by_contexts(train, places, of, bigrams, 50)
+    assert (got[:50] == of[:50]).all() and (got[len(places) :] == of[len(places) :]).all()
+    for at, pairs in sides.items():
+        gain = [sum(math.log(want[a, h] + 0.5) + math.log(want[h, b] + 0.5) - 2 * math.log(want[:, h].sum() + 0.5 * len(want)) for a, b in pairs) for h in range(1, len(want))]
+        assert math.isclose(gain[got[at] - 1], max(gain), rel_tol=1e-9)
+
+
+def test_ties_do_not_empty_the_table(spark):
+    """Thirty words of equal counts and room for twenty: some of them, not none; with room for all of them, all."""
+    rows = [(b"w%02d" % i, 1) for i in range(3000)] + [(b"", 9), (b"often", 4)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    words, cs = lm.frequent_words(counts, 2000)
+    assert words[0] == b"often" and 1500 < len(words) <= 2000 and set(cs[1:]) == {1} and words[1:] == sorted(words[1:])
+    assert len(lm.frequent_words(counts, 3001)[0]) == 3001 and lm.frequent_words(counts, 1)[0] == [b"often"]
+    assert lm.frequent_words(counts.limit(0), 5) == ([], [])
