@@ -7,7 +7,8 @@ an end token. Counts of all words come from the whole training corpus. Words get
   ending and shape), between classes, one at a time, as long as the bigram likelihood of the classes rises. It works on a
   count matrix of bounded size that is summed over the whole training corpus.
 * Every other word of the ``n_table`` most frequent ones is then exchanged by its own contexts: it goes where its counts of
-  classes before and after raise that likelihood most, all words side by side, their contexts summed over the whole corpus.
+  classes before and after raise that likelihood most, if that is ``STAY`` nats more than in its tail's class, all words
+  side by side, their contexts summed over the whole corpus.
 
 Words past the table, seen or not, have their tail's class. Class bigrams, class sizes and numbers of types are counted anew
 with these classes. Emission probabilities need a word's own count: the table's counts travel with the model, the others
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,9 @@ from quire.llm.simhash import _runs, _starts
 
 #: The end token. Words are never empty.
 END = b""
-N_WORDS, N_CLASSES, N_TABLE, DISCOUNT, ALPHA = 2000, 64, 200_000, 0.75, 0.1
+N_WORDS, N_TABLE, DISCOUNT, ALPHA, STAY = 2000, 200_000, 0.75, 0.1, 4.0
+#: More classes cost the driver time by the square.
+MOST_CLASSES = 128
 _TAILS = 256
 _FLUSH = 400_000
 
@@ -112,12 +114,13 @@ def _shifted(at: np.ndarray, size: int) -> np.ndarray:
     return np.where(at >= 0, at, size - 1 - at)
 
 
-def exchange_by_contexts(train: DataFrame, places: Places, of: np.ndarray, bigrams: np.ndarray, fixed: int) -> np.ndarray:
+def exchange_by_contexts(train: DataFrame, places: Places, of: np.ndarray, bigrams: np.ndarray, fixed: int, stay: float = STAY) -> np.ndarray:
     """The classes with those of the table's words from place ``fixed`` on exchanged, all at once, by their own contexts.
 
     ``bigrams`` are the class pairs under ``of``. A word of n tokens goes to the class h with the largest sum of
     log N(g, h) and log N(h, g) over the classes g before and after its tokens, less 2 n log N(h): the first-order change
-    of the likelihood that ``exchange`` raises. Ties go to the lowest class; the end's class is left out.
+    of the likelihood that ``exchange`` raises. Its present class has ``stay`` nats ahead, so that a few contexts don't
+    outweigh the ending. Ties go to the lowest class; the end's class is left out.
     """
     classes, known = len(bigrams), len(places)
     size = np.log(bigrams.sum(0) + 0.5 * classes)
@@ -150,8 +153,10 @@ def exchange_by_contexts(train: DataFrame, places: Places, of: np.ndarray, bigra
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["word"]):
             start = _starts(t, ["word"])[:-1]
-            best = np.concatenate([np.zeros(0, np.int64), *(np.add.reduceat(weight[side] * n[:, None], first).argmax(1) for side, n, first in _pieces(t["side"].to_numpy(), t["n"].to_numpy(), start))])
-            yield pa.RecordBatch.from_arrays([pa.array(t["word"].to_numpy()[start]), pa.array(best)], ["word", "g"])
+            word = t["word"].to_numpy()[start]
+            gain = np.concatenate([np.add.reduceat(weight[side] * n[:, None], first) for side, n, first in _pieces(t["side"].to_numpy(), t["n"].to_numpy(), start)])
+            gain[np.arange(len(word)), of[word]] += stay
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(gain.argmax(1))], ["word", "g"])
 
     summed = map_arrow(train.select("text"), contexts, "word long, side int, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
     rows = map_arrow(summed.repartition("word").sortWithinPartitions("word", "side"), choose, "word long, g long", rows=4096).toArrow()
@@ -269,11 +274,17 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]
     return [w for w, _ in both], [c for _, c in both]
 
 
-def train_model(train: DataFrame, counts: DataFrame, n_words: int, classes: int, n_table: int, discount: float, alpha: float) -> ClassModel:
+def classes_for(tokens: int) -> int:
+    """The number of classes grows with the square root of the training tokens: 16 at 300,000, 64 at 3 million, MOST_CLASSES at most."""
+    return min(MOST_CLASSES, max(8, 1 << round(math.log2(max(tokens, 1)) / 2 - 5)))
+
+
+def train_model(train: DataFrame, counts: DataFrame, n_words: int, classes: int | None, n_table: int, discount: float, alpha: float) -> ClassModel:
     spark = train.sparkSession
     words, cs = frequent_words(counts, n_table)
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     keys = Places({w: i for i, w in enumerate([END, *words[:n_words]])})
-    key_of = exchange(pair_counts(train, keys, np.arange(len(keys) + _TAILS)), classes)
+    key_of = exchange(pair_counts(train, keys, np.arange(len(keys) + _TAILS)), classes or classes_for(total))
     places = Places({w: i for i, w in enumerate([END, *words])})
     tails = key_of[len(keys) :]
     of = np.concatenate([key_of[: len(keys)], tails[[tail_key(w) for w in words[n_words:]]].astype(np.int64), tails])
@@ -283,25 +294,24 @@ def train_model(train: DataFrame, counts: DataFrame, n_words: int, classes: int,
     known, size, shared = len(places), len(bigrams), spark.sparkContext.broadcast((places, of))
 
     def class_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, n, (at, group) = np.zeros(size, np.int64), 0, shared.value
+        v, (at, group) = np.zeros(size, np.int64), shared.value
         for b in batches:
             v += np.bincount(group[_shifted(at.of(b.column(0).to_pylist()), known)], minlength=size)
-            n += pc.sum(b.column(1)).as_py() or 0
         some = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(v[some], n))], ["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(v[some])], ["k", "v"])
 
-    rows = map_arrow(counts.select("word", "c"), class_types, "k long, v long", rows=4096).groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    rows = map_arrow(counts.select("word"), class_types, "k long, v long", rows=4096).groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     by = dict(zip(rows["k"].to_pylist(), rows["v"].to_pylist(), strict=True))
     types = np.array([by.get(k, 0) for k in range(size)], float)
-    return ClassModel(places, of, np.array([int(bigrams[:, 0].sum()), *cs], np.int64), bigrams, types, int(by.get(-1, 0)), int(types.sum()), discount, alpha)
+    return ClassModel(places, of, np.array([int(bigrams[:, 0].sum()), *cs], np.int64), bigrams, types, int(total), int(distinct), discount, alpha)
 
 
-def score_texts(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_words: int = N_WORDS, classes: int = N_CLASSES, n_table: int = N_TABLE, discount: float = DISCOUNT, alpha: float = ALPHA) -> DataFrame:
+def score_texts(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_words: int = N_WORDS, classes: int | None = None, n_table: int = N_TABLE, discount: float = DISCOUNT, alpha: float = ALPHA) -> DataFrame:
     """(row, id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``df``; log10 probabilities.
 
     ``train`` has a column ``text``. Null texts are empty and are their end token alone; with no training text every
     token is unknown. Words of equal counts at the table's edge are drawn by hash. Repeated and null ids keep their rows; an empty table gives no rows; other columns are ignored.
-    ``base_score`` is the add-one unigram score.
+    ``base_score`` is the add-one unigram score. ``classes`` is by default ``classes_for`` the training tokens.
     """
     spark = df.sparkSession
     counts = checkpoint(word_counts(train))

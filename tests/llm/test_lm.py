@@ -152,7 +152,8 @@ def test_contexts_find_the_best_class(spark):
             if places[w] >= 50:
                 sides.setdefault(places[w], []).append((before, g[i + 1]))
     assert (bigrams == want).all()
-    got = lm.exchange_by_contexts(train, places, of, bigrams, 50)
+    got = lm.exchange_by_contexts(train, places, of, bigrams, 50, 0.0)
+    assert (lm.exchange_by_contexts(train, places, of, bigrams, 50, 1e9) == of).all()
     assert (got[:50] == of[:50]).all() and (got[len(places) :] == of[len(places) :]).all()
     for at, pairs in sides.items():
         gain = [sum(math.log(want[a, h] + 0.5) + math.log(want[h, b] + 0.5) - 2 * math.log(want[:, h].sum() + 0.5 * len(want)) for a, b in pairs) for h in range(1, len(want))]
@@ -167,3 +168,7 @@ def test_ties_do_not_empty_the_table(spark):
     assert words[0] == b"often" and 1500 < len(words) <= 2000 and set(cs[1:]) == {1} and words[1:] == sorted(words[1:])
     assert len(lm.frequent_words(counts, 3001)[0]) == 3001 and lm.frequent_words(counts, 1)[0] == [b"often"]
     assert lm.frequent_words(counts.limit(0), 5) == ([], [])
+
+
+def test_classes_grow_with_the_tokens():
+    assert [lm.classes_for(n) for n in (0, 300_000, 3_300_000, 23_000_000, 10**12)] == [8, 16, 64, 128, lm.MOST_CLASSES]
