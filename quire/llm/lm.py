@@ -276,7 +276,7 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]
 
 def classes_for(tokens: int) -> int:
     """The number of classes grows with the square root of the training tokens: 16 at 300,000, 64 at 3 million, MOST_CLASSES at most."""
-    return min(MOST_CLASSES, max(8, 1 << round(math.log2(max(tokens, 1)) / 2 - 5)))
+    return min(MOST_CLASSES, 1 << max(3, round(math.log2(max(tokens, 1)) / 2 - 5)))
 
 
 def train_model(train: DataFrame, counts: DataFrame, n_words: int, classes: int | None, n_table: int, discount: float, alpha: float) -> ClassModel:

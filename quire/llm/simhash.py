@@ -19,7 +19,7 @@ from itertools import count, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
@@ -257,7 +257,7 @@ def unshort(raw: pa.Buffer) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def common_hashes(src: DataFrame, k: int, docs: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def common_hashes(src: DataFrame, k: int, docs: int = 50_000, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, counts) of the shingles seen most in about ``docs`` rows of ``src(id, text)``.
 
     They only set the order of shingles in prefixes, which is right for any order: frequent ones come last.
@@ -301,9 +301,11 @@ def prefix_pairs(t: pa.Table, similarity: float, most: int = 1 << 21) -> Iterato
     that can be alike by their sizes and places. ``t`` is sorted by (h, n).
 
     Members are compared at a distance of one place, of two, and so on, all hashes at once, as long as sizes allow.
+    ``before`` is the hash before ``h`` in the member's prefix (``h`` itself if there is none): two members that have it in
+    common have met there.
     """
-    node, n, pos, root = (t[c].to_numpy() for c in ("node", "n", "pos", "root"))
-    run = np.cumsum(np.append(0, np.diff(t["h"].to_numpy()) != 0))
+    h, before, node, n, pos, root = (t[c].to_numpy() for c in ("h", "before", "node", "n", "pos", "root"))
+    run = np.cumsum(np.append(0, np.diff(h) != 0))
     left, least = n - pos, np.ceil(similarity * n - 1e-9)
     k, apart, held = np.arange(len(n)), 0, []
     while len(k):
@@ -312,7 +314,7 @@ def prefix_pairs(t: pa.Table, similarity: float, most: int = 1 << 21) -> Iterato
         k = k[(run[k] == run[k + apart]) & (n[k] >= least[k + apart])]
         i, j = k, k + apart
         both = np.minimum(left[i], left[j])
-        good = (root[i] != root[j]) & (both >= np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9))
+        good = (root[i] != root[j]) & ((before[i] != before[j]) | (before[i] == h[i])) & (both >= np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9))
         i, j, both = i[good], j[good], both[good]
         if len(i):
             turn = node[i] > node[j]
@@ -325,6 +327,14 @@ def prefix_pairs(t: pa.Table, similarity: float, most: int = 1 << 21) -> Iterato
         yield np.unique(np.concatenate(held), axis=0)
 
 
+def _likeliest(found: np.ndarray) -> np.ndarray:
+    """Of each two roots the pair with the largest bound."""
+    x, y = found[:, 2:4].min(axis=1), found[:, 2:4].max(axis=1)
+    found = found[np.lexsort((found[:, 4], y, x))]
+    x, y = found[:, 2:4].min(axis=1), found[:, 2:4].max(axis=1)
+    return found[np.append((x[1:] != x[:-1]) | (y[1:] != y[:-1]), True)[: len(found)]]
+
+
 def radius_of(similarity: float, bits: int) -> int:
     """The expected number of differing bits at that Jaccard similarity, and 2.5 deviations."""
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
@@ -407,11 +417,29 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
             h, pos = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (held, map(np.arange, size)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *cols, pos.astype(np.int32))], ["h", "node", "n", "root", "pos"])
 
-    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "root_a", "root_b", "bound"]
-        for t in _runs(batches, ["h"]):
-            for found in prefix_pairs(t, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names)
+    def sharing(likeliest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Pairs to be checked; of each two groups the likeliest one that a task meets, or all."""
+
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            found = _likeliest(np.concatenate([np.zeros((0, 5), np.int64), *held]))
+            return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], ["a", "b", "root_a", "root_b", "bound"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+            for t in _runs(batches, ["h"]):
+                for found in prefix_pairs(t, similarity):
+                    held.append(found)
+                    if not likeliest:
+                        yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], ["a", "b", "root_a", "root_b", "bound"])
+                        held = []
+                    elif sum(map(len, held)) > 1 << 20:
+                        held = [_likeliest(np.concatenate(held))]
+                        if len(held[0]) > 1 << 19:
+                            yield out(held)
+                            held = []
+            yield out(held)
+
+        return run
 
     # First the texts of equal fingerprints, and each text's nearest ones of all its shards.
     alone = nodes.groupBy("fp").agg(F.min("node").alias("a"))
@@ -431,12 +459,13 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
     of = small(grouped.select(F.col("node").alias("row"), "root"), 500_000)
     spread = map_arrow(whole.select("row", "n", "prefix").join(of, "row").select("row", "n", "root", "prefix"), by_hash, "h long, node long, n int, root long, pos int")
     mixed = small(spread.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), 500_000)
-    spread = checkpoint(spread.join(mixed, "h", "left_semi"))
+    before = F.lag("h").over(Window.partitionBy("node").orderBy("pos"))
+    spread = checkpoint(spread.join(mixed, "h", "left_semi").withColumn("before", F.coalesce(before, "h")))
     del whole, of, mixed
     for likeliest in (True, False):
         release(df.sparkSession)
-        ordered = spread.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "node", "n", "root", "pos")
-        more = map_arrow(ordered, sharing, "a long, b long, root_a long, root_b long, bound long", rows=10_000)
+        ordered = spread.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "before", "node", "n", "root", "pos")
+        more = map_arrow(ordered, sharing(likeliest), "a long, b long, root_a long, root_b long, bound long", rows=10_000)
         if likeliest:
             ends = F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")
             more = more.groupBy(*ends).agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")

@@ -216,7 +216,7 @@ def test_prefix_pairs_against_all_pairs():
     rnd = random.Random(12)
     rows = sorted((rnd.randrange(8), rnd.randrange(1, 40), i, rnd.randrange(3), rnd.randrange(5)) for i in range(150))
     h, n, node, root, pos = zip(*rows, strict=True)
-    t = pa.table({"h": h, "node": node, "n": pa.array(n, pa.int32()), "root": root, "pos": pa.array(pos, pa.int32())})
+    t = pa.table({"h": h, "before": h, "node": node, "n": pa.array(n, pa.int32()), "root": root, "pos": pa.array(pos, pa.int32())})
     want = set()
     for i, (x, a, u, r, p) in enumerate(rows):
         for y, b, w, q, o in rows[:i]:
@@ -234,3 +234,15 @@ def test_short_sets_keep_their_size():
     import pyarrow as pa
 
     assert (sh.unshort(pa.py_buffer(sh.short(h))) == h >> np.uint64(16)).all() and sh.short(h[:0]) == b""
+
+
+def test_pairs_meet_once_where_their_prefixes_run_together():
+    import pyarrow as pa
+
+    rows = [(7, 7, 1), (7, 7, 2), (8, 7, 1), (8, 7, 2), (9, 8, 1), (9, 5, 2)]  # hash, the one before it, node
+    h, before, node = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+    t = pa.table({"h": h, "before": before, "node": node, "n": pa.array([9] * 6, pa.int32()), "root": node, "pos": pa.array([0] * 6, pa.int32())})
+    runs = [t.slice(i, 2) for i in (0, 2, 4)]
+    assert [len(list(sh.prefix_pairs(x, 0.8))) for x in runs] == [1, 0, 1]
+    found = np.array([[1, 2, 5, 6, 10], [3, 4, 6, 5, 30], [5, 6, 7, 8, 1], [8, 9, 5, 6, 20]])
+    assert sh._likeliest(found).tolist() == [[3, 4, 6, 5, 30], [5, 6, 7, 8, 1]] and sh._likeliest(found[:0]).shape == (0, 5)
