@@ -158,8 +158,9 @@ def exchange_by_contexts(train: DataFrame, places: Places, of: np.ndarray, bigra
             gain[np.arange(len(word)), of[word]] += stay
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(gain.argmax(1))], ["word", "g"])
 
-    summed = map_arrow(train.select("text"), contexts, "word long, side int, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
-    rows = map_arrow(summed.repartition("word").sortWithinPartitions("word", "side"), choose, "word long, g long", rows=4096).toArrow()
+    # Gains add up row by row, so the contexts of a word need no sum of their own, only its rows in one place.
+    found = map_arrow(train.select("text"), contexts, "word long, side int, n long")
+    rows = map_arrow(found.repartition("word").sortWithinPartitions("word", "side"), choose, "word long, g long", rows=4096).toArrow()
     out = of.copy()
     out[rows["word"].to_numpy()] = rows["g"].to_numpy()
     return out
@@ -284,12 +285,14 @@ def train_model(train: DataFrame, counts: DataFrame, n_words: int, classes: int
     words, cs = frequent_words(counts, n_table)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     keys = Places({w: i for i, w in enumerate([END, *words[:n_words]])})
-    key_of = exchange(pair_counts(train, keys, np.arange(len(keys) + _TAILS)), classes or classes_for(total))
+    pairs = pair_counts(train, keys, np.arange(len(keys) + _TAILS))
+    key_of = exchange(pairs, classes or classes_for(total))
     places = Places({w: i for i, w in enumerate([END, *words])})
     tails = key_of[len(keys) :]
     of = np.concatenate([key_of[: len(keys)], tails[[tail_key(w) for w in words[n_words:]]].astype(np.int64), tails])
     if len(words) > n_words:
-        of = exchange_by_contexts(train, places, of, pair_counts(train, places, of), len(keys))
+        hot = np.eye(int(key_of.max()) + 1)[key_of]
+        of = exchange_by_contexts(train, places, of, hot.T @ pairs @ hot, len(keys))
     bigrams = pair_counts(train, places, of)
     known, size, shared = len(places), len(bigrams), spark.sparkContext.broadcast((places, of))
 
