@@ -86,24 +86,41 @@ def word_counts(train: DataFrame) -> DataFrame:
     return map_arrow(train.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def pair_counts(train: DataFrame, places: Places, of: np.ndarray) -> np.ndarray:
-    """The counts of pairs (before, after) of the groups ``of`` over all rows' texts; every text begins after an end token.
+def encoded(train: DataFrame, places: Places) -> DataFrame:
+    """(ids): each text's places as int32, tails behind the table, the end last. Training reads these and splits texts once."""
+    shared = train.sparkSession.sparkContext.broadcast(places)
 
-    ``of`` has the groups of the table's places, then of the tails. Each task adds up a matrix of its own, and the driver
-    gets as many sums as the matrix has places at most.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for b in batches:
+            ids = [_shifted(at.of(words_of(t)), len(at)).astype(np.int32).tobytes() for t in utf8(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+
+    return checkpoint(map_arrow(train.select("text"), run, "ids binary"))
+
+
+def _joined(column: pa.Array) -> np.ndarray:
+    """The places of a batch of texts, one behind the other, after an end."""
+    return np.frombuffer(b"".join([b"\0\0\0\0", *column.to_pylist()]), np.int32)
+
+
+def pair_counts(train: DataFrame, of: np.ndarray) -> np.ndarray:
+    """The counts of pairs (before, after) of the groups ``of`` over all texts of ``encoded``; each begins after an end.
+
+    ``of`` has the groups of the table's places (the end is the first), then of the tails. Each task adds up a matrix of its
+    own, and the driver gets as many sums as the matrix has places at most.
     """
-    size, shared = int(of.max()) + 1, train.sparkSession.sparkContext.broadcast((places, of))
+    size, shared = int(of.max()) + 1, train.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (at, group) = np.zeros(size**2, np.int64), shared.value
+        m, group = np.zeros(size**2, np.int64), shared.value
         for b in batches:
-            for t in utf8(b.column(0)):
-                g = group[_shifted(at.of(words_of(t)), len(at))]
-                np.add.at(m, np.append(group[0], g[:-1]) * size + g, 1)
+            g = group[_joined(b.column(0))]
+            np.add.at(m, g[:-1] * size + g[1:], 1)
         some = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(m[some])], ["pair", "n"])
 
-    rows = map_arrow(train.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_arrow(train, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size**2)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
@@ -114,37 +131,34 @@ def _shifted(at: np.ndarray, size: int) -> np.ndarray:
     return np.where(at >= 0, at, size - 1 - at)
 
 
-def exchange_by_contexts(train: DataFrame, places: Places, of: np.ndarray, bigrams: np.ndarray, fixed: int, stay: float = STAY) -> np.ndarray:
-    """The classes with those of the table's words from place ``fixed`` on exchanged, all at once, by their own contexts.
+def exchange_by_contexts(train: DataFrame, of: np.ndarray, bigrams: np.ndarray, fixed: int, stay: float = STAY) -> np.ndarray:
+    """The classes ``of`` places, those of the table's words from place ``fixed`` on exchanged, all at once, by their own contexts.
 
     ``bigrams`` are the class pairs under ``of``. A word of n tokens goes to the class h with the largest sum of
     log N(g, h) and log N(h, g) over the classes g before and after its tokens, less 2 n log N(h): the first-order change
     of the likelihood that ``exchange`` raises. Its present class has ``stay`` nats ahead, so that a few contexts don't
     outweigh the ending. Ties go to the lowest class; the end's class is left out.
     """
-    classes, known = len(bigrams), len(places)
+    classes, known = len(bigrams), len(of) - _TAILS
     size = np.log(bigrams.sum(0) + 0.5 * classes)
     weight = np.concatenate([np.log(bigrams + 0.5), np.log(bigrams.T + 0.5)]) - size
     weight[:, 0] = -np.inf
-    shared = train.sparkSession.sparkContext.broadcast((places, of))
+    shared, sides = train.sparkSession.sparkContext.broadcast(of), 2 * classes
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (at, group), held, n = shared.value, [], 0
+        group, held, n = shared.value, [], 0
 
         def out() -> pa.RecordBatch:
             code, times = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code // (2 * classes)), pa.array((code % (2 * classes)).astype(np.int32)), pa.array(times)], ["word", "side", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(times.astype(np.int32))], ["code", "n"])
 
         for b in batches:
-            for t in utf8(b.column(0)):
-                w = at.of(words_of(t))
-                g = group[_shifted(w, known)]
-                own = np.flatnonzero(w >= fixed)
-                if len(own):  # the end is always fixed, so something follows
-                    before = np.where(own > 0, g[own - 1], group[0])
-                    held += [w[own] * 2 * classes + before, w[own] * 2 * classes + classes + g[own + 1]]
-                    n += 2 * len(own)
+            w = _joined(b.column(0))
+            g, own = group[w], np.flatnonzero((w >= fixed) & (w < known))  # an end goes before and comes behind each
+            code = w[own].astype(np.int64) * sides
+            held += [code + g[own - 1], code + classes + g[own + 1]]
+            n += 2 * len(own)
             if n > 4 * _FLUSH:
                 yield out()
                 n = 0
@@ -153,14 +167,14 @@ def exchange_by_contexts(train: DataFrame, places: Places, of: np.ndarray, bigra
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["word"]):
             start = _starts(t, ["word"])[:-1]
-            word = t["word"].to_numpy()[start]
-            gain = np.concatenate([np.add.reduceat(weight[side] * n[:, None], first) for side, n, first in _pieces(t["side"].to_numpy(), t["n"].to_numpy(), start)])
+            word, side = t["word"].to_numpy()[start], t["code"].to_numpy() % sides
+            gain = np.concatenate([np.add.reduceat(weight[at] * n[:, None], first) for at, n, first in _pieces(side, t["n"].to_numpy(), start)])
             gain[np.arange(len(word)), of[word]] += stay
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(gain.argmax(1))], ["word", "g"])
 
     # Gains add up row by row, so the contexts of a word need no sum of their own, only its rows in one place.
-    found = map_arrow(train.select("text"), contexts, "word long, side int, n long")
-    rows = map_arrow(found.repartition("word").sortWithinPartitions("word", "side"), choose, "word long, g long", rows=4096).toArrow()
+    found = map_arrow(train, contexts, "code long, n int").withColumn("word", F.expr(f"code div {sides}"))
+    rows = map_arrow(found.repartition("word").sortWithinPartitions("word"), choose, "word long, g long", rows=10_000).toArrow()
     out = of.copy()
     out[rows["word"].to_numpy()] = rows["g"].to_numpy()
     return out
@@ -284,16 +298,17 @@ def train_model(train: DataFrame, counts: DataFrame, n_words: int, classes: int
     spark = train.sparkSession
     words, cs = frequent_words(counts, n_table)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    keys = Places({w: i for i, w in enumerate([END, *words[:n_words]])})
-    pairs = pair_counts(train, keys, np.arange(len(keys) + _TAILS))
-    key_of = exchange(pairs, classes or classes_for(total))
     places = Places({w: i for i, w in enumerate([END, *words])})
-    tails = key_of[len(keys) :]
-    of = np.concatenate([key_of[: len(keys)], tails[[tail_key(w) for w in words[n_words:]]].astype(np.int64), tails])
-    if len(words) > n_words:
+    texts, fixed = encoded(train, places), min(len(places), n_words + 1)
+    tails = np.arange(_TAILS)
+    key = np.concatenate([np.arange(fixed), fixed + np.array([tail_key(w) for w in words[n_words:]], np.int64), fixed + tails])
+    pairs = pair_counts(texts, key)
+    key_of = exchange(pairs, classes or classes_for(total))
+    of = key_of[key]
+    if fixed < len(places):
         hot = np.eye(int(key_of.max()) + 1)[key_of]
-        of = exchange_by_contexts(train, places, of, hot.T @ pairs @ hot, len(keys))
-    bigrams = pair_counts(train, places, of)
+        of = exchange_by_contexts(texts, of, hot.T @ pairs @ hot, fixed)
+    bigrams = pair_counts(texts, of)
     known, size, shared = len(places), len(bigrams), spark.sparkContext.broadcast((places, of))
 
     def class_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,7 +140,8 @@ def test_contexts_find_the_best_class(spark):
     places = lm.Places({w: i for i, w in enumerate([lm.END, *words])})
     rng = np.random.default_rng(1)
     of = np.append(0, rng.integers(1, 7, len(words) + lm._TAILS))
-    bigrams = lm.pair_counts(train, places, of)
+    ids = lm.encoded(train, places)
+    bigrams = lm.pair_counts(ids, of)
     want = np.zeros_like(bigrams)
     sides = {}
     for t in texts:
@@ -152,8 +153,8 @@ def test_contexts_find_the_best_class(spark):
             if places[w] >= 50:
                 sides.setdefault(places[w], []).append((before, g[i + 1]))
     assert (bigrams == want).all()
-    got = lm.exchange_by_contexts(train, places, of, bigrams, 50, 0.0)
-    assert (lm.exchange_by_contexts(train, places, of, bigrams, 50, 1e9) == of).all()
+    got = lm.exchange_by_contexts(ids, of, bigrams, 50, 0.0)
+    assert (lm.exchange_by_contexts(ids, of, bigrams, 50, 1e9) == of).all()
     assert (got[:50] == of[:50]).all() and (got[len(places) :] == of[len(places) :]).all()
     for at, pairs in sides.items():
         gain = [sum(math.log(want[a, h] + 0.5) + math.log(want[h, b] + 0.5) - 2 * math.log(want[:, h].sum() + 0.5 * len(want)) for a, b in pairs) for h in range(1, len(want))]
