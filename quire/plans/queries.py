@@ -142,13 +142,38 @@ def quiz_sentence_counts(spark, d):
     return documents(spark, d).select("doc_id", F.size(t.quiz_sentences(F.col("text"))).alias("n")).where("n > 0")
 
 
-@query(f"""SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM (SELECT doc_id, {TRIM.format("l")} AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
+@query(f"""SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM (SELECT doc_id, {TRIM.format("l")} AS l FROM (SELECT doc_id, unnest(string_split(text || chr(10) || 'Page ' || (doc_id % 90) || '/90' || chr(10) || '- ' || (doc_id % 2000) || ' -', chr(10))) AS l FROM documents))
   WHERE l <> '' AND length(l) <= 24 AND (regexp_matches(l, '(?i)^[\\s\\-–—•·\\[\\(<]*(trang|page|pg|tr|p)\\.?\\s*[0-9]{{1,4}}(\\s*(/|of|trên)\\s*[0-9]{{1,4}})?[\\s\\-–—•·\\]\\)>]*$') OR regexp_matches(l, '(?i)^\\s*[0-9]{{1,4}}\\s*(/|of|trên)\\s*[0-9]{{1,4}}\\s*$') OR regexp_matches(l, '^[\\s\\-–—•·\\[\\(<]*[0-9]{{1,3}}[\\s\\-–—•·\\]\\)>]*$')) GROUP BY doc_id""")
 def page_number_lines(spark, d):
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: t.is_page_number(x)))
+    """Lines that are page numbers, of texts with two more lines that may be some."""
+    more = F.concat("text", F.lit("\nPage "), F.col("doc_id") % 90, F.lit("/90\n- "), F.col("doc_id") % 2000, F.lit(" -"))
+    n = F.size(F.filter(F.split(more, "\n"), lambda x: t.is_page_number(x)))
     return documents(spark, d).select("doc_id", n.alias("n")).where("n > 0")
 
 
+@query("""SELECT doc_id, sha1(regexp_replace(replace(text, '.', ' | '), '\\s+[|_^]\\s+', ' ', 'g')) AS digest FROM documents""")
+def ocr_cleaned(spark, d):
+    """Texts whose full stops became the bars that OCR leaves, cleaned."""
+    return documents(spark, d).select("doc_id", F.sha1(t.clean_ocr_noise(F.replace("text", F.lit("."), F.lit(" | ")))).alias("digest"))
+
+
+@query("""SELECT doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10) || '- **'), '[*_#`>]+', '', 'g'), '(?m)^\\s*[-•]\\s+', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents""")
+def speech_cleaned(spark, d):
+    """Texts whose sentences became list items, as they are to be spoken."""
+    return documents(spark, d).select("doc_id", F.sha1(t.clean_for_speech(F.replace("text", F.lit(". "), F.lit(".\n- **")))).alias("digest"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(left(text, 60) || ' ' || n_chars), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '\\p{Nd}+', '#', 'g') AS sig FROM documents""")
+def line_signatures(spark, d):
+    return documents(spark, d).select("doc_id", t.signature(F.concat(F.left("text", F.lit(60)), F.lit(" "), "n_chars")).alias("sig"))
+
+
+@query("""SELECT doc_id, source || ' lesson ' || doc_id AS stem, '.pdf' AS ext FROM documents""")
+def file_names(spark, d):
+    path = F.concat(F.lit("store://bucket/in.box/"), "source", F.lit("_-lesson__"), "doc_id", F.lit(".PDF"))
+    return documents(spark, d).select("doc_id", t.stem(path).alias("stem"), t.extension(path).alias("ext"))
+
+
 @query("SELECT doc_id, length(text) AS chars, CAST(least(120000, greatest(6000, ceil(length(text) / 10) + 500)) AS BIGINT) AS size FROM documents")
 def chunk_plan(spark, d):
     n = F.length("text")
@@ -180,7 +205,7 @@ def speech_parts(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(arrow.speech_chunks(arrow.speech(F.col("text")), 700)).alias("part_no", "part"))
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN length(text) <= 12000 THEN text ELSE array_to_string(list_transform([0, 1, 2, 3], lambda i: substr(text, CAST(floor((length(text) - 3000) / 3.0 * i) AS INTEGER) + 1, 3000)), chr(10) || chr(10)) END AS sample FROM documents""")
 def sampled_text(spark, d):
     return documents(spark, d).select("doc_id", t.sample_parts(F.col("text")).alias("sample"))
 
@@ -190,9 +215,16 @@ def html_text(spark, d):
     return readers.html_pages(table(spark, d, "pages"))
 
 
-@query()
+HEADED = "text || chr(10) || '== Part ' || (doc_id % 9) || ' ==' || chr(10) || 'More of it.  ' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '=== Xem thêm ===' ELSE '= Cuối =' END || chr(10) || 'Links'"
+
+
+@query(f"""WITH l AS (SELECT doc_id, regexp_split_to_array({HEADED}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS a FROM documents),
+  h AS (SELECT doc_id, a, list_transform(a, lambda x: CASE WHEN regexp_full_match(x, '\\s*=+\\s*(.*?)\\s*=+\\s*') THEN regexp_extract(x, '^\\s*=+\\s*(.*?)\\s*=+\\s*$', 1) END) AS t FROM l),
+  c AS (SELECT doc_id, a, t, list_position(list_transform(t, lambda x: coalesce(lower(x) IN ({", ".join(f"'{x}'" for x in v.CUT_SECTIONS)}), false)), true) AS cut FROM h)
+  SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(range(1, CASE WHEN cut > 0 THEN cut ELSE len(a) + 1 END), lambda i: CASE WHEN t[i] IS NULL THEN regexp_replace(a[i], '\\s+$', '') ELSE chr(10) || t[i] || chr(10) END), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS article FROM c""")
 def article_text(spark, d):
-    return documents(spark, d).select("doc_id", arrow.article_text(F.col("text")).alias("article"))
+    """Texts with a heading more, half of them with one that ends the extract."""
+    return documents(spark, d).select("doc_id", arrow.article_text(F.expr(HEADED.replace("chr(10)", "char(10)"))).alias("article"))
 
 
 # --- extraction ----------------------------------------------------------------------------------------------------
@@ -236,7 +268,7 @@ def undefined_acronyms(spark, d):
 
 @query()
 def abbreviations(spark, d):
-    return documents(spark, d).select("doc_id", F.explode(arrow.abbreviations(F.col("text"))).alias("p")).select("doc_id", "p.*")
+    return documents(spark, d).select("doc_id", F.explode(arrow.abbreviations(F.concat("text", F.lit(" It says Natural Language Processing (NLP) and GPU (Graphics Processing Unit).")))).alias("p")).select("doc_id", "p.*")
 
 
 @query()
@@ -267,7 +299,7 @@ def formula_lines(spark, d):
 
 @query()
 def units(spark, d):
-    return documents(spark, d).select("doc_id", F.explode(t.units(F.col("text"))).alias("unit"))
+    return documents(spark, d).select("doc_id", F.explode(t.units(F.concat("text", F.lit(" 16 GB, 3,5 kg and 20°C")))).alias("unit"))
 
 
 @query()
@@ -530,6 +562,25 @@ def quiz_items(spark, d):
     return quiz.generate_local(docs)
 
 
+ANSWERS = "a AS (SELECT source AS lesson_id, doc_id % 30 AS attempt, doc_id AS item_no, doc_id % 4 AS answer, CASE WHEN doc_id % 5 > 0 THEN n_chars % 4 END AS given FROM documents), g AS (SELECT lesson_id, attempt, count(*) FILTER (given = answer) AS score, count(*) AS total, coalesce(string_agg(CAST(item_no AS VARCHAR), ',' ORDER BY item_no) FILTER (given IS NULL OR given <> answer), '') AS wrong FROM a GROUP BY ALL)"
+
+
+def _grades(spark, d):
+    given = F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") % 4).alias("given")
+    return quiz.grade(documents(spark, d).select(F.col("source").alias("lesson_id"), (F.col("doc_id") % 30).alias("attempt"), F.col("doc_id").alias("item_no"), (F.col("doc_id") % 4).alias("answer"), given))
+
+
+@query(f"WITH {ANSWERS} SELECT lesson_id, attempt, score, total, wrong FROM g")
+def quiz_grades(spark, d):
+    return _grades(spark, d).withColumn("wrong", F.array_join("wrong", ","))
+
+
+@query(f"WITH {ANSWERS}, r AS (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY attempt DESC) AS r, score / CAST(total AS DOUBLE) AS share FROM g) SELECT lesson_id, count(*) AS n, round(max(share), 6) AS best, round(arg_max(share, attempt), 6) AS last, max(share) >= 0.7 AS passed FROM r WHERE r <= 20 GROUP BY lesson_id")
+def quiz_history(spark, d):
+    kept = quiz.latest_attempts(_grades(spark, d).withColumn("time", F.col("attempt")))
+    return quiz.attempt_stats(kept).withColumns({c: F.round(c, 6) for c in ("best", "last")})
+
+
 def _lesson_log(spark, d):
     null = {c: F.lit(None).cast(x).alias(c) for c, x in store.FIELDS.items()}
 

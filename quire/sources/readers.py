@@ -7,6 +7,7 @@ A document row: path, name, paragraphs, source_type, pages, used_ocr, warnings,
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -32,6 +33,7 @@ NO_OCR = "Cần bật OCR (Gemini) để đọc file ảnh."
 Parsed = tuple[list[str], str, int | None, bool, list[str]]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 
 
@@ -78,13 +80,37 @@ def _runs(node: ElementTree.Element) -> list[str]:
     return ["".join(x.text or "" for x in p.iter(f"{_A}t")).strip() for p in node.iter(f"{_A}p")]
 
 
+def _related(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """Id to (type, part) of what a part refers to."""
+    folder, name = posixpath.split(part)
+    rels = f"{folder}/_rels/{name}.rels"
+    found = ElementTree.fromstring(z.read(rels)) if rels in z.namelist() else ()
+    return {x.get("Id"): (x.get("Type", ""), posixpath.normpath(posixpath.join("/", folder, x.get("Target", "")))[1:]) for x in found}
+
+
+def _slides(z: zipfile.ZipFile) -> list[tuple[str, str | None]]:
+    """(slide, its notes) in the presentation's order; by file number only where nothing says otherwise."""
+    there = set(z.namelist())
+    numbered = sorted((n for n in there if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+    parts = _related(z, "ppt/presentation.xml")
+    listed = ElementTree.fromstring(z.read("ppt/presentation.xml")).iter(f"{_P}sldId") if "ppt/presentation.xml" in there and parts else ()
+    order = [parts[x.get(f"{_R}id")][1] for x in listed if x.get(f"{_R}id") in parts] or numbered
+    out = []
+    for name in filter(there.__contains__, order):
+        own = _related(z, name)
+        same = name.replace("slides/slide", "notesSlides/notesSlide")
+        notes = next((part for kind, part in own.values() if kind.endswith("/notesSlide")), None) if own else same
+        out.append((name, notes if notes in there else None))
+    return out
+
+
 def parse_pptx(content: bytes, furniture: bool = True) -> Parsed:
     """Slides in order: each shape's paragraphs and table rows, then the notes; each ends like a sentence.
     Without ``furniture`` slide numbers, footers, headers and dates are left out."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-        for name in names:
+        names = _slides(z)
+        for name, notes in names:
             for shape in ElementTree.fromstring(z.read(name)).iter():
                 if shape.tag not in (f"{_P}sp", f"{_P}graphicFrame"):
                     continue
@@ -97,8 +123,7 @@ def parse_pptx(content: bytes, furniture: bool = True) -> Parsed:
                     cells = ["\n".join(filter(None, _runs(c))) for c in row.findall(f"{_A}tc")]
                     if any(cells):
                         out.append(_ended(" | ".join(cells)))
-            notes = name.replace("slides/slide", "notesSlides/notesSlide")
-            if notes in z.namelist():
+            if notes:
                 bodies = [s for s in ElementTree.fromstring(z.read(notes)).iter(f"{_P}sp") if (h := s.find(f".//{_P}ph")) is not None and h.get("type") == "body"]
                 said = "\n".join(x for s in bodies for x in _runs(s) if x).strip()
                 if said:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from quire.functions import text as t
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A header, and nothing for null."""
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """A header, and nothing for null. With ``mark`` every file begins with a byte-order mark, as spreadsheets want it."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
 

@@ -126,3 +126,34 @@ def test_stream_is_the_batch(spark, tmp_path):
     want = describe(spark.read.parquet(f"{src}/documents.parquet"))
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_slides_in_the_presentation_s_order():
+    """Slide 2 comes first and has the notes of file 1."""
+    import io
+    import zipfile
+
+    a, p = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
+    r, rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006/relationships"
+    shape = f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:sp>{{}}<a:p><a:r><a:t>{{}}</a:t></a:r></a:p></p:sp></p:sld>'
+    body = '<p:nvPr><p:ph type="body"/></p:nvPr>'
+    rels = lambda *xs: f'<Relationships xmlns="{rel}">' + "".join(f'<Relationship Id="{i}" Type="{r}/{k}" Target="{t}"/>' for i, k, t in xs) + "</Relationships>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="{p}" xmlns:r="{r}"><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>')
+        z.writestr("ppt/_rels/presentation.xml.rels", rels(("a", "slide", "slides/slide1.xml"), ("b", "slide", "/ppt/slides/slide2.xml")))
+        z.writestr("ppt/slides/slide1.xml", shape.format("", "One"))
+        z.writestr("ppt/slides/slide2.xml", shape.format("", "Two"))
+        z.writestr("ppt/slides/_rels/slide1.xml.rels", rels(("x", "slideLayout", "../slideLayouts/slideLayout1.xml")))
+        z.writestr("ppt/slides/_rels/slide2.xml.rels", rels(("x", "notesSlide", "../notesSlides/notesSlide1.xml")))
+        z.writestr("ppt/notesSlides/notesSlide1.xml", shape.format(body, "Said"))
+    assert readers.parse_pptx(out.getvalue())[0] == ["Two.", "Said.", "One."]
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    import glob
+
+    sinks.write_csv(spark.createDataFrame([(1, None)], "a int, b string").coalesce(1), f"{tmp_path}/x", mark=True)
+    (one,) = glob.glob(f"{tmp_path}/x/*.csv")
+    with open(one, "rb") as f:
+        assert f.read() == "\ufeffa,b\n1,\n".encode()
