@@ -260,7 +260,8 @@ def unshort(raw: pa.Buffer) -> np.ndarray:
 def common_hashes(src: DataFrame, k: int, docs: int = 50_000, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, counts) of the shingles seen most in about ``docs`` rows of ``src(id, text)``.
 
-    They only set the order of shingles in prefixes, which is right for any order: frequent ones come last.
+    They only set the order of shingles in prefixes, which is right for any order: frequent ones come last. ``most`` bounds
+    them, in steps of an eighth of a doubling of their counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +281,13 @@ def common_hashes(src: DataFrame, k: int, docs: int = 50_000, most: int = 400_00
 
     sample = src.where(F.pmod(F.xxhash64("id"), F.lit(max(1, src.count() // docs))) == 0)
     counts = map_arrow(sample, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
+    counts, step, least, room = checkpoint(counts), F.floor(8 * F.log2("n")).cast("int"), 1 << 30, most
+    for at, n in sorted(counts.groupBy(step.alias("s")).count().toLocalIterator(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = at
+    rows = counts.where(step >= least).toArrow()  # Arrow batches: a top-k would hold every task's rows in the driver
     h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
