@@ -311,7 +311,7 @@ def domain_profiles(spark, d):
 
 # --- ranking, grounding, measures ----------------------------------------------------------------------------------
 
-TFIDF = f"""WITH s AS (SELECT doc_id, list_slice({SENTS.format("text")}, 1, 2000) AS s FROM documents), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x, unnest(range(len(s))) AS pos FROM s),
+TFIDF = f"""WITH s AS (SELECT doc_id, {SENTS.format("text")} AS s FROM documents), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x, unnest(range(len(s))) AS pos FROM s),
   k AS (SELECT doc_id, n, pos, unnest({CONTENT.format("x")}) AS token FROM e), tf AS (SELECT doc_id, n, pos, token, count(*) AS tf FROM k GROUP BY ALL),
   w AS (SELECT doc_id, pos, token, tf * (ln((1.0 + n) / (1.0 + count(*) OVER (PARTITION BY doc_id, token))) + 1) AS w FROM tf)"""
 

@@ -33,6 +33,22 @@ def test_runs(spark, name):
     assert df.columns and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["sentence_tfidf", "similarity_edges"])
+def test_every_sentence_counts(spark, tmp_path, name):
+    """A document of more sentences than TextRank takes: neither the query nor its SQL stops there."""
+    word = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "um" for i in range(2101)]
+    text = " ".join(f"{a.capitalize()} {b} sundry{a} other{a}." for a, b in zip(word, word[1:], strict=False))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, text), (2, "Alpha beta gamma delta. Beta gamma zeta eta."), (3, None)], "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    res = con.execute(SQL[name])
+    names = [x[0] for x in res.description]
+    want = sorted(res.fetchall())
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*names).collect())
+    assert got == want and got[0][1] > (8000 if name == "sentence_tfidf" else 2000)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
