@@ -87,6 +87,30 @@ def test_a_chain_is_one_component(spark):
         sh.links(links, 3)
 
 
+@pytest.mark.parametrize("together", [4_000_000, 0])
+def test_components_in_one_task_and_in_rounds(spark, together):
+    """Both ways against a search, with loops, repeats, nulls, negative and large ids, a long path; no edges, no rows."""
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(120) - 20, rnd.randrange(120) - 20) for _ in range(70)] + [(i, i + 1) for i in range(1000, 1040)]
+    edges += [(2**62, 7), (2**62, 7), (7, 2**62), (500, 500), (None, 3), (3, None)]
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            at = todo.pop()
+            if at not in want:
+                want[at] = start
+                todo += near[at]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = sh.connected_components(df, together=together).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert sh.connected_components(df.where("a = 500"), together=together).count() == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], DOCS)
     assert sh.simhash_components(df).count() == 0
