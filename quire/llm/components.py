@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quire.llm.runtime import checkpoint, map_arrow
 
@@ -35,15 +36,15 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, max_rounds: int = 60, together: int = 4_000_000) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node that can be reached.
 
-    Edges that are counted to be ``together`` at most (64 MB of numbers) are joined in one task, which takes three stages
+    Edges of long ids that are counted to be ``together`` at most (64 MB of numbers) are joined in one task, which takes three stages
     instead of some ten a round. Beyond that the same result is reached in rounds, and nothing depends on the number:
     each round hooks the parents of an edge's ends onto the smaller grandparent and then halves the paths, so the
     rounds grow with the logarithm of the longest path. A round is joins and a map-side combined minimum; the parent
     table is checkpointed, and only a count comes to the driver. Self-loops and repeated or null edges do no harm;
     no edges give no rows.
     """
-    edges = checkpoint(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b").distinct())
-    if edges.count() <= together:
+    edges = checkpoint(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
+    if all(f.dataType == LongType() for f in edges.schema) and edges.count() <= together:
         return checkpoint(map_arrow(edges.repartition(1), _together, "node long, root long", rows=1 << 16))
     both = checkpoint(edges.select(F.col("a").alias("s"), F.col("b").alias("t")).union(edges.select(F.col("b").alias("s"), F.col("a").alias("t"))).distinct())
     f = checkpoint(both.groupBy(F.col("s").alias("node")).agg(F.least(F.min("s"), F.min("t")).alias("p")))
