@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, lm, packing, pqdedup, quality, secrets, simhash, tokencounts, topk
+from quire.llm import bpe, centroids, chat, divergence, exact, lm, packing, pqdedup, quality, secrets, simhash, tokencounts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,8 +19,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.op8_topk,
     "op9_simhash": simhash.op9_simhash,
     "op10_pqdedup": pqdedup.op10_pqdedup,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_exact": exact.op12_exact,
+    "op13_centroids": centroids.op13_centroids,
 }
 
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's rounds written out: a(r) assigns all vectors to the centres c(r), c(r + 1) are their floored means."""
+    assign = """a{0} AS MATERIALIZED (SELECT i, k, d FROM (SELECT i, k, d, row_number() OVER (PARTITION BY i ORDER BY d, k) AS r
+          FROM (SELECT v.i, c.k, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{0} c)) WHERE r = 1)"""
+    means = """c{1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{0} c LEFT JOIN (SELECT k, list(x ORDER BY j) AS e
+          FROM (SELECT k, j, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+                FROM (SELECT a.k, unnest(v.e) AS x, unnest(range(64)) AS j FROM a{0} a JOIN v ON a.i = v.i) GROUP BY k, j) GROUP BY k) m ON c.k = m.k)"""
+    return ", ".join([assign.format(0), *(x for r in range(rounds) for x in (means.format(r, r + 1), assign.format(r + 1)))])
+
 #: Where SQL can't express a query over whole tables, tests/llm holds it against a brute-force version.
 ORACLE_SQL: dict[str, str] = {
     "op4_chat": r"""
@@ -54,4 +67,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id,
                vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
         FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        t AS MATERIALIZED (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        v AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM v GROUP BY lang), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+        c AS MATERIALIZED (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN v ON t.lang = v.lang AND t.term = v.term GROUP BY ALL),
+        s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+        p AS MATERIALIZED (SELECT g.lang, g.source, v.term, c.n > 0 AS has,
+                1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + l.v) AS p,
+                1 + (CAST(1000000000 AS HUGEINT) * (v.n + 1)) // (l.n + l.v) AS q
+              FROM g JOIN v ON g.lang = v.lang JOIN l ON g.lang = l.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+              LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE has AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM e)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op12_exact": r"""
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+        g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(n) OVER w AS most, count(*) OVER (PARTITION BY norm) AS group_size
+              FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST))
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = most AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op13_centroids": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+              FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        h AS (SELECT e, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) AS r FROM v),
+        c0 AS MATERIALIZED (SELECT CAST(r - 1 AS INTEGER) AS k, e FROM h WHERE r <= 40), {_lloyd_sql(5)}
+        SELECT vec_id, a.k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM a5 a JOIN v ON a.i = v.i JOIN c5 c ON a.k = c.k""",
 }
