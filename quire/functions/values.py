@@ -84,3 +84,17 @@ FOLDER_LABELS = {
 ERROR_PREFIX = "Lỗi khi gọi API Gemini"
 SKIP_MARK = "[BỎ QUA]"
 UNKNOWN, GENERAL = "Unknown", "General/Unknown"
+
+# Messages about files.
+OCR_WARNING = "Nội dung lấy bằng OCR (Gemini), công thức và ký hiệu có thể sai."
+EMPTY_FILE, NO_TEXT = "File rỗng (0 byte).", "Không trích xuất được nội dung văn bản từ file này."
+NO_ENCODING = "Không xác định được bảng mã của file .txt (thử lưu lại dưới dạng UTF-8)."
+NO_OCR = "Cần bật OCR (Gemini) để đọc file ảnh."
+UNSUPPORTED, NO_KIND = "Định dạng '{kind}' chưa được hỗ trợ. Hỗ trợ: {known}.", "(không có)"
+UNREADABLE = "Không đọc được file {kind}. File có thể bị hỏng hoặc có mật khẩu. (Chi tiết: {why})"
+PDF_PASSWORD = "PDF có mật khẩu. Hãy gỡ mật khẩu rồi tải lại."
+PDF_NO_OCR = "PDF này gần như không có văn bản (có thể là bản scan) và OCR chưa được bật."
+PDF_MANY_PAGES = "PDF scan có %d trang, chỉ OCR {most} trang đầu để tiết kiệm thời gian và quota."
+MERGE_SKIPPED, MERGE_COPY = "Bỏ qua '%s': %s", "Bỏ qua '%s': nội dung trùng với '%s'."
+MERGE_MANY, MERGE_NONE = "Tối đa {most} file mỗi lần (đang chọn %d).", "Không đọc được file nào. %s"
+MERGE_HEADING, MERGE_TYPE = "Tài liệu %d: %s.", "Gộp %d file"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.functions import values as v
 
 
 def repeated(edges: DataFrame, pages: DataFrame, least: int = 3, share: float = 0.4, longest: int = 120) -> DataFrame:
@@ -19,11 +20,15 @@ def repeated(edges: DataFrame, pages: DataFrame, least: int = 3, share: float =
     return counts.join(pages, "doc_id").where((F.col("n_pages") >= least) & (F.col("n") >= need)).select("doc_id", "sig")
 
 
-def filter_furniture(blocks: DataFrame, margin: float = 0.09, least: int = 3, share: float = 0.4) -> DataFrame:
-    """Text blocks without page numbers and repeated headers and footers in the margins."""
+def filter_furniture(blocks: DataFrame, margin: float = 0.09, least: int = 3, share: float = 0.4, pages: DataFrame | None = None) -> DataFrame:
+    """Text blocks without page numbers and repeated headers and footers in the margins.
+
+    ``pages`` (doc_id, n_pages) counts pages without blocks too; else those that have some are counted.
+    """
     edge = (F.col("page_h") > 0) & ((F.col("y1") <= F.col("page_h") * margin) | (F.col("y0") >= F.col("page_h") * (1 - margin)))
     rows = blocks.withColumn("_edge", edge & (t.strip(t.filled(F.col("text"))) != "")).withColumn("_sig", t.signature(F.col("text")))
-    pages = blocks.groupBy("doc_id").agg(F.count_distinct("page_no").alias("n_pages"))
+    if pages is None:
+        pages = blocks.groupBy("doc_id").agg(F.count_distinct("page_no").alias("n_pages"))
     words = rows.where(F.coalesce("block_type", F.lit(0)) == 0)
     gone = repeated(words.where("_edge").select("doc_id", "page_no", F.col("_sig").alias("sig")), pages, least, share)
     kept = words.where(~(F.col("_edge") & t.is_page_number(F.col("text"))))
@@ -78,26 +83,28 @@ def merge_files(files: DataFrame, most: int = 10, headings: bool = True) -> Data
     error of its own. With several files each one's paragraphs follow a heading line.
     """
     size = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"))
-    bad = files.where("error is not null").select("batch_id", "pos", F.concat(F.lit("Bỏ qua '"), "name", F.lit("': "), "error").alias("w"))
-    good = files.where("error is null")
+    fitting = files.join(size.where(F.col("n_files") <= most).select("batch_id"), "batch_id", "left_semi")  # no text of another is moved
+    bad = fitting.where("error is not null").select("batch_id", "pos", F.format_string(v.MERGE_SKIPPED, "name", "error").alias("w"))
+    good = fitting.where("error is null")
     kept = drop_copies(good)
     digests = good.withColumn("digest", F.sha1(F.array_join("paragraphs", "\n"))).select("batch_id", "digest", "pos", "name")
-    copies = digests.join(kept.select("batch_id", "digest", F.col("pos").alias("first"), F.col("name").alias("other")), ["batch_id", "digest"]).where("pos <> first")
-    bad = bad.union(copies.select("batch_id", "pos", F.concat(F.lit("Bỏ qua '"), "name", F.lit("': nội dung trùng với '"), "other", F.lit("'."))))
+    first = digests.groupBy("batch_id", "digest").agg(F.min_by(F.struct("pos", "name"), "pos").alias("first"))
+    copies = digests.join(first, ["batch_id", "digest"]).where("pos <> first.pos")
+    bad = bad.union(copies.select("batch_id", "pos", F.format_string(v.MERGE_COPY, "name", "first.name")))
     problems = bad.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda r: r["w"]).alias("problems"))
     info = F.struct(F.col("name"), F.col("source_type").alias("type"), F.col("pages"), F.size("paragraphs").alias("paragraphs"), F.aggregate("paragraphs", F.lit(0), lambda a, p: a + F.length(p)).alias("chars"))
     whole = kept.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "paragraphs", "source_type", "pages", "used_ocr", "warnings", info.alias("info")))).alias("f"))
     many = F.size("f") > 1
-    heads = F.transform("f", lambda x, i: F.concat(F.when(many & F.lit(headings), F.array(F.concat(F.lit("Tài liệu "), (i + 1).cast("string"), F.lit(": "), t.stem(x["name"]), F.lit(".")))).otherwise(F.array().cast("array<string>")), x["paragraphs"]))
+    heads = F.transform("f", lambda x, i: F.concat(F.when(many & F.lit(headings), F.array(F.format_string(v.MERGE_HEADING, i + 1, t.stem(x["name"])))).otherwise(F.array().cast("array<string>")), x["paragraphs"]))
     warned = F.flatten(F.transform("f", lambda x: F.transform(F.coalesce(x["warnings"], F.array().cast("array<string>")), lambda w: F.when(many, F.concat(F.lit("["), x["name"], F.lit("] "), w)).otherwise(w))))
     pages = F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["pages"].cast("long"), F.lit(0).cast("long")))
     none = F.array().cast("array<string>")
     out = size.join(whole, "batch_id", "left").join(problems, "batch_id", "left")
-    error = F.when(F.col("n_files") > most, F.concat(F.lit(f"Tối đa {most} file mỗi lần (đang chọn "), F.col("n_files").cast("string"), F.lit(")."))).when(F.col("f").isNull(), F.concat(F.lit("Không đọc được file nào. "), F.array_join(F.coalesce("problems", none), " ")))
+    error = F.when(F.col("n_files") > most, F.format_string(v.MERGE_MANY.format(most=most), "n_files")).when(F.col("f").isNull(), F.format_string(v.MERGE_NONE, F.array_join(F.coalesce("problems", none), " ")))
     return out.select(
         "batch_id",
         F.when(error.isNull(), F.flatten(heads)).alias("paragraphs"),
-        F.when(many, F.concat(F.lit("Gộp "), F.size("f").cast("string"), F.lit(" file"))).otherwise(F.get("f", F.lit(0))["source_type"]).alias("source_type"),
+        F.when(many, F.format_string(v.MERGE_TYPE, F.size("f"))).otherwise(F.get("f", F.lit(0))["source_type"]).alias("source_type"),
         F.when(many, F.nullif(pages, F.lit(0))).otherwise(F.get("f", F.lit(0))["pages"].cast("long")).alias("pages"),
         F.coalesce(F.exists("f", lambda x: F.coalesce(x["used_ocr"], F.lit(False))), F.lit(False)).alias("used_ocr"),
         F.concat(F.coalesce(warned, none), F.coalesce("problems", none)).alias("warnings"),

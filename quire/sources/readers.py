@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 from quire.functions import arrow
 from quire.functions import text as t
 from quire.functions import values as v
+from quire.sources.pdf import pdf_documents
 
 EXTENSIONS = (".pdf", ".docx", ".pptx", ".txt", ".png", ".jpg", ".jpeg")
 IMAGES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg"}
 SCHEMA = "path string, name string, paragraphs array<string>, source_type string, pages int, used_ocr boolean, warnings array<string>, error string"
-# Messages.
-OCR_WARNING = "Nội dung lấy bằng OCR (Gemini), công thức và ký hiệu có thể sai."
-EMPTY_FILE, NO_TEXT = "File rỗng (0 byte).", "Không trích xuất được nội dung văn bản từ file này."
-NO_ENCODING = "Không xác định được bảng mã của file .txt (thử lưu lại dưới dạng UTF-8)."
-NO_OCR = "Cần bật OCR (Gemini) để đọc file ảnh."
+
+OCR_WARNING, EMPTY_FILE, NO_TEXT, NO_ENCODING, NO_OCR = v.OCR_WARNING, v.EMPTY_FILE, v.NO_TEXT, v.NO_ENCODING, v.NO_OCR
 
 Parsed = tuple[list[str], str, int | None, bool, list[str]]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -48,7 +46,7 @@ def parse_txt(content: bytes) -> Parsed:
         except UnicodeError:
             continue
         return [p.strip() for p in text.replace("\r\n", "\n").split("\n\n") if p.strip()], "txt", None, False, []
-    raise Unreadable(NO_ENCODING)
+    raise Unreadable(v.NO_ENCODING)
 
 
 def _word_text(node: ElementTree.Element) -> str:
@@ -131,43 +129,14 @@ def parse_pptx(content: bytes, furniture: bool = True) -> Parsed:
     return out, "pptx", len(names), False, []
 
 
-def parse_pdf(content: bytes, ocr: Callable[[bytes, str], str] | None, furniture: bool, most_ocr: int = 10) -> Parsed:
-    """Text blocks of a PDF, or its pages by OCR where it has next to no text. Needs the optional library ``pymupdf``."""
-    try:
-        import pymupdf
-    except ImportError:
-        raise Unreadable("PDF files need pymupdf") from None
-    with pymupdf.open(stream=content, filetype="pdf") as pdf:
-        if pdf.needs_pass:
-            raise Unreadable("PDF có mật khẩu. Hãy gỡ mật khẩu rồi tải lại.")
-        pages = [(p.rect.height, [b for b in p.get_text("blocks") if len(b) <= 6 or b[6] == 0]) for p in pdf]
-        out: list[str] = []
-        for _, blocks in pages:
-            for b in blocks:
-                text = re.sub(r"\s+", " ", b[4].strip())
-                if text and out and not re.search(r"""[.:?!]['")]*$""", out[-1]):
-                    out[-1] += " " + text
-                elif text:
-                    out.append(text)
-        if sum(map(len, out)) >= 50 * max(1, len(pages)):
-            return out, "pdf", len(pages), False, []
-        if ocr is None:
-            raise Unreadable("PDF này gần như không có văn bản (có thể là bản scan) và OCR chưa được bật.")
-        warnings = [OCR_WARNING]
-        if len(pages) > most_ocr:
-            warnings.insert(0, f"PDF scan có {len(pages)} trang, chỉ OCR {most_ocr} trang đầu để tiết kiệm thời gian và quota.")
-        texts = [ocr(pdf[i].get_pixmap(dpi=150).tobytes("png"), "image/png") for i in range(min(len(pages), most_ocr))]
-        return [x for x in texts if x.strip()], "pdf (scan)", len(pages), True, warnings
-
-
 def parse(name: str, content: bytes | None, ocr: Callable[[bytes, str], str] | None = None, furniture: bool = True) -> Parsed:
-    """One file's paragraphs; raises ``Unreadable`` with a message."""
+    """One file's paragraphs; raises ``Unreadable`` with a message. PDF files are read by ``pdf``, over all their pages."""
     dot = name.rfind(".")
     kind = name[dot:].lower() if dot > 0 else ""
     if kind not in EXTENSIONS:
-        raise Unreadable(f"Định dạng '{kind or '(không có)'}' chưa được hỗ trợ. Hỗ trợ: {', '.join(EXTENSIONS)}.")
+        raise Unreadable(v.UNSUPPORTED.format(kind=kind or v.NO_KIND, known=", ".join(EXTENSIONS)))
     if not content:
-        raise Unreadable(EMPTY_FILE)
+        raise Unreadable(v.EMPTY_FILE)
     try:
         if kind == ".txt":
             got = parse_txt(content)
@@ -175,24 +144,28 @@ def parse(name: str, content: bytes | None, ocr: Callable[[bytes, str], str] | N
             got = parse_docx(content)
         elif kind == ".pptx":
             got = parse_pptx(content, furniture)
-        elif kind == ".pdf":
-            got = parse_pdf(content, ocr, furniture)
         elif ocr is None:
-            raise Unreadable(NO_OCR)
+            raise Unreadable(v.NO_OCR)
         else:
             text = ocr(content, IMAGES[kind])
-            got = [text] if text.strip() else [], "image", None, True, [OCR_WARNING]
+            got = [text] if text.strip() else [], "image", None, True, [v.OCR_WARNING]
     except Unreadable:
         raise
     except Exception as e:
-        raise Unreadable(f"Không đọc được file {kind}. File có thể bị hỏng hoặc có mật khẩu. (Chi tiết: {e})") from e
+        raise Unreadable(v.UNREADABLE.format(kind=kind, why=e)) from e
     if not "".join(got[0]).strip():
-        raise Unreadable(NO_TEXT)
+        raise Unreadable(v.NO_TEXT)
     return got
 
 
-def parse_files(files: DataFrame, make_ocr: Callable[[], Callable[[bytes, str], str]] | None = None, furniture: bool = True) -> DataFrame:
-    """Document rows of ``files(path, content)``; further columns are carried along after them."""
+def parse_files(files: DataFrame, make_ocr: Callable[[], Callable[[bytes, str], str]] | None = None, furniture: bool = True, pdf: bool = True) -> DataFrame:
+    """Document rows of ``files(path, content)``; further columns are carried along after them.
+
+    PDF files take a way of their own, as rows of blocks; ``pdf`` false leaves it out where there are none.
+    """
+    if pdf:
+        is_pdf = t.extension(F.coalesce("path", F.lit(""))).eqNullSafe(".pdf") & (F.length("content") > 0)
+        return parse_files(files.where(~F.coalesce(is_pdf, F.lit(False))), make_ocr, furniture, False).unionByName(_parse_pdfs(files.where(is_pdf), make_ocr, furniture))
     more = [c for c in files.columns if c not in ("path", "content")]
     kinds = dict(files.dtypes)
     schema = SCHEMA + "".join(f", `{c}` {kinds[c]}" for c in more)
@@ -215,6 +188,20 @@ def parse_files(files: DataFrame, make_ocr: Callable[[], Callable[[bytes, str],
     return files.select("path", "content", *more).mapInArrow(run, schema)
 
 
+def _parse_pdfs(files: DataFrame, make_ocr: Callable | None, furniture: bool) -> DataFrame:
+    docs = pdf_documents(files.withColumn("doc_id", F.expr("uuid()")), make_ocr, furniture)
+    blank = F.trim(F.array_join("paragraphs", "")) == ""
+    docs = docs.withColumn("error", F.coalesce("error", F.when(blank, F.lit(v.NO_TEXT))))
+    good = F.col("error").isNull()
+    none = F.array().cast("array<string>")
+    name = F.regexp_extract("info.path", r"([^/]*)$", 1)
+    more = [F.col(f"info.`{c}`").alias(c) for c in files.columns if c not in ("path", "content")]
+    return docs.select(
+        F.col("info.path").alias("path"), name.alias("name"), F.when(good, F.col("paragraphs")).otherwise(none).alias("paragraphs"), F.when(good, F.col("source_type")).alias("source_type"),
+        F.when(good, F.col("pages")).alias("pages"), (good & F.col("used_ocr")).alias("used_ocr"), F.when(good, F.col("warnings")).otherwise(none).alias("warnings"), "error", *more,
+    )
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*", make_ocr: Callable | None = None, furniture: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return parse_files(files.select("path", "content"), make_ocr, furniture)

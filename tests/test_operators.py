@@ -379,4 +379,4 @@ def test_no_sentence_is_cut_off(spark):
 def test_fit_takes_every_term(spark):
     n = 140_000  # with the pairs, more than 2 ** 18 terms
     rows = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(n))), ("b", "other words")], "label string, text string")
-    assert len(ml.fit(rows, "nb").count.vocabulary) == n + n - 1 + 3
+    assert ml.fit(rows, "nb").terms.count() == n + n - 1 + 3
