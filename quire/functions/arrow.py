@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from quire.functions import kernels as k
+from quire.functions import occurrences as o
 
 
 def rowwise(kernel: Callable[..., Any], returns: str) -> Callable[..., Column]:
@@ -54,13 +55,23 @@ def _three(f):
 
 
 _NFC = rowwise(k.nfc, "string")
+_NFC_ALL = rowwise(lambda texts: texts and [k.nfc(x) for x in texts], "array<string>")
+_COMBINES = r"\p{M}|[ᄀ-ᇿ]|[ΩKÅ]"
 
 
 def normalize(text: Column) -> Column:
     """Unicode form C, white space and control signs in order. Python is asked only for texts with combining marks."""
     from quire.functions import text as t
 
-    return t.squeeze(F.when(text.rlike(r"\p{M}|[ᄀ-ᇿ]|[ΩKÅ]"), _NFC(text)).otherwise(text))
+    return t.squeeze(F.when(text.rlike(_COMBINES), _NFC(text)).otherwise(text))
+
+
+def normalize_all(texts: Column) -> Column:
+    """``normalize`` of each text of an array."""
+    from quire.functions import text as t
+
+    odd = F.exists(texts, lambda x: F.coalesce(x, F.lit("")).rlike(_COMBINES))
+    return F.transform(F.when(odd, _NFC_ALL(texts)).otherwise(texts), t.squeeze)
 
 
 slug = rowwise(k.slug, "string")
@@ -113,5 +124,23 @@ def summary(text: Column, n: int = 5, terms: Column | None = None, boost: float
 grounding = rowwise(lambda claims, source: k.grounding(claims or [], source or []), "array<double>")
 _pairs = lambda a: [(p["abbr"], p["long"]) for p in a or []]
 conflicts = rowwise(lambda a, b: [dict(zip(("abbr", "source", "summary"), x, strict=True)) for x in k.conflicts(_pairs(a), _pairs(b))], "array<struct<abbr:string,source:string,summary:string>>")
-wilson = rowwise(lambda a, n: dict(zip(("low", "high"), k.wilson(a, n), strict=True)), "struct<low:double,high:double>")
 mcnemar = rowwise(k.mcnemar, "double")
+
+
+def keyword_counts(text: Column, keywords: o.Keywords) -> Column:
+    """Uses of each keyword that occurs: its place among the keywords and a number."""
+    kernel = lambda t: [{"i": i, "n": n} for i, n in o.Occurrences(t).counts(keywords).items()]
+    return rowwise(kernel, "array<struct<i:int,n:bigint>>")(text)
+
+
+def lexicon_terms(text: Column, keywords: o.Keywords, domains: list[list[int]], share: float) -> Column:
+    return rowwise(lambda t: o.lexicon_terms(t, keywords, domains, share), "array<string>")(text)
+
+
+def clean_terms(terms: Column, text: Column, least: int, most_words: int, stop: tuple[str, ...]) -> Column:
+    words = frozenset(x.lower() for x in stop)
+    return rowwise(lambda a, t: o.clean_terms(a, t, least, most_words, words), "array<string>")(terms, text)
+
+
+def top_concepts(text: Column, terms: Column, n: int) -> Column:
+    return rowwise(lambda t, a: o.top_concepts(t, a, n), "array<string>")(text, terms)

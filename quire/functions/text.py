@@ -253,25 +253,11 @@ def terminology(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(acronyms, camel, phrases, code)))
 
 
-def is_acronym(term: Column) -> Column:
-    return (F.upper(term) == term) & (F.lower(term) != term) & F.length(term).between(2, 5) & ~term.contains(" ")
-
-
 def clean_terms(terms: Column, text: Column, least: int = 2, most_words: int = 4, stop: tuple[str, ...] = v.TERM_STOP) -> Column:
     """One display form of each term, case aside: no long phrases and stop words; single words need evidence in the text."""
-    t = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
-    stops = F.array(*map(_s, stop)) if stop else F.array().cast("array<string>")
-    rows = let(t, lambda t: F.transform(F.array_distinct(F.transform(t, F.lower)), lambda k: F.struct(k.alias("k"), F.filter(t, lambda x: F.lower(x) == k).alias("x"))))
-    upper = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
-    acronym = lambda r: F.get(F.filter(r["x"], is_acronym), _s(0))
-    mixed = lambda r: F.get(F.filter(r["x"], lambda x: ~upper(x)), _s(0))
-    one = lambda r: ~r["k"].contains(" ")
-    seen = lambda r: F.regexp_extract_all(filled(text), bounded(r["k"], "(?iu)"), _s(0))
-    caps = lambda r: F.size(F.filter(seen(r), lambda x: x.rlike(r"^\p{Lu}")))
-    evident = lambda r: (F.size(seen(r)) >= least) & (caps(r) >= 0.7 * F.size(seen(r)))
-    good = F.filter(rows, lambda r: (F.size(F.split(r["k"], " ")) <= most_words) & ~F.array_contains(stops, r["k"]) & (~one(r) | acronym(r).isNotNull() | (filled(text) == "") | evident(r)))
-    shown = F.transform(good, lambda r: F.struct(r["k"].alias("k"), F.coalesce(acronym(r), mixed(r), F.initcap(r["k"])).alias("d")))
-    return F.transform(F.array_sort(shown), lambda r: r["d"])
+    from quire.functions import arrow
+
+    return arrow.clean_terms(terms, text, least, most_words, stop)
 
 
 def merge_terms(first: Column, second: Column) -> Column:
@@ -291,9 +277,9 @@ def undefined_abbreviations(text: Column, defined: Column, least: int = 2) -> Co
 
 def top_concepts(text: Column, terms: Column, k: int = 10) -> Column:
     """The terms that occur most often, ties by lower case."""
-    every = F.coalesce(terms, F.array().cast("array<string>"))
-    n = let(F.lower(filled(text)), lambda low: F.transform(F.filter(every, lambda x: low.contains(F.lower(x))), lambda x: F.struct((-F.regexp_count(low, bounded(F.lower(x)))).alias("n"), F.lower(x).alias("k"), x.alias("x"))))
-    return F.transform(F.slice(F.array_sort(F.filter(n, lambda r: r["n"] < 0)), 1, k), lambda r: r["x"])
+    from quire.functions import arrow
+
+    return arrow.top_concepts(text, terms, k)
 
 
 def candidate_terms(terms: Column) -> Column:

@@ -1,8 +1,8 @@
 """Subject domains by keywords.
 
-A lexicon is data: a frame ``(domain_ord, domain, kw_ord, keyword[, parent])`` with lower-case keywords. Keywords of one
-word, or of words with single spaces that can't overlap themselves, are counted by joining the text's word runs to the
-lexicon; the others, which have signs in them, by their patterns.
+A lexicon is data: a frame ``(domain_ord, domain, kw_ord, keyword[, parent])`` with lower-case keywords. Its keywords make a
+trie that goes to the workers; a text's words are indexed once and counted, judged and written out from that index, row by
+row, so that neither texts nor words are shuffled.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import arrow
 from quire.functions import text as t
 from quire.functions import values as v
+from quire.functions.occurrences import Keywords
 
-#: A lexicon up to this many rows is broadcast; a larger one is joined by shuffle.
+#: A lexicon of more rows than this can't go to the workers.
+MOST_KEYWORDS = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
@@ -31,37 +34,28 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def _runs(low: Column, longest: int) -> Column:
-    """All runs of up to ``longest`` words with single spaces between them."""
-    atoms = F.regexp_extract_all(low, F.lit(f"{t.W}+|[^\\p{{L}}\\p{{N}}_]+"), F.lit(0))
-    word = lambda x: x.rlike(f"^{t.W}")
-    out = F.filter(atoms, word)
-    def of(n: int) -> Column:
-        size = 2 * n - 1
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(atoms) - (size - 1), F.lit(1))), lambda i: F.slice(atoms, i, size))
-        good = F.filter(windows, lambda w: (F.size(w) == size) & word(F.get(w, F.lit(0))) & (F.size(F.filter(w, lambda x: x == " ")) == n - 1))
-        return F.transform(good, lambda w: F.array_join(w, ""))
-
-    return F.concat(out, *map(of, range(2, longest + 1))) if longest > 1 else out
+def _entries(lex: DataFrame) -> tuple[Keywords, list[tuple[int, str, list[int]]]]:
+    """The keywords, and each domain (place, name) with its keywords' places, in order."""
+    rows = lex.select("domain_ord", "domain", "kw_ord", "keyword").where("keyword <> ''").limit(MOST_KEYWORDS + 1).collect()
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError(f"a lexicon has {MOST_KEYWORDS} keywords at most")
+    rows.sort(key=lambda r: (r.domain_ord, r.kw_ord))
+    keywords = Keywords(r.keyword for r in rows)
+    place = {k: i for i, k in enumerate(keywords.names)}
+    domains: dict[tuple[int, str], dict[int, None]] = {}
+    for r in rows:
+        domains.setdefault((r.domain_ord, r.domain), {})[place[r.keyword]] = None
+    return keywords, [(*d, list(of)) for d, of in domains.items()]
 
 
 def keyword_counts(docs: DataFrame, lex: DataFrame) -> DataFrame:
     """(doc_id, domain_ord, domain, keyword, n) for the keywords that occur; keywords inside others count for both."""
-    plain = F.col("keyword").rlike(f"^{t.W}+( {t.W}+)*$")
-    over = F.col("keyword").rlike("^(.+)( .*)?(?<= )\\1$") & F.col("keyword").contains(" ")
-    lex = lex.select("domain_ord", "domain", "keyword").dropDuplicates(["domain_ord", "keyword"]).withColumn("simple", plain & ~over)
-    longest = lex.where("simple").select(F.max(F.size(F.split("keyword", " ")))).first()[0]
-    low = docs.select("doc_id", F.lower(t.filled(F.col("text"))).alias("low"))
-    parts = []
-    if longest:
-        runs = low.select("doc_id", F.explode(_runs(F.col("low"), longest)).alias("keyword"))
-        parts.append(runs.join(_small(lex.where("simple").drop("simple")), "keyword").groupBy("doc_id", "domain_ord", "domain", "keyword").agg(F.count(F.lit(1)).alias("n")))
-    rest = [r.keyword for r in lex.where("not simple").select("keyword").distinct().collect()]  # the lexicon's, not the data's
-    if rest or not parts:
-        counts = F.array(*(F.struct(F.lit(k).alias("keyword"), F.regexp_count("low", t.bounded(F.lit(k))).cast("long").alias("n")) for k in rest)) if rest else F.array().cast("array<struct<keyword:string,n:bigint>>")
-        found = low.select("doc_id", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c")).select("doc_id", "c.keyword", "c.n")
-        parts.append(found.join(_small(lex.drop("simple")), "keyword").select("doc_id", "domain_ord", "domain", "keyword", "n"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    keywords, domains = _entries(lex)
+    rows = [(i, d, name, keywords.names[i]) for d, name, of in domains for i in of]
+    found = docs.select("doc_id", F.explode(arrow.keyword_counts(F.col("text"), keywords)).alias("c")).select("doc_id", "c.i", "c.n")
+    names = docs.sparkSession.createDataFrame(rows, "i int, domain_ord int, domain string, keyword string")
+    names = F.broadcast(names) if len(rows) <= BROADCAST_ROWS else names
+    return found.join(names, "i").select("doc_id", "domain_ord", "domain", "keyword", "n")
 
 
 def score_domains(docs: DataFrame, lex: DataFrame) -> DataFrame:
@@ -83,32 +77,15 @@ def alternatives(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where("rank in (2, 3)").select("doc_id", "rank", "domain")
 
 
+def terms_in(text: Column, lex: DataFrame, share: float = 0.25) -> Column:
+    """A column of the lexicon's terms in ``text``, as ``lexicon_terms`` has them."""
+    keywords, domains = _entries(lex)
+    return arrow.lexicon_terms(text, keywords, [of for _, _, of in domains], share)
+
+
 def lexicon_terms(docs: DataFrame, lex: DataFrame, share: float = 0.25) -> DataFrame:
     """(doc_id, terms): the keywords present, of domains that score at least ``share`` of the best, as the text writes them."""
-    counts = keyword_counts(docs, lex)
-    scores = counts.groupBy("doc_id", "domain").agg(F.sum("n").alias("score"))
-    top = Window.partitionBy("doc_id")
-    good = scores.withColumn("top", F.max("score").over(top)).where(F.col("score") >= share * F.col("top")).select("doc_id", "domain")
-    present = counts.join(good, ["doc_id", "domain"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
-    forms = F.transform("keywords", lambda k: surface_form(F.col("text"), k))
-    shown = F.transform(F.array_sort(F.transform(forms, lambda x: F.struct(F.lower(x).alias("k"), x.alias("x")))), lambda r: r["x"])
-    return docs.select("doc_id", "text").join(present, "doc_id", "left").select("doc_id", F.coalesce(shown, F.array().cast("array<string>")).alias("terms"))
-
-
-def surface_form(text: Column, keyword: Column) -> Column:
-    """How a text writes a keyword: by uses inside sentences, the most usual form, mixed case last; if all begin sentences,
-    the most usual all-capitals form, else the keyword."""
-    pattern = F.concat(F.lit(f"(?iu){v.LEFT}"), t.quoted(keyword), F.lit(v.RIGHT))
-    first = F.concat(F.lit(f"(?iu)(?:^|(?<=[.!?:])(?U:\\s)+|\\n(?U:\\s)*){v.LEFT}"), t.quoted(keyword), F.lit(v.RIGHT))
-    every = F.regexp_extract_all(text, pattern, F.lit(0))
-    starting = F.transform(F.regexp_extract_all(text, first, F.lit(0)), t.strip)
-    starts_of = lambda x: F.size(F.filter(starting, lambda y: F.regexp_replace(y, "^[^\\p{L}\\p{N}_]+", "") == x))
-    size = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    upper = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
-    forms = F.transform(F.array_distinct(every), lambda x: F.struct(((x != F.lower(x)) & ~upper(x)).alias("mixed"), (starts_of(x) - size(every, x)).alias("n"), x.alias("x")))
-    inner = F.array_sort(F.filter(forms, lambda r: r["n"] < 0))
-    caps = F.array_sort(F.transform(F.filter(F.array_distinct(every), upper), lambda x: F.struct((-size(every, x)).alias("n"), x.alias("x"))))
-    return F.coalesce(F.get(inner, F.lit(0))["x"], F.get(caps, F.lit(0))["x"], keyword)
+    return docs.select("doc_id", terms_in(F.col("text"), lex, share).alias("terms"))
 
 
 def profile(docs: DataFrame, lex: DataFrame) -> DataFrame:

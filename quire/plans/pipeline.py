@@ -17,19 +17,16 @@ MOST_MODEL_BLOCKS = 25
 
 
 def normalized(files: DataFrame, drop_page_numbers: bool = False) -> DataFrame:
-    """(doc_id, paragraphs): normalised paragraphs that aren't blank. ``files``: doc_id, paragraphs."""
-    rows = files.select("doc_id", F.posexplode("paragraphs").alias("pos", "p")).select("doc_id", "pos", arrow.normalize(F.col("p")).alias("p")).where("p <> ''")
-    paras = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda r: r["p"]).alias("paragraphs"))
-    return paras.withColumn("paragraphs", t.drop_page_numbers(F.col("paragraphs"))) if drop_page_numbers else paras
+    """(doc_id, paragraphs): normalised paragraphs that aren't blank, row by row. ``files``: doc_id, paragraphs."""
+    squeezed = files.select("doc_id", F.filter(arrow.normalize_all(F.col("paragraphs")), lambda p: p != "").alias("paragraphs")).where(F.size("paragraphs") > 0)
+    return squeezed.withColumn("paragraphs", t.drop_page_numbers(F.col("paragraphs"))) if drop_page_numbers else squeezed
 
 
 def analyze(docs: DataFrame, lex: DataFrame) -> DataFrame:
     """``docs(doc_id, text, paragraphs)`` with terms, raw_terms, abbreviations, formulas, units and undefined abbreviations."""
     x = F.col("text")
     rows = docs.withColumn("raw_terms", t.terminology(x)).withColumn("_c", t.clean_terms(F.col("raw_terms"), x))
-    found = domain.lexicon_terms(docs.select("doc_id", "text"), lex).withColumnRenamed("terms", "_l")
-    rows = rows.join(found, "doc_id", "left")
-    rows = rows.withColumn("terms", t.merge_terms(F.col("_c"), F.coalesce("_l", F.array().cast("array<string>")))).drop("_c", "_l")
+    rows = rows.withColumn("terms", t.merge_terms(F.col("_c"), domain.terms_in(x, lex))).drop("_c")
     rows = rows.withColumn("abbreviations", arrow.abbreviations(x)).withColumn("formulas", arrow.formulas(F.col("paragraphs"))).withColumn("units", t.units(x))
     return rows.withColumn("undefined_abbreviations", t.undefined_abbreviations(x, F.transform("abbreviations", lambda p: p["abbr"])))
 
