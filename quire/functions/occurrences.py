@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 _WORD = re.compile(r"\w+")
@@ -104,16 +105,14 @@ class Occurrences:
     def surface(self, keyword: str) -> str | None:
         """How the text writes a keyword; None if it doesn't. Uses inside sentences decide: lower case and capitals before mixed
         case, then the most usual, then the first. If all begin sentences, the most usual form in capitals, else the keyword."""
-        forms: dict[str, list[int]] = {}  # inside, all
-        for a, b in self.uses(keyword):
-            n = forms.setdefault(self.text[a:b], [0, 0])
-            n[0] += not self.begins_sentence(a)
-            n[1] += 1
-        inside = [(x != x.lower() and not x.isupper(), -n[0], i, x) for i, (x, n) in enumerate(forms.items()) if n[0]]
-        if inside:
-            return min(inside)[3]
-        capitals = [(-n[1], i, x) for i, (x, n) in enumerate(forms.items()) if x.isupper()]
-        return min(capitals)[2] if capitals else keyword if forms else None
+        uses = self.uses(keyword)
+        every = Counter(self.text[a:b] for a, b in uses)  # counters keep the order in which forms are first met
+        inside = Counter(self.text[a:b] for a, b in uses if not self.begins_sentence(a))
+        ranked = [(x != x.lower() and not x.isupper(), -n, i, x) for i, (x, n) in enumerate(inside.items())]
+        if ranked:
+            return min(ranked)[3]
+        capitals = [(-n, i, x) for i, (x, n) in enumerate(every.items()) if x.isupper()]
+        return min(capitals)[2] if capitals else keyword if every else None
 
 
 def _uses(low: str, keyword: str) -> Iterator[tuple[int, int]]:

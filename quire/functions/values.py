@@ -98,3 +98,6 @@ PDF_MANY_PAGES = "PDF scan có %d trang, chỉ OCR {most} trang đầu để ti
 MERGE_SKIPPED, MERGE_COPY = "Bỏ qua '%s': %s", "Bỏ qua '%s': nội dung trùng với '%s'."
 MERGE_MANY, MERGE_NONE = "Tối đa {most} file mỗi lần (đang chọn %d).", "Không đọc được file nào. %s"
 MERGE_HEADING, MERGE_TYPE = "Tài liệu %d: %s.", "Gộp %d file"
+
+# Model and speech calls. A shorter text is returned as it is; part summaries are merged in groups while longer.
+LEAST_CHARS, REDUCE_CHARS, MERGE_GROUP, MAP_CALLS, SPEECH_CALLS = 50, 20_000, 5, 2, 4

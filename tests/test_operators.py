@@ -380,3 +380,83 @@ def test_fit_takes_every_term(spark):
     n = 140_000  # with the pairs, more than 2 ** 18 terms
     rows = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(n))), ("b", "other words")], "label string, text string")
     assert ml.fit(rows, "nb").terms.count() == n + n - 1 + 3
+
+
+class _Counting:
+    """A client that notes how many calls run at a time, and fails where told."""
+
+    def __init__(self, fails=lambda prompt: None):
+        import threading
+
+        self.lock, self.now, self.most, self.asked, self.fails = threading.Lock(), 0, 0, [], fails
+
+    def __call__(self, prompt):
+        import time
+
+        with self.lock:
+            self.now += 1
+            self.most = max(self.most, self.now)
+            self.asked.append(prompt)
+        try:
+            time.sleep(0.002 * (len(prompt) % 5))
+            error = self.fails(prompt)
+            if error:
+                raise error
+            return f"<{prompt}>"
+        finally:
+            with self.lock:
+                self.now -= 1
+
+
+def test_calls_in_flight_are_bounded_and_in_order():
+    parts = [f"p{i}" * (i % 7 + 1) for i in range(40)]
+    for at_once in (1, 3):
+        client = _Counting()
+        assert models.in_order(client, parts, at_once) == [f"<{p}>" for p in parts]
+        assert client.most <= at_once and sorted(client.asked) == sorted(parts)
+    wide = _Counting()
+    models.in_order(wide, parts, 8)
+    assert 1 < wide.most <= 8
+
+
+def test_a_limit_stops_the_parts_that_wait():
+    client = _Counting(lambda p: RuntimeError("429 quota") if p == "p5" else None)
+    got = models.in_order(client, [f"p{i}" for i in range(60)], 2, trips=models.is_rate_limit)
+    assert isinstance(got[5], RuntimeError) and got[:5] == [f"<p{i}>" for i in range(5)]
+    assert len(client.asked) <= 9 and got[20:] == [None] * 40
+    other = _Counting(lambda p: ValueError("odd") if p == "p5" else None)
+    got = models.in_order(other, [f"p{i}" for i in range(20)], 2, trips=models.is_rate_limit)
+    assert len(other.asked) == 20 and isinstance(got[5], ValueError) and got[19] == "<p19>"
+
+
+def test_map_reduce_keeps_parts_in_order_and_trips():
+    text = "\n\n".join(f"Part number {i} says something of its own about topic {i}. " * 60 for i in range(12))
+    joined = []
+
+    def call(prompt):
+        if prompt.startswith("This is part"):
+            return "S" + prompt.split("part ")[1].split(" ")[0]
+        joined.append(prompt)
+        return "whole"
+
+    got, plan = models.map_reduce(call, text, calls=8, at_once=4)
+    assert got == "whole" and plan["chunks"] > 2 and plan["fallback_chunks"] == 0
+    assert "\n\n".join(f"S{i}" for i in range(1, plan["chunks"] + 1)) in joined[0]
+
+    def limited(prompt):
+        if prompt.startswith("This is part 1 ") or not prompt.startswith("This is part"):
+            return "fine"
+        raise RuntimeError("429")
+
+    got, plan = models.map_reduce(limited, text, calls=8, at_once=1)
+    assert got == "fine" and plan["fallback_chunks"] == plan["chunks"] - 1
+    got, plan = models.map_reduce(lambda p: (_ for _ in ()).throw(RuntimeError("429 first")), text, calls=8)
+    assert got.endswith("429 first") and plan["fallback_chunks"] == plan["chunks"]
+
+
+def test_history_counts_since_the_newest_save(spark):
+    log = [("a", t, t, "save" if t in (3, 10) else "attempt", t) for t in range(40)] + [("b", t, t, "attempt", t) for t in range(3)] + [("c", 5, 1, "attempt", 1), ("c", 5, 2, "save", 2), ("c", 5, 3, "attempt", 3)]
+    got = quiz.since_save(spark.createDataFrame(log, "lesson_id string, time int, seq int, op string, score int")).collect()
+    assert sorted((r.lesson_id, r.score) for r in got) == [("a", t) for t in range(20, 40)] + [("c", 3)]
+    few = quiz.since_save(spark.createDataFrame(log[:14], "lesson_id string, time int, seq int, op string, score int"), 2)
+    assert sorted(r.score for r in few.collect()) == [12, 13]
