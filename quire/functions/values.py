@@ -101,3 +101,6 @@ MERGE_HEADING, MERGE_TYPE = "Tài liệu %d: %s.", "Gộp %d file"
 
 # Model and speech calls. A shorter text is returned as it is; part summaries are merged in groups while longer.
 LEAST_CHARS, REDUCE_CHARS, MERGE_GROUP, MAP_CALLS, SPEECH_CALLS = 50, 20_000, 5, 2, 4
+
+# What a lesson without a title is called.
+LESSON = "Bài học"

@@ -6,13 +6,19 @@ version leaves null keeps its last value. Files are partitioned by owner, so an
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
+from datetime import datetime
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.functions import values as v
+from quire.session import checkpoint
 
 FIELDS = {"title": "string", "file_name": "string", "created_at": "timestamp_ntz", "last_opened_at": "timestamp_ntz", "domain": "string", "summary_preview": "string", "mode": "string", "data": "string", "audio": "binary", "audio_info": "string", "audio_updated_at": "timestamp_ntz"}
 SCHEMA = "id string, version long, op string, " + ", ".join(f"{k} {x}" for k, x in FIELDS.items()) + ", owner_id string"
@@ -29,10 +35,15 @@ def pick_owner(*candidates: str | None) -> str:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The current state of every lesson that isn't deleted."""
-    order = Window.partitionBy("id").orderBy("version").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = log.select("id", "version", *(F.last(c, ignorenulls=True).over(order).alias(c) for c in (*FIELDS, "owner_id")), F.last("op").over(order).alias("op"), F.max("version").over(order).alias("_last"))
-    return rows.where((F.col("version") == F.col("_last")) & (F.col("op") != "delete")).drop("_last", "op")
+    """The current state of every lesson that isn't deleted. What a snapshot holds stands for its version and all before."""
+    snapshot = F.col("op") == "snapshot"
+    of = Window.partitionBy("id")
+    rows = log.withColumn("_since", F.max(F.when(snapshot, F.col("version"))).over(of))
+    rows = rows.where(F.col("_since").isNull() | (F.col("version") > F.col("_since")) | (snapshot & (F.col("version") == F.col("_since"))))
+    order = of.orderBy("version").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = F.row_number().over(of.orderBy(F.desc("version")))
+    rows = rows.select("id", "version", *(F.last(c, ignorenulls=True).over(order).alias(c) for c in (*FIELDS, "owner_id")), F.last("op").over(order).alias("op"), back.alias("_back"))
+    return rows.where((F.col("_back") == 1) & (F.col("op") != "delete")).drop("_back", "op")
 
 
 def listed(state: DataFrame) -> DataFrame:
@@ -42,40 +53,115 @@ def listed(state: DataFrame) -> DataFrame:
 
 
 class Library:
+    """A folder of versions: one Parquet file a version, named by lesson and number, below its owner.
+
+    A version is written aside and then linked to its name, which fails if the name is there: of two writers that read the
+    same version one wins. That needs a file system whose link or rename doesn't replace, as local ones and HDFS have. Every
+    file stands by itself, so a writer that is lost leaves nothing but its file aside. Orphans are adopted by a version
+    that names their heir.
+    """
+
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _owner(self, owner: str) -> str:
         if not valid_owner(owner):
             raise PermissionError("a lesson is read and written only for its owner")
         return owner
 
+    # --- files -------------------------------------------------------------------------------------------------------
+
+    def _at(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, owner: str) -> list[str]:
+        at, fs = self._at(f"{self.path}/owner_id={owner}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().endswith(".parquet")) if fs.exists(at) else []
+
+    def _link(self, source: str, target: str) -> bool:
+        """``source`` under the name ``target``, unless that is taken; at once and whole."""
+        (a, fs), (b, _) = self._at(source), self._at(target)
+        fs.mkdirs(b.getParent())
+        if fs.getScheme() != "file":
+            return fs.rename(a, b)
+        try:
+            os.link(a.toUri().getPath(), b.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+
+    def _publish(self, rows: DataFrame, owner: str, name: str, files: int = 1) -> bool:
+        """``rows`` as a file ``name``, or files of that name and a number; false if the name is taken."""
+        aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
+        rows.drop("owner_id").coalesce(files).write.parquet(aside)
+        at, fs = self._at(aside)
+        parts = sorted(x.getPath().toString() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
+        names = [name] if files == 1 else [f"{name}-{i}" for i in range(len(parts))]
+        done = [self._link(p, f"{self.path}/owner_id={owner}/{n}.parquet") for p, n in zip(parts, names, strict=True)]
+        fs.delete(at, True)
+        return all(done)
+
+    @staticmethod
+    def _file(lesson: str, version: int) -> str:
+        return f"v-{quote(lesson, safe='').replace('-', '%2D')}-{version:012d}"
+
+    # --- reading -----------------------------------------------------------------------------------------------------
+
     def log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(f"{SCHEMA}, heir string").parquet(self.path)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], SCHEMA)
+            return self.spark.createDataFrame([], f"{SCHEMA}, heir string")
+
+    def _rows(self, owner: str) -> DataFrame:
+        """The versions that are an owner's: its own, and those of the orphans that it adopted."""
+        rows = self.log().where(F.col("owner_id").isin(self._owner(owner), ORPHAN))
+        rows = rows.withColumn("heir", F.max("heir").over(Window.partitionBy("id")))
+        return rows.where((F.col("owner_id") == owner) | F.col("heir").eqNullSafe(owner)).drop("heir").withColumn("owner_id", F.lit(owner))
 
     def state(self, owner: str) -> DataFrame:
-        return latest(self.log().where(F.col("owner_id") == self._owner(owner)))
+        return latest(self._rows(owner))
 
-    def _append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy("owner_id").parquet(self.path)
+    def get(self, owner: str, lesson: str) -> DataFrame:
+        return self.state(owner).where(F.col("id") == lesson)
 
-    def _version(self, owner: str, lesson: str, op: str, **values: Column) -> bool:
-        now = self.state(owner).where(F.col("id") == lesson).select("id", (F.col("version") + 1).alias("version"), F.lit(op).alias("op"), *((values[c].cast(x) if c in values else F.lit(None).cast(x)).alias(c) for c, x in FIELDS.items()), F.lit(owner).alias("owner_id"))
-        rows = now.collect()  # one lesson
-        if rows:
-            self._append(self.spark.createDataFrame(rows, SCHEMA))
-        return bool(rows)
+    def audio(self, owner: str, lesson: str) -> bytes | None:
+        row = self.get(owner, lesson).select("audio").first()
+        return None if row is None or row.audio is None else bytes(row.audio)
+
+    def list(self, owner: str) -> DataFrame:
+        return listed(self.state(owner))
+
+    # --- writing -----------------------------------------------------------------------------------------------------
+
+    def _version(self, owner: str, lesson: str, op: str, tries: int = 20, **values: Column) -> bool:
+        """One more version of a lesson. Where another writer's comes first it is tried again, unless that one did the same."""
+        for _ in range(tries):
+            now = self._rows(owner).where(F.col("id") == lesson)
+            one = latest(now).select("version").first()
+            if one is None:
+                return False
+            fields = ((values[c].cast(x) if c in values else F.lit(None).cast(x)).alias(c) for c, x in FIELDS.items())
+            row = self.spark.range(1).select(F.lit(lesson).alias("id"), F.lit(one.version + 1).cast("long").alias("version"), F.lit(op).alias("op"), *fields, F.lit(None).cast("string").alias("heir"))
+            if self._publish(row, owner, self._file(lesson, one.version + 1)):
+                over = self._rows(owner).where((F.col("id") == lesson) & (F.col("op") == "snapshot") & (F.col("version") > one.version)).limit(1).count()
+                return not over  # a snapshot of a later version was taken before this one had its name
+            won = self._rows(owner).where((F.col("id") == lesson) & (F.col("version") == one.version + 1)).select("op").first()
+            if won is not None and won.op == op:
+                return False
+        return False
 
     def save(self, owner: str | None, title: str | None, data: str, file_name: str = "", domain: str = "", summary: str = "", mode: str = "summary", lesson: str | None = None) -> str:
         lesson = lesson or uuid.uuid4().hex
         owner = ORPHAN if owner is None else self._owner(owner)
-        one = self.spark.range(1).select(F.lit(lesson).alias("id"), F.lit(1).cast("long").alias("version"), F.lit("save").alias("op"), F.lit(title or file_name or "Bài học").alias("title"), F.lit(file_name).alias("file_name"), F.localtimestamp().alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_opened_at"), F.lit(domain).alias("domain"), t.preview(F.lit(summary)).alias("summary_preview"), F.lit(mode).alias("mode"), F.lit(data).alias("data"), F.lit(None).cast("binary").alias("audio"), F.lit(None).cast("string").alias("audio_info"), F.lit(None).cast("timestamp_ntz").alias("audio_updated_at"), F.lit(owner).alias("owner_id"))
-        self._append(one)
+        values = {"title": F.lit((title or file_name or v.LESSON).strip() or v.LESSON), "file_name": F.lit(file_name), "created_at": F.localtimestamp(), "domain": F.lit(domain), "summary_preview": t.preview(F.lit(summary)), "mode": F.lit(mode or "summary"), "data": F.lit(data)}
+        fields = (values.get(c, F.lit(None)).cast(x).alias(c) for c, x in FIELDS.items())
+        row = self.spark.range(1).select(F.lit(lesson).alias("id"), F.lit(1).cast("long").alias("version"), F.lit("save").alias("op"), *fields, F.lit(None).cast("string").alias("heir"))
+        if not self._publish(row, owner, self._file(lesson, 1)):
+            raise FileExistsError(f"there is a lesson {lesson}")
         return lesson
 
     def rename(self, owner: str, lesson: str, title: str) -> bool:
@@ -94,24 +180,61 @@ class Library:
     def delete(self, owner: str, lesson: str) -> bool:
         return self._version(owner, lesson, "delete")
 
-    def get(self, owner: str, lesson: str) -> DataFrame:
-        return self.state(owner).where(F.col("id") == lesson)
-
-    def audio(self, owner: str, lesson: str) -> bytes | None:
-        row = self.get(owner, lesson).select("audio").first()
-        return None if row is None or row.audio is None else bytes(row.audio)
-
-    def list(self, owner: str) -> DataFrame:
-        return listed(self.state(owner))
-
-    def adopt_orphans(self, owner: str) -> int:
-        """Lessons without an owner become this owner's; how many."""
+    def adopt_orphans(self, owner: str, tries: int = 20) -> int:
+        """Lessons without an owner become this owner's; how many. Of two adoptions at a time one takes them all."""
         self._owner(owner)
-        orphans = latest(self.log().where(F.col("owner_id") == ORPHAN))
-        taken = self.log().where(F.col("owner_id") != ORPHAN).select("id")
-        rows = orphans.join(taken, "id", "left_anti").select("id", (F.col("version") + 1).alias("version"), F.lit("adopt").alias("op"), *FIELDS, F.lit(owner).alias("owner_id")).cache()
-        n = rows.count()
-        if n:
-            self._append(rows)
-        rows.unpersist()
-        return n
+        for _ in range(tries):
+            batch = sum(x.startswith("adopt-") for x in self._names(ORPHAN))
+            rows = self.log().where(F.col("owner_id") == ORPHAN)
+            free = rows.groupBy("id").agg(F.max("version").alias("version"), F.max("heir").alias("heir"), F.max_by("op", "version").alias("op")).where("heir is null and op <> 'delete'")
+            claim = free.select("id", (F.col("version") + 1).alias("version"), F.lit("adopt").alias("op"), *(F.lit(None).cast(x).alias(c) for c, x in FIELDS.items()), F.lit(owner).alias("heir"))
+            n = claim.count()
+            if not n or self._publish(claim, ORPHAN, f"adopt-{batch:012d}"):
+                return n
+        return 0
+
+    def compact(self, owner: str, files: int = 1) -> int:
+        """One snapshot of an owner's lessons instead of their versions; the number of files that go.
+
+        Snapshots get their names first, then older files go, a deleted lesson's last version the last of all: stopped
+        anywhere, the state is the same. Writers may go on; a reader that has begun may have to begin again.
+        """
+        before = self._names(self._owner(owner))
+        rows = self._rows(owner)
+        gone = {r.id: r.version for r in rows.groupBy("id").agg(F.max("version").alias("version"), F.max_by("op", "version").alias("op")).where("op = 'delete'").collect()}
+        state = checkpoint(latest(rows))
+        kept = {r.id: r.version for r in state.select("id", "version").collect()}
+        if kept and not self._publish(state.withColumns({"op": F.lit("snapshot"), "heir": F.lit(None).cast("string")}), owner, f"s-{uuid.uuid4().hex}", files):
+            return 0
+        doomed = [x for x in before if x.startswith("s-")]
+        for x in before:
+            if x.startswith("v-"):
+                lesson, version = unquote(x.split("-")[1]), int(x.split("-")[2].split(".")[0])
+                if version <= kept.get(lesson, -1) or version < gone.get(lesson, -1):
+                    doomed.append(x)
+        for x in doomed:
+            at, fs = self._at(f"{self.path}/owner_id={owner}/{x}")
+            fs.delete(at, False)
+        return len(doomed)
+
+    # --- a lesson's quiz ---------------------------------------------------------------------------------------------
+
+    def quiz(self, owner: str, lesson: str) -> dict | None:
+        row = self.get(owner, lesson).select("data").first()
+        return json.loads(row.data or "{}").get("quiz") if row else None
+
+    def save_quiz(self, owner: str, lesson: str, questions: list, report: dict) -> bool:
+        """New questions for a lesson; its history begins anew."""
+        row = self.get(owner, lesson).select("data").first()
+        made = {"questions": questions, "report": report, "history": [], "created": datetime.now().isoformat(timespec="seconds")}
+        return row is not None and self.set_data(owner, lesson, json.dumps(json.loads(row.data or "{}") | {"quiz": made}, ensure_ascii=False))
+
+    def add_attempt(self, owner: str, lesson: str, score: int, total: int, wrong: list[int], most: int = 20) -> bool:
+        """An attempt behind the lesson's last ones; false if it has no questions."""
+        row = self.get(owner, lesson).select("data").first()
+        data = json.loads(row.data or "{}") if row else {}
+        if "quiz" not in data:
+            return False
+        tried = {"time": datetime.now().isoformat(timespec="seconds"), "score": score, "total": total, "wrong": list(wrong)}
+        data["quiz"]["history"] = [*data["quiz"].get("history", ()), tried][-most:]
+        return self.set_data(owner, lesson, json.dumps(data, ensure_ascii=False))

@@ -253,6 +253,90 @@ def test_library(spark, tmp_path):
     assert lib.get(A, lost).first().title == "Lost" and lib.get(B, lost).count() == 0 and lib.list(B).first().id == two
 
 
+def test_racing_renames_have_one_winner(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    lib = store.Library(spark, f"{tmp_path}/lessons")
+    one = lib.save(A, "One", "{}")
+    held, link = [], lib._link
+    import threading
+
+    both = threading.Barrier(2, timeout=120)
+
+    def late(source, target):
+        both.wait()  # both have read the same version and written theirs aside
+        return link(source, target)
+
+    lib._link = late
+    with ThreadPoolExecutor(2) as pool:
+        held = list(pool.map(lambda x: lib.rename(A, one, x), ["Left", "Right"]))
+    lib._link = link
+    assert sorted(held) == [False, True]
+    r = lib.get(A, one).first()
+    assert (r.title, r.version) == (["Left", "Right"][held.index(True)], 2)
+    with pytest.raises(FileExistsError):
+        lib.save(A, "Again", "{}", lesson=one)
+
+
+def test_a_lost_race_of_another_kind_is_tried_again(spark, tmp_path):
+    lib = store.Library(spark, f"{tmp_path}/lessons")
+    one, link, first = lib.save(A, "One", "{}"), lib._link, []
+
+    def late(source, target):
+        if not first:
+            first.append(1)
+            assert store.Library(spark, f"{tmp_path}/lessons").touch(A, one)
+        return link(source, target)
+
+    lib._link = late
+    assert lib.rename(A, one, "New")
+    r = lib.get(A, one).first()
+    assert (r.title, r.version) == ("New", 3) and r.last_opened_at is not None
+
+
+def test_compaction_keeps_the_state(spark, tmp_path):
+    lib = store.Library(spark, f"{tmp_path}/lessons")
+    one, two, three = lib.save(A, "One", "{}"), lib.save(A, "Two", "{}", lesson="odd/id-2"), lib.save(A, "Three", "{}")
+    other = lib.save(B, "Other", "{}")
+    lost = lib.save(None, "Lost", "{}")
+    assert lib.adopt_orphans(A) == 1 and lib.rename(A, lost, "Found")
+    assert lib.rename(A, two, "Second") and lib.set_audio(A, two, b"x") and lib.delete(A, three)
+    rows = lambda: sorted(map(tuple, lib.state(A).collect()), key=repr)
+    before = rows()
+    assert lib.compact(A) == 6 and rows() == before and lib.get(A, three).count() == 0
+    assert lib.rename(A, one, "First") and lib.get(A, one).first().version == 2 and not lib.rename(A, three, "Back")
+    again = rows()
+    assert lib.compact(A, 3) == 2 and rows() == again and lib.audio(A, two) == b"x" and lib.get(B, other).count() == 1
+    # A writer that read a version which a snapshot has gone past finds its name free; its version counts for nothing.
+    row = spark.range(1).selectExpr("'odd/id-2' AS id", "2L AS version", "'rename' AS op", *(f"cast({'NULL' if c != 'title' else repr('Stale')} as {x}) AS {c}" for c, x in store.FIELDS.items()), "cast(NULL as string) AS heir")
+    assert lib._publish(row, A, lib._file(two, 2)) and rows() == again
+
+
+def test_two_adoptions_share_nothing(spark, tmp_path):
+    lib = store.Library(spark, f"{tmp_path}/lessons")
+    lost, link, first = lib.save(None, "Lost", "{}"), lib._link, []
+
+    def late(source, target):
+        if not first:
+            first.append(1)
+            assert store.Library(spark, f"{tmp_path}/lessons").adopt_orphans(B) == 1
+        return link(source, target)
+
+    lib._link = late
+    assert lib.adopt_orphans(A) == 0 and lib.get(A, lost).count() == 0 and lib.get(B, lost).first().title == "Lost"
+
+
+def test_a_lessons_quiz(spark, tmp_path):
+    lib = store.Library(spark, f"{tmp_path}/lessons")
+    one = lib.save(A, "One", '{"summary": "s"}')
+    assert lib.quiz(A, one) is None and not lib.add_attempt(A, one, 1, 2, [0]) and not lib.save_quiz(B, one, [], {})
+    assert lib.save_quiz(A, one, [{"q": "?"}], {"n": 1})
+    assert all(lib.add_attempt(A, one, i, 4, [i], most=3) for i in range(4))
+    got = lib.quiz(A, one)
+    assert [x["score"] for x in got["history"]] == [1, 2, 3] and got["questions"] == [{"q": "?"}]
+    assert lib.save_quiz(A, one, [], {}) and lib.quiz(A, one)["history"] == [] and '"summary": "s"' in lib.get(A, one).first().data
+
+
 @pytest.mark.parametrize("bad", ["", None, "x", "A" * 32, "a" * 31, "a" * 33, "g" * 32, "a" * 31 + "\n", "../" + "a" * 29])
 def test_owner_guard(spark, tmp_path, bad):
     assert not store.valid_owner(bad)
