@@ -97,7 +97,8 @@ def paragraph_chunks(paragraphs: Column, most: int = 6000) -> Column:
 
 
 def plan_chunks(text: Column, calls: int) -> Column:
-    return rowwise(lambda t: dict(zip(("chunks", "truncated"), k.plan_chunks(t, calls), strict=True)), "struct<chunks:array<string>,truncated:boolean>")(text)
+    plan = lambda t: dict(zip(("chunks", "truncated", "size"), (*k.plan_chunks(t, calls), k.chunk_size(len(t or ""), calls)), strict=True))
+    return rowwise(plan, "struct<chunks:array<string>,truncated:boolean,size:bigint>")(text)
 
 
 def word_chunks(text: Column, size: int = 150, least: int = 40) -> Column:

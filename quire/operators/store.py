@@ -46,6 +46,12 @@ def latest(log: DataFrame) -> DataFrame:
     return rows.where((F.col("_back") == 1) & (F.col("op") != "delete")).drop("_back", "op")
 
 
+def owned(log: DataFrame, owner: str) -> DataFrame:
+    """The versions of ``log`` (heir, ...) that are an owner's: its own, and those of the orphans whose last heir it is."""
+    rows = log.where(F.col("owner_id").isin(owner, ORPHAN)).withColumn("heir", F.max("heir").over(Window.partitionBy("id")))
+    return rows.where((F.col("owner_id") == owner) | F.col("heir").eqNullSafe(owner)).drop("heir").withColumn("owner_id", F.lit(owner))
+
+
 def listed(state: DataFrame) -> DataFrame:
     """What a list of lessons shows, the last opened first; neither texts nor sound are read."""
     shown = state.select("id", "title", "file_name", "created_at", "last_opened_at", "domain", "summary_preview", "mode", F.col("audio").isNotNull().alias("has_audio"), F.coalesce(F.octet_length("audio"), F.lit(0)).alias("audio_bytes"))
@@ -118,9 +124,7 @@ class Library:
 
     def _rows(self, owner: str) -> DataFrame:
         """The versions that are an owner's: its own, and those of the orphans that it adopted."""
-        rows = self.log().where(F.col("owner_id").isin(self._owner(owner), ORPHAN))
-        rows = rows.withColumn("heir", F.max("heir").over(Window.partitionBy("id")))
-        return rows.where((F.col("owner_id") == owner) | F.col("heir").eqNullSafe(owner)).drop("heir").withColumn("owner_id", F.lit(owner))
+        return owned(self.log(), self._owner(owner))
 
     def state(self, owner: str) -> DataFrame:
         return latest(self._rows(owner))

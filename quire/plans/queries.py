@@ -117,9 +117,12 @@ def rouge2_lead3(spark, d):
     return _rouge(spark, d, 2)
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id, len({TOK.format("lead")}) AS a, CAST(len({TOK.format("text")}) AS DOUBLE) AS b FROM (SELECT doc_id, text, {LEAD.format("text")} AS lead FROM documents))
+  SELECT doc_id, CAST(CASE WHEN a > 0 THEN 1 ELSE 0 END AS DOUBLE) AS prec, round(CASE WHEN a > 0 THEN a / b ELSE 0.0 END, 6) AS rec, round(CASE WHEN a > 0 THEN 2 * (a / b) / (1 + a / b) ELSE 0.0 END, 6) AS f1 FROM p""")
 def rouge_l_lead3(spark, d):
-    return documents(spark, d).select("doc_id", arrow.rouge_l(t.lead(F.col("text")), F.col("text")).alias("r")).select("doc_id", "r.*")
+    """A lead's words are a subsequence of its text's, so SQL needs only their numbers; the operator searches for it."""
+    r = documents(spark, d).select("doc_id", arrow.rouge_l(t.lead(F.col("text")), F.col("text")).alias("r"))
+    return r.select("doc_id", *(F.round(f"r.{a}", 6).alias(b) for a, b in (("precision", "prec"), ("recall", "rec"), ("f1", "f1"))))
 
 
 @query("SELECT doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents")
@@ -176,8 +179,8 @@ def file_names(spark, d):
 
 @query("SELECT doc_id, length(text) AS chars, CAST(least(120000, greatest(6000, ceil(length(text) / 10) + 500)) AS BIGINT) AS size FROM documents")
 def chunk_plan(spark, d):
-    n = F.length("text")
-    return documents(spark, d).select("doc_id", n.cast("long").alias("chars"), F.least(F.lit(120000), F.greatest(F.lit(6000), F.ceil(n / 10) + 500)).cast("long").alias("size"))
+    """The size that a planned text is cut to, as the plan itself reports it."""
+    return documents(spark, d).select("doc_id", F.length("text").cast("long").alias("chars"), arrow.plan_chunks(F.col("text"), 10).alias("p")).select("doc_id", "chars", "p.size")
 
 
 @query()
@@ -271,17 +274,39 @@ def abbreviations(spark, d):
     return documents(spark, d).select("doc_id", F.explode(arrow.abbreviations(F.concat("text", F.lit(" It says Natural Language Processing (NLP) and GPU (Graphics Processing Unit).")))).alias("p")).select("doc_id", "p.*")
 
 
-@query()
+_PHRASE_STOP = ", ".join(f"'{w}'" for w in v.PHRASE_STOP)
+TERMS = f"""w AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all(text, '\\p{{L}}+|[.!?:;\\n]') AS f FROM documents),
+  m AS (SELECT doc_id, text, w, chr(2) || ' ' || array_to_string(list_transform(f, lambda x: CASE WHEN regexp_full_match(x, '[.!?:;\\n]') THEN chr(2) WHEN regexp_full_match(x, '\\p{{Lu}}[^\\p{{Lu}}\\p{{Lt}}]*\\p{{Ll}}[^\\p{{Lu}}\\p{{Lt}}]*') AND NOT lower(x) IN ({_PHRASE_STOP}) THEN x ELSE chr(1) END), ' ') AS line FROM w),
+  r AS (SELECT doc_id, text, w, list_transform(list_filter(regexp_extract_all(line, '(?:\\x02 )?\\p{{L}}+(?: \\p{{L}}+)*'), lambda x: NOT (starts_with(x, chr(2)) AND NOT contains(substr(x, 3), ' '))), lambda x: replace(x, chr(2) || ' ', '')) AS runs FROM m),
+  t AS (SELECT doc_id, text, w, list_distinct(list_concat(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{{2,}}|[A-Z]?[a-z]+[A-Z][a-z]*[A-Za-z]*')), list_filter(runs, lambda x: length(x) > 3), regexp_extract_all(text, '\\b[a-zA-Z0-9_]+[:/][a-zA-Z0-9_:/]+\\b'))) AS terms FROM r)"""
+
+
+@query(f"WITH {TERMS} SELECT doc_id, unnest(terms) AS term FROM t")
 def terminology(spark, d):
     return documents(spark, d).select("doc_id", F.explode(t.terminology(F.col("text"))).alias("term"))
 
 
-@query()
+_UPPER = "(upper({0}) = {0} AND lower({0}) <> {0})"
+_TERM_STOP = ", ".join(f"'{w}'" for w in v.TERM_STOP)
+
+
+@query(f"""WITH {TERMS}, x AS (SELECT doc_id, unnest(terms) AS x FROM t),
+  g AS (SELECT doc_id, lower(x) AS k, min(x) FILTER ({_UPPER.format("x")} AND length(x) BETWEEN 2 AND 5 AND NOT contains(x, ' ')) AS acronym, min(x) FILTER (NOT {_UPPER.format("x")}) AS mixed FROM x GROUP BY ALL),
+  u AS (SELECT doc_id, lower(y) AS k, count(*) AS n, count(*) FILTER (regexp_matches(y, '^\\p{{Lu}}')) AS c FROM (SELECT doc_id, unnest(w) AS y FROM w) GROUP BY ALL),
+  o AS (SELECT doc_id, k, list_filter(range(1, len(p)), lambda i: NOT regexp_matches(p[i], '[\\p{{L}}\\p{{N}}_]$') AND NOT regexp_matches(p[i + 1], '^[\\p{{L}}\\p{{N}}_]') AND (i = 1 OR p[i] <> '')) AS hit, p, text
+        FROM (SELECT g.doc_id, g.k, string_split(lower(text), g.k) AS p, text FROM g JOIN w ON g.doc_id = w.doc_id WHERE regexp_matches(g.k, '[:/]'))),
+  e AS (SELECT doc_id, k, n, c FROM u UNION ALL SELECT doc_id, k, len(hit), len(list_filter(hit, lambda i: regexp_matches(substr(text, CAST(list_sum(list_transform(list_slice(p, 1, i), lambda y: length(y))) AS BIGINT) + (i - 1) * length(k) + 1, 1), '^\\p{{Lu}}'))) FROM o)
+  SELECT g.doc_id, coalesce(acronym, mixed, upper(left(g.k, 1)) || substr(g.k, 2)) AS term FROM g LEFT JOIN e ON g.doc_id = e.doc_id AND g.k = e.k
+  WHERE len(string_split(g.k, ' ')) <= 4 AND NOT g.k IN ({_TERM_STOP}) AND (contains(g.k, ' ') OR acronym IS NOT NULL OR (n >= 2 AND c >= 0.7 * n))""")
 def cleaned_terms(spark, d):
     return documents(spark, d).select("doc_id", F.explode(t.clean_terms(t.terminology(F.col("text")), F.col("text"))).alias("term"))
 
 
-@query()
+@query(f"""WITH {TOP_WORDS}, s AS (SELECT doc_id, unnest(regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}_]*)([\\p{{L}}\\p{{N}}_]+)', 1)) AS gap, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS form, unnest(range(1, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) + 1)) AS i FROM documents),
+  u AS (SELECT doc_id, domain, keyword, form, i, NOT ((i = 1 AND gap = '') OR regexp_matches(gap, '(\\n\\s*|[.!?:]\\s+)$')) AS inside FROM s JOIN lex ON lower(form) = keyword),
+  d AS (SELECT doc_id, domain, count(*) AS score FROM u GROUP BY ALL), b AS (SELECT doc_id, max(score) AS top FROM d GROUP BY doc_id),
+  f AS (SELECT u.doc_id, keyword, form, count(*) AS n, count(*) FILTER (inside) AS n_in, min(i) AS first, min(i) FILTER (inside) AS first_in, {_UPPER.format("form")} AS up FROM u JOIN d ON u.doc_id = d.doc_id AND u.domain = d.domain JOIN b ON b.doc_id = u.doc_id WHERE score >= 0.25 * top GROUP BY ALL)
+  SELECT doc_id, coalesce(arg_min(form, (form <> lower(form) AND NOT up, -n_in, first_in)) FILTER (n_in > 0), arg_min(form, (-n, first)) FILTER (up), keyword) AS term FROM f GROUP BY doc_id, keyword""")
 def lexicon_terms(spark, d):
     return domain.lexicon_terms(documents(spark, d), made_lexicon(spark, d)).select("doc_id", F.explode("terms").alias("term"))
 
@@ -420,6 +445,68 @@ def repeated_edge_lines(spark, d):
     return layout.repeated(rows, pages, 3, 0.01).select(F.col("doc_id").alias("source"), "sig")
 
 
+SIG = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '[0-9]+', '#', 'g')"
+PAGE_NO = """(length({0}) <= 24 AND (regexp_matches({0}, '(?i)^[\\s\\-–—•·\\[\\(<]*(trang|page|pg|tr|p)\\.?\\s*[0-9]{{1,4}}(\\s*(/|of|trên)\\s*[0-9]{{1,4}})?[\\s\\-–—•·\\]\\)>]*$') OR regexp_matches({0}, '(?i)^\\s*[0-9]{{1,4}}\\s*(/|of|trên)\\s*[0-9]{{1,4}}\\s*$'){1}))"""
+BARE_NO = " OR regexp_matches({0}, '^[\\s\\-–—•·\\[\\(<]*[0-9]{{1,3}}[\\s\\-–—•·\\]\\)>]*$')"
+
+
+def page_no(x: str, strict: bool = False) -> str:
+    return PAGE_NO.format(x, "" if strict else BARE_NO.format(x))
+
+
+@query(f"""WITH b AS (SELECT source AS doc_id, doc_id AS page_no, 0 AS block_pos, 10.0 AS y0, 30.0 AS y1, 'Report of ' || source || ', part ' || doc_id AS text, 0 AS kind FROM documents
+    UNION ALL SELECT source, doc_id, 1, 40.0, CASE WHEN doc_id % 2 = 0 THEN 60.0 ELSE 300.0 END, left(text, 80), 0 FROM documents UNION ALL SELECT source, doc_id, 2, 300.0, 320.0, 'Report of ' || source || ', part 1', 0 FROM documents
+    UNION ALL SELECT source, doc_id, 3, 760.0, 780.0, CASE WHEN doc_id % 3 = 0 THEN 'See also ' || md5(text) ELSE '- ' || (doc_id % 90) || ' -' END, 0 FROM documents UNION ALL SELECT source, doc_id, 4, 100.0, 200.0, 'image', 1 FROM documents),
+  e AS (SELECT *, (y1 <= 72 OR y0 >= 728) AND {TRIM.format("text")} <> '' AS edge, {SIG.format("text")} AS sig, {TRIM.format("text")} AS s FROM b),
+  c AS (SELECT doc_id, sig, count(DISTINCT page_no) AS n FROM e WHERE kind = 0 AND edge AND sig <> '' AND length(sig) <= 120 GROUP BY ALL), p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM b GROUP BY doc_id),
+  gone AS (SELECT c.doc_id, sig FROM c JOIN p ON c.doc_id = p.doc_id WHERE pages >= 3 AND n >= greatest(3, ceil(0.4 * pages)))
+  SELECT e.doc_id, page_no, CAST(block_pos AS INTEGER) AS block_pos, text FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.sig = gone.sig WHERE kind = 0 AND NOT (edge AND (gone.sig IS NOT NULL OR {page_no("s")}))""")
+def pdf_block_filter(spark, d):
+    """Blocks made of documents, a source being a file and a document a page, without headers, footers, page numbers and images."""
+
+    def block(pos, y0, y1, text, kind=0):
+        return F.struct(F.lit(pos).alias("block_pos"), F.lit(y0).alias("y0"), y1.alias("y1"), text.alias("text"), F.lit(kind).alias("block_type"))
+
+    i = F.col("doc_id")
+    title = lambda n: F.concat(F.lit("Report of "), "source", F.lit(", part "), n)
+    foot = F.when(i % 3 == 0, F.concat(F.lit("See also "), F.md5("text"))).otherwise(F.concat(F.lit("- "), (i % 90).cast("string"), F.lit(" -")))
+    made = F.array(
+        block(0, 10.0, F.lit(30.0), title(i.cast("string"))), block(1, 40.0, F.when(i % 2 == 0, 60.0).otherwise(300.0), F.left("text", F.lit(80))),
+        block(2, 300.0, F.lit(320.0), title(F.lit("1"))), block(3, 760.0, F.lit(780.0), foot), block(4, 100.0, F.lit(200.0), F.lit("image"), 1),
+    )
+    rows = documents(spark, d).select(F.col("source").alias("doc_id"), i.alias("page_no"), F.lit(800.0).alias("page_h"), F.inline(made))
+    return layout.filter_furniture(rows).select("doc_id", "page_no", "block_pos", "text")
+
+
+PAGE_TEXT = "'Notes of ' || source || chr(10) || text || chr(10) || 'Page ' || (doc_id % 50)"
+
+
+@query(f"""WITH l AS (SELECT source, doc_id, unnest(string_split({PAGE_TEXT}, chr(10))) AS t, unnest(range(len(string_split({PAGE_TEXT}, chr(10))))) AS i FROM documents),
+  f AS (SELECT *, {TRIM.format("t")} AS s, sum(CAST({TRIM.format("t")} <> '' AS INTEGER)) OVER (PARTITION BY source, doc_id ORDER BY i) AS a, sum(CAST({TRIM.format("t")} <> '' AS INTEGER)) OVER (PARTITION BY source, doc_id ORDER BY i DESC) AS b FROM l),
+  e AS (SELECT *, s <> '' AND (a <= 2 OR b <= 2) AS edge, {SIG.format("t")} AS sig FROM f), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+  c AS (SELECT source, sig, count(DISTINCT doc_id) AS n FROM e WHERE edge AND sig <> '' AND length(sig) <= 120 GROUP BY ALL), gone AS (SELECT c.source, sig FROM c JOIN p ON c.source = p.source WHERE pages >= 3 AND n >= greatest(3, ceil(0.4 * pages)))
+  SELECT e.source AS doc_id, doc_id AS page_no, sha1({TRIM.format("coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (NOT (edge AND (gone.sig IS NOT NULL OR " + page_no("s") + "))), '')")}) AS digest FROM e LEFT JOIN gone ON e.source = gone.source AND e.sig = gone.sig GROUP BY ALL""")
+def page_lines_stripped(spark, d):
+    """Documents as pages of their source, without the lines at their edges that repeat or are page numbers."""
+    text = F.concat(F.lit("Notes of "), "source", F.lit("\n"), "text", F.lit("\nPage "), (F.col("doc_id") % 50).cast("string"))
+    lines = documents(spark, d).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.posexplode(F.split(text, "\n")).alias("line_no", "text"))
+    return layout.strip_page_lines(lines).select("doc_id", "page_no", F.sha1("text").alias("digest"))
+
+
+NUMBERED = "list_concat(string_split(text, '. '), ['12', 'Page ' || (doc_id % 90), 'Total' || chr(10) || 'p. 7' || chr(10) || '42', 'tr. 3/9' || chr(10) || '4 of 5'])"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {NUMBERED} AS a FROM documents), l AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM p),
+  k AS (SELECT *, string_split(regexp_replace(regexp_replace(x, '\\n$', ''), '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS ls FROM l),
+  r AS (SELECT *, {TRIM.format("array_to_string(list_filter(ls, lambda y: NOT coalesce(" + TRIM.format("y") + " <> '' AND " + page_no(TRIM.format("y"), True) + ", false)), chr(10))")} AS rest FROM k)
+  SELECT doc_id, count(*) AS n, sha1(string_agg(CASE WHEN len(ls) <= 1 THEN x ELSE rest END, '|' ORDER BY i)) AS digest FROM r WHERE CASE WHEN len(ls) <= 1 THEN NOT ({TRIM.format("x")} <> '' AND {page_no(TRIM.format("x"))}) ELSE rest <> '' END GROUP BY doc_id""")
+def page_number_paragraphs(spark, d):
+    """Sentences as paragraphs, with some that are or hold page numbers, without those."""
+    more = F.array(F.lit("12"), F.concat(F.lit("Page "), (F.col("doc_id") % 90).cast("string")), F.lit("Total\np. 7\n42"), F.lit("tr. 3/9\n4 of 5"))
+    kept = t.drop_page_numbers(F.concat(F.split("text", r"\. "), more))
+    return documents(spark, d).select("doc_id", F.size(kept).cast("long").alias("n"), F.sha1(F.array_join(kept, "|")).alias("digest"))
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
   b AS (SELECT doc_id, i, regexp_replace(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS t FROM l), f AS (SELECT * FROM b WHERE t <> ''),
   m AS (SELECT doc_id, i, t, coalesce(lag(CAST(regexp_matches(t, '[.:?!][''")]*$') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i), 0) AS s FROM f), g AS (SELECT doc_id, i, t, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS para_pos FROM m)
@@ -438,19 +525,23 @@ def case_pairs(spark, d):
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n_cases"), F.count("reference").alias("n_with_reference"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents),
+  f AS (SELECT source || '-' || (n // 10) AS batch_id, n % 10 AS pos, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS p FROM r),
+  k AS (SELECT batch_id, pos, p, len(p) > 0 AND row_number() OVER (PARTITION BY batch_id, array_to_string(p, chr(10)) ORDER BY pos) = 1 AS kept FROM f)
+  SELECT batch_id, CAST(sum(len(p)) FILTER (kept) + CASE WHEN count(*) FILTER (kept) > 1 THEN count(*) FILTER (kept) ELSE 0 END AS INTEGER) AS n_paragraphs, CASE WHEN count(*) FILTER (kept) > 1 THEN 'Gộp ' || count(*) FILTER (kept) || ' file' ELSE 'txt' END AS source_type,
+    CAST(count(*) FILTER (NOT kept) AS INTEGER) AS n_warnings, CAST(count(*) FILTER (kept) AS INTEGER) AS n_sources, CAST(NULL AS VARCHAR) AS error FROM k GROUP BY batch_id""")
 def merged_sources(spark, d):
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     rows = documents(spark, d).withColumn("n", n)
     files = rows.select(F.concat_ws("-", "source", F.floor(F.col("n") / 10).cast("string")).alias("batch_id"), (F.col("n") % 10).alias("pos"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    out = layout.merge_files(readers.parse_files(files))
+    out = layout.merge_files(readers.parse_files(files, pdf=False))
     return out.select("batch_id", F.size("paragraphs").alias("n_paragraphs"), "source_type", F.size("warnings").alias("n_warnings"), F.size("sources").alias("n_sources"), "error")
 
 
-@query()
+@query("SELECT doc_id || '.docx' AS name, CAST(1 + len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')) AS INTEGER) AS n_paragraphs, CAST(NULL AS VARCHAR) AS error FROM documents")
 def docx_round_trip(spark, d):
     made = sinks.export_docx(documents(spark, d).select("doc_id", F.col("source").alias("title"), F.col("text").alias("summary")))
-    read = readers.parse_files(made.select(F.concat("doc_id", F.lit(".docx")).alias("path"), "content"))
+    read = readers.parse_files(made.select(F.concat("doc_id", F.lit(".docx")).alias("path"), "content"), pdf=False)
     return read.select("name", F.size("paragraphs").alias("n_paragraphs"), "error")
 
 
@@ -528,6 +619,11 @@ def coverage_table(spark, d):
     return c.select("method", "threshold", F.round("coverage", 6).alias("coverage"), F.round("accuracy", 6).alias("accuracy"))
 
 
+@query("SELECT doc_id, ['de', 'en', 'es', 'fr'][CAST('0x' || substr(md5(doc_id || ':7'), 1, 8) AS BIGINT) % 4 + 1] AS pred FROM documents")
+def random_baseline(spark, d):
+    return stats.random_baseline(documents(spark, d).select(F.col("doc_id").alias("id")), ["de", "en", "es", "fr"], 7).select(F.col("id").alias("doc_id"), "pred")
+
+
 @query()
 def bootstrap_ci(spark, d):
     return stats.bootstrap(predictions(spark, d), ["0", "1"])
@@ -547,6 +643,53 @@ def classifier_nb(spark, d):
     return stats.accuracy(ml.cross_validate(_language_rows(spark, d), kind="nb"))
 
 
+LOO = f"""d AS (SELECT doc_id AS grp, lang AS label, list_filter({TOK.format("text")}, lambda x: length(x) >= 2) AS w FROM documents WHERE regexp_matches(text, '\\S')),
+  g AS (SELECT grp, label, unnest(list_concat(w, list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d),
+  tf AS (SELECT grp, label, term, 1 + ln(count(*)) AS w FROM g GROUP BY ALL), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
+  v AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf, count(*) AS df FROM tf, n GROUP BY term),
+  y AS (SELECT grp, label, tf.term, df, w * idf AS y FROM tf JOIN v ON tf.term = v.term), x AS MATERIALIZED (SELECT grp, label, term, df, y / sqrt(sum(y * y) OVER (PARTITION BY grp)) AS x FROM y),
+  s AS (SELECT term, sum(x) AS s FROM x GROUP BY term), sc AS (SELECT term, label, sum(x) AS sc FROM x GROUP BY ALL),
+  k AS (SELECT DISTINCT label AS cls FROM d), tot AS (SELECT sum(x) AS t, count(DISTINCT term) AS v FROM x), tc AS (SELECT label AS cls, sum(x) AS tc FROM x GROUP BY label),
+  h AS (SELECT grp, sum(x) AS h, count(*) FILTER (df = 1) AS lone FROM x GROUP BY grp),
+  e AS (SELECT x.grp, x.label, cls, x.x, s - coalesce(sc, 0) - CASE WHEN cls = x.label THEN 0 ELSE x.x END + 1 AS num FROM x JOIN s ON x.term = s.term CROSS JOIN k LEFT JOIN sc ON sc.term = x.term AND sc.label = cls WHERE df > 1),
+  z AS (SELECT e.grp, e.cls, sum(e.x * (ln(t - tc - CASE WHEN e.cls = e.label THEN 0 ELSE h END + v - lone) - ln(num))) AS z FROM e JOIN h ON e.grp = h.grp JOIN tc ON tc.cls = e.cls, tot GROUP BY ALL),
+  p AS (SELECT d.grp, d.label, cls, row_number() OVER (PARTITION BY d.grp ORDER BY coalesce(z, 0) DESC, cls) AS r FROM d CROSS JOIN k LEFT JOIN z USING (grp, cls))"""
+
+
+@query(f"WITH {LOO} SELECT grp AS doc_id, label, cls AS pred FROM p WHERE r = 1")
+def nb_leave_one_out(spark, d):
+    """The language of every document by complement naive Bayes of all others."""
+    rows = documents(spark, d).where(r"text rlike '\\S'").select(F.col("doc_id").alias("grp"), F.col("lang").alias("label"), "text")
+    return ml.leave_one_out(rows).select(F.col("grp").alias("doc_id"), "label", "pred")
+
+
+STUB = "['de', 'en', 'es', 'fr'][CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) % 4 + 1]"
+
+
+@query(f"""WITH c AS (SELECT doc_id AS grp, lang AS label, size, seed, unnest(range(greatest(1, CAST(ceil(length(text) / CAST(size AS DOUBLE)) AS BIGINT)))) AS chunk_no FROM documents, (VALUES (400), (900)) s(size), (VALUES (0), (1), (2)) e(seed)),
+  p AS (SELECT *, {STUB.format("grp || ':' || chunk_no || ':' || size || ':' || seed")} AS pred FROM c), n AS (SELECT size, seed, grp, label, pred, count(*) AS n FROM p GROUP BY ALL),
+  b AS (SELECT size, seed, grp, label, pred, row_number() OVER (PARTITION BY size, seed, grp ORDER BY n DESC, pred) AS r FROM n), a AS (SELECT size, seed, avg(CAST(label = pred AS INTEGER)) AS acc FROM b WHERE r = 1 GROUP BY ALL)
+  SELECT size, count(*) AS runs, round(avg(acc), 6) AS mean, round(stddev_samp(acc), 6) AS sd, round(min(acc), 6) AS low, round(max(acc), 6) AS high FROM a GROUP BY size""")
+def chunk_size_spread(spark, d):
+    """Document accuracy by chunk size over three seeds, of a stand-in that draws each chunk's class by hash."""
+    seeds = [0, 1, 2]
+
+    def drawn(rows, fits):
+        fold = F.array(*(F.expr(f.test).cast("int") for f in fits))
+        held = rows.withColumn("fit", F.explode(F.filter(F.transform(fold, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())))
+        seed = F.array(*(F.lit(int(f.test.split("_f")[1].split(" ")[0])) for f in fits))[F.col("fit")]
+        key = F.concat_ws(":", "grp", "chunk_no", "size", seed.cast("string"))
+        return stats.random_baseline(held.withColumn("key", key), ["de", "en", "es", "fr"], None, "key")
+
+    def pieces(text, size):
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1)) - 1)
+        return F.transform(starts, lambda i: F.substring(text, i * size + 1, F.lit(size)))
+
+    docs = documents(spark, d).select(F.col("doc_id").alias("grp"), F.col("lang").alias("label"), "text")
+    got = ml.spread(ml.sweep(docs, [400, 900], seeds, pieces, 3, model=drawn), ["size"])
+    return got.select("size", "runs", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "low", "high")))
+
+
 # --- quiz, library, models, whole runs -----------------------------------------------------------------------------
 
 
@@ -581,6 +724,15 @@ def quiz_history(spark, d):
     return quiz.attempt_stats(kept).withColumns({c: F.round(c, 6) for c in ("best", "last")})
 
 
+@query("""WITH l AS (SELECT source AS lesson_id, doc_id AS time, doc_id % 2 AS seq, CASE WHEN doc_id % 37 = 0 AND source <> 'src3' THEN 'save' ELSE 'attempt' END AS op, n_chars AS score FROM documents),
+  s AS (SELECT lesson_id, max(time) AS saved FROM l WHERE op = 'save' GROUP BY lesson_id), r AS (SELECT l.*, row_number() OVER (PARTITION BY l.lesson_id ORDER BY time DESC) AS r FROM l JOIN s ON l.lesson_id = s.lesson_id WHERE op = 'attempt' AND time > saved)
+  SELECT lesson_id, time, score FROM r WHERE r <= 20""")
+def quiz_since_save(spark, d):
+    op = F.when((F.col("doc_id") % 37 == 0) & (F.col("source") != "src3"), "save").otherwise("attempt")
+    log = documents(spark, d).select(F.col("source").alias("lesson_id"), F.col("doc_id").alias("time"), (F.col("doc_id") % 2).alias("seq"), op.alias("op"), F.col("n_chars").alias("score"))
+    return quiz.since_save(log).select("lesson_id", "time", "score")
+
+
 def _lesson_log(spark, d):
     null = {c: F.lit(None).cast(x).alias(c) for c, x in store.FIELDS.items()}
 
@@ -603,6 +755,20 @@ def lesson_list(spark, d):
     return store.listed(store.latest(log)).select("id", "title", "has_audio", "audio_bytes")
 
 
+HEIR = "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'r' ELSE 't' END || doc_id AS title, CAST(CASE WHEN doc_id % 4 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END + CASE WHEN source = 'src1' AND doc_id % 2 = 0 THEN 7 ELSE 0 END AS BIGINT) AS version, '{HEIR}' AS owner_id
+  FROM documents WHERE doc_id % 10 <> 0 AND ((source = 'src1' AND doc_id % 2 = 0) OR source = 'src2')""")
+def lessons_adopted(spark, d):
+    """An owner's lessons: its own (those of one source), and of the orphans (those of another) every other one."""
+    owner = F.when(F.col("owner_id") == "src1", store.ORPHAN).when(F.col("owner_id") == "src2", HEIR).otherwise(F.col("owner_id"))
+    log = _lesson_log(spark, d).withColumn("owner_id", owner).withColumn("heir", F.lit(None).cast("string"))
+    orphans = log.where(F.col("owner_id") == store.ORPHAN).groupBy("id").agg(F.max("version").alias("version"), F.max_by("op", "version").alias("last")).where("last <> 'delete' and cast(id as long) % 2 = 0")
+    claims = orphans.select("id", (F.col("version") + 7).alias("version"), F.lit("adopt").alias("op"), *(F.lit(None).cast(x).alias(c) for c, x in store.FIELDS.items()), F.lit(store.ORPHAN).alias("owner_id"), F.lit(HEIR).alias("heir"))
+    return store.latest(store.owned(log.unionByName(claims), HEIR)).select("id", "title", "version", "owner_id")
+
+
 class _Echo:
     """An offline model: the prompt's last 400 signs, or its whole text where it is to be copied."""
 
