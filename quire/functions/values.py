@@ -104,3 +104,7 @@ LEAST_CHARS, REDUCE_CHARS, MERGE_GROUP, MAP_CALLS, SPEECH_CALLS = 50, 20_000, 5,
 
 # What a lesson without a title is called.
 LESSON = "Bài học"
+
+# Collected articles. A shorter one is left out; the line below a title, and where an article's page is.
+LEAST_WORDS = 300
+SOURCE_LINE, ARTICLE_BASE = " — Wikipedia tiếng Việt (CC BY-SA 4.0)\n\n", "https://vi.wikipedia.org/wiki/"
