@@ -31,11 +31,21 @@ from quire.llm.vectors import matrices
 MOST_CELLS = 4096
 
 
+#: Products of rows and centres that are held at a time.
+_HELD = 1 << 21
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest of the centres ``c`` for each row, in slices."""
+    step, half = max(1, _HELD // max(len(c), 1)), (c**2).sum(1) / 2
+    return np.concatenate([np.zeros(0, np.int64), *((x[at : at + step] @ c.T - half).argmax(1) for at in range(0, len(x), step))])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[: min(k, len(x))]].copy()
     for _ in range(rounds):
-        near = (x @ c.T - (c**2).sum(1) / 2).argmax(1)
+        near = _nearest(x, c)
         n = np.bincount(near, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -52,7 +62,7 @@ class Codebook:
     @classmethod
     def fit(cls, x: np.ndarray, cells: int, subspaces: int, codes: int) -> Codebook:
         coarse = kmeans(x, cells)
-        residual = x - coarse[(x @ coarse.T - (coarse**2).sum(1) / 2).argmax(1)]
+        residual = x - coarse[_nearest(x, coarse)]
         parts = np.array_split(np.arange(x.shape[1]), min(subspaces, x.shape[1]))
         return cls(coarse, parts, [kmeans(residual[:, p], codes) for p in parts])
 
@@ -82,8 +92,9 @@ class Codebook:
         """(own cell, rows x cells of those whose border is at most half the radius away, the own among them)."""
         d = self.distances(x)
         own = d.argmin(1)
-        apart = np.sqrt(np.maximum(0, ((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)))
-        return own, d - d[np.arange(len(x)), own][:, None] <= (radius + 1e-6) * apart[own] + 1e-9
+        used, at = np.unique(own, return_inverse=True)
+        apart = np.sqrt(self.distances(self.coarse[used]))  # of the centres that these rows have only
+        return own, d - d[np.arange(len(x)), own][:, None] <= (radius + 1e-6) * apart[at] + 1e-8
 
 
 def _units(raw: list[bytes], kind: str) -> np.ndarray:

@@ -136,3 +136,27 @@ def test_large_components_are_exact(spark):
     v = spark.createDataFrame(rows, "id long, v array<double>")
     got = topk.threshold_top_k(v, v.where("id = 50")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [3, 2, 1, 4] and got[0].score == 2**63 - 1 and got[3].score == -(2**63)
+
+
+def test_probes_and_fitting_are_bounded():
+    """2,048 cells: a batch's probes and the fitting of the centres stay under 200 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((2048, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = centres[rng.integers(0, 2048, 512)] + 0.05 * rng.standard_normal((512, 64))
+    book = pqdedup.Codebook(centres, [np.arange(64)], [np.zeros((1, 64))])
+    tracemalloc.start()
+    own, near = book.probes(rows, 0.2)
+    probes = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    pqdedup.kmeans(rng.standard_normal((20_000, 64)), 2048, rounds=1)
+    fitting = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(probes, fitting) < 200 << 20
+    d = ((rows[:, None] - centres[None]) ** 2).sum(2)
+    assert (own == d.argmin(1)).all()
+    apart = np.sqrt(((centres[own][:, None] - centres[None]) ** 2).sum(2))
+    must = d - d.min(1)[:, None] <= 0.2 * apart
+    assert not (must & ~near).any() and near.sum() < must.sum() + len(rows)
