@@ -198,7 +198,15 @@ def paragraph_blocks(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(arrow.paragraph_chunks(F.split("text", "\n"), 3000)).alias("chunk_no", "chunk"))
 
 
-@query()
+N_WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda y: y <> ''))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS p FROM documents),
+  r AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: [{{'t': x, 'n': {N_WORDS.format("x")}}}]), lambda a, x: CASE WHEN a[-1].n + x[1].n > 150 THEN list_concat(a, x)
+          ELSE list_concat(list_slice(a, 1, len(a) - 1), [{{'t': a[-1].t || ' ' || x[1].t, 'n': a[-1].n + x[1].n}}]) END) AS r FROM p WHERE len(p) > 0),
+  m AS (SELECT doc_id, CASE WHEN len(r) > 1 AND r[-1].n < 40 THEN list_concat(list_slice(r, 1, len(r) - 2), [{{'t': r[-2].t || ' ' || r[-1].t, 'n': r[-2].n + r[-1].n}}]) ELSE r END AS m FROM r),
+  k AS (SELECT doc_id, list_filter(m, lambda x: x.n >= 20) AS k FROM m)
+  SELECT doc_id, unnest(range(len(k)))::INTEGER AS chunk_no, unnest(list_transform(k, lambda x: x.t)) AS chunk FROM k""")
 def classifier_chunks(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(arrow.word_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 150)).alias("chunk_no", "chunk"))
 
@@ -322,7 +330,12 @@ def formula_lines(spark, d):
     return documents(spark, d).select("doc_id", F.size(F.filter(lines, t.looks_like_formula)).alias("n_formula"), F.size(F.filter(lines, t.looks_like_code)).alias("n_code"))
 
 
-@query()
+# Signs are doubled, so that two numbers may share the one between them.
+TWICE = "regexp_replace(text || ' 16 GB, 3,5 kg and 20°C', '([^\\p{L}\\p{N}_.])', '\\1\\1', 'g')"
+UNIT = "'(?:^|[^\\p{L}\\p{N}_.])(\\p{Nd}+(?:(?:\\.|,,)\\p{Nd}+)?)(?:\\s\\s)?(" + "|".join(v.UNITS).replace("°C", "°°C") + ")(?:[^A-Za-z]|$)'"
+
+
+@query(f"SELECT doc_id, unnest(list_distinct(list_transform(list_zip(regexp_extract_all({TWICE}, {UNIT}, 1), regexp_extract_all({TWICE}, {UNIT}, 2)), lambda p: replace(p[1], ',,', ',') || ' ' || replace(p[2], '°°C', '°C')))) AS unit FROM documents")
 def units(spark, d):
     return documents(spark, d).select("doc_id", F.explode(t.units(F.concat("text", F.lit(" 16 GB, 3,5 kg and 20°C")))).alias("unit"))
 

@@ -27,7 +27,7 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in got.select(*sorted(names)).collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"classifier_logreg", "classifier_nb"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, D)
     assert df.columns and df.count() > 0
