@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.functions import values as v
+from quire.session import checkpoint
 
 
 def repeated(edges: DataFrame, pages: DataFrame, least: int = 3, share: float = 0.4, longest: int = 120) -> DataFrame:
@@ -45,14 +46,21 @@ def edge_lines(lines: DataFrame, n: int = 2) -> DataFrame:
 
 
 def strip_page_lines(lines: DataFrame, n: int = 2, least: int = 3, share: float = 0.4) -> DataFrame:
-    """(doc_id, page_no, text): pages without page numbers and repeated lines at their edges."""
-    rows = edge_lines(lines, n)
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page_no").alias("n_pages"))
-    gone = repeated(rows.where("edge").select("doc_id", "page_no", "sig"), pages, least, share).withColumn("edge", F.lit(True)).withColumn("gone", F.lit(True))
-    rows = rows.join(gone, ["doc_id", "sig", "edge"], "left")
-    keep = ~(F.col("edge") & (t.is_page_number(F.col("text")) | F.coalesce("gone", F.lit(False))))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("line_no", "text")))), lambda r: r["text"]), "\n")
-    return rows.groupBy("doc_id", "page_no").agg(t.strip(joined).alias("text"))
+    """(doc_id, page_no, text): pages without page numbers and repeated lines at their edges.
+
+    Lines come together as pages in one shuffle; only lines at edges are compared across pages. A line that counts as repeated
+    is on a share of the pages, so a document has a few of them at most.
+    """
+    pages = lines.groupBy("doc_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]).alias("lines"))
+    full = F.filter(F.transform("lines", lambda x, i: F.when(t.strip(t.filled(x)) != "", i)), lambda i: i.isNotNull())
+    pages = pages.withColumn("full", full).withColumn("edge", F.array_distinct(F.concat(F.slice("full", 1, n), F.slice("full", F.greatest(F.size("full") - (n - 1), F.lit(1)), F.lit(n))))).drop("full")
+    sigs = pages.select("doc_id", "page_no", F.explode(F.transform("edge", lambda i: t.signature(F.get("lines", i)))).alias("sig"))
+    counted = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    gone = checkpoint(repeated(sigs, counted, least, share).groupBy("doc_id").agg(F.collect_set("sig").alias("gone")))
+    gone = F.broadcast(gone) if gone.count() <= 100_000 else gone
+    rows = pages.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
+    out = lambda x, i: F.array_contains("edge", i) & (t.is_page_number(x) | F.array_contains("gone", t.signature(x)))
+    return rows.select("doc_id", "page_no", t.strip(F.array_join(F.filter("lines", lambda x, i: ~out(x, i)), "\n")).alias("text"))
 
 
 def ends_paragraph(text: Column) -> Column:
