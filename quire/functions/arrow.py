@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -15,10 +15,20 @@ from quire.functions import kernels as k
 from quire.functions import occurrences as o
 
 
+#: Rows that a kernel has as Python values at a time.
+ROWS = 128
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that a worker's memory doesn't grow with what Spark sends at a time."""
+    return (b.slice(at, rows) for b in batches for at in range(0, max(1, b.num_rows), rows))
+
+
 def rowwise(kernel: Callable[..., Any], returns: str) -> Callable[..., Column]:
     """A kernel of one row's values as a function of columns; values pass in Arrow batches.
 
-    The function is declared non-deterministic, so that the optimizer neither copies nor moves its work.
+    The function is declared non-deterministic, so that the optimizer neither copies nor moves its work. A batch's values are
+    Python's a few rows at a time.
     """
     typed = {1: _one, 2: _two, 3: _three}  # the number of arguments tells Spark the function's type
 
@@ -26,7 +36,8 @@ def rowwise(kernel: Callable[..., Any], returns: str) -> Callable[..., Column]:
         kind = to_arrow_type(_parse_datatype_string(returns))
 
         def batch(*values: pa.Array) -> pa.Array:
-            return pa.array([kernel(*row) for row in zip(*(x.to_pylist() for x in values), strict=True)], kind)
+            parts = (zip(*(x.slice(at, ROWS).to_pylist() for x in values), strict=True) for at in range(0, max(1, len(values[0])), ROWS))
+            return pa.concat_arrays([pa.array([kernel(*row) for row in rows], kind) for rows in parts])
 
         return F.arrow_udf(typed[len(columns)](batch), returns).asNondeterministic()(*columns)
 
@@ -134,6 +145,17 @@ def keyword_counts(text: Column, keywords: o.Keywords) -> Column:
     return rowwise(kernel, "array<struct<i:int,n:bigint>>")(text)
 
 
+def domain_scores(text: Column, keywords: o.Keywords, domains: list[tuple[int, str, list[int]]]) -> Column:
+    """The domains (place, name, keywords) with a score, by place."""
+
+    def kernel(t: str | None) -> list[dict]:
+        n = o.Occurrences(t).counts(keywords)
+        scores = ((d, name, sum(n.get(i, 0) for i in of)) for d, name, of in domains)
+        return [{"domain_ord": d, "domain": name, "score": s} for d, name, s in scores if s]
+
+    return rowwise(kernel, "array<struct<domain_ord:int,domain:string,score:bigint>>")(text)
+
+
 def lexicon_terms(text: Column, keywords: o.Keywords, domains: list[list[int]], share: float) -> Column:
     return rowwise(lambda t: o.lexicon_terms(t, keywords, domains, share), "array<string>")(text)
 
@@ -143,5 +165,16 @@ def clean_terms(terms: Column, text: Column, least: int, most_words: int, stop:
     return rowwise(lambda a, t: o.clean_terms(a, t, least, most_words, words), "array<string>")(terms, text)
 
 
+def all_terms(terms: Column, text: Column, keywords: o.Keywords, domains: list[list[int]], share: float, least: int, most_words: int, stop: tuple[str, ...]) -> Column:
+    """``clean_terms`` and ``lexicon_terms`` in one list, of one index of the text's words."""
+    words = frozenset(x.lower() for x in stop)
+
+    def kernel(a: list[str | None] | None, t: str | None) -> list[str]:
+        seen = o.Occurrences(t)
+        return o.merge_terms(o.clean_terms(a, t, least, most_words, words, seen), o.lexicon_terms(t, keywords, domains, share, seen))
+
+    return rowwise(kernel, "array<string>")(terms, text)
+
+
 def top_concepts(text: Column, terms: Column, n: int) -> Column:
     return rowwise(lambda t, a: o.top_concepts(t, a, n), "array<string>")(text, terms)

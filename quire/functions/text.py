@@ -104,8 +104,7 @@ def words(text: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    stop = F.array(*map(_s, v.STOPWORDS))
-    return F.filter(tokens(text), lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    return F.filter(tokens(text), lambda x: (F.length(x) > 1) & ~x.isin(*v.STOPWORDS))
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -125,13 +124,15 @@ def quiz_sentences(text: Column, least: int = 7, most: int = 45) -> Column:
 
 
 def first_by(array: Column, key) -> Column:
-    """Elements whose key no earlier element has."""
-    pairs = F.aggregate(
-        F.transform(array, lambda x: F.struct(key(x).alias("k"), x.alias("x"))),
-        F.array().cast("array<struct<k:string,x:string>>"),
-        lambda acc, p: F.when(F.exists(acc, lambda q: q["k"] == p["k"]), acc).otherwise(F.concat(acc, F.array(p))),
-    )
-    return F.transform(pairs, lambda p: p["x"])
+    """Elements whose key no earlier element has; a null key is no other's.
+
+    Elements are sorted by key and place, and those behind an equal key go: comparing each with all before it would be
+    quadratic, and a text may have thousands.
+    """
+    pairs = F.sort_array(F.transform(array, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    again = lambda a, p, i: F.coalesce(F.get(a, i - 1)["k"] == p["k"], F.lit(False))
+    first = let(pairs, lambda a: F.filter(a, lambda p, i: ~again(a, p, i)))
+    return F.transform(F.sort_array(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))), lambda p: p["x"])
 
 
 def lead(text: Column, n: int = 3) -> Column:

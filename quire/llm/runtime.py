@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from quire.session import ship
 
 
-_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,20 +56,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: What the JVM sends to a worker at a time. A batch ends with the row that passes it, so long texts come few at a time.
-BATCH_BYTES = 8 << 20
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow in batches of at most ``rows`` rows and about BATCH_BYTES bytes.
 
     The bound in bytes is the session's, as Spark reads it when the plan runs: one fixed value, unless the session names
-    its own. The rows are cut here, for each operator by itself.
+    its own (``ship``). The rows are cut here, for each operator by itself.
     """
-    spark = df.sparkSession
-    ship(spark)
-    if spark.conf.get(_BYTES, None) is None:
-        spark.conf.set(_BYTES, BATCH_BYTES)
+    ship(df.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(b.slice(at, rows) for b in batches for at in range(0, max(1, b.num_rows), rows))

@@ -83,15 +83,38 @@ def terms_in(text: Column, lex: DataFrame, share: float = 0.25) -> Column:
     return arrow.lexicon_terms(text, keywords, [of for _, _, of in domains], share)
 
 
+def all_terms(terms: Column, text: Column, lex: DataFrame, share: float = 0.25, least: int = 2, most_words: int = 4, stop: tuple[str, ...] = v.TERM_STOP) -> Column:
+    """A text's ``terms``, cleaned, and the lexicon's in it, as ``text.clean_terms``, ``terms_in`` and ``text.merge_terms`` have them."""
+    keywords, domains = _entries(lex)
+    return arrow.all_terms(terms, text, keywords, [of for _, _, of in domains], share, least, most_words, stop)
+
+
 def lexicon_terms(docs: DataFrame, lex: DataFrame, share: float = 0.25) -> DataFrame:
     """(doc_id, terms): the keywords present, of domains that score at least ``share`` of the best, as the text writes them."""
     return docs.select("doc_id", terms_in(F.col("text"), lex, share).alias("terms"))
 
 
+def scores_in(text: Column, lex: DataFrame) -> Column:
+    """A column of the domains with a score in ``text``: (domain_ord, domain, score)."""
+    return arrow.domain_scores(text, *_entries(lex))
+
+
+def best_of(scores: Column, text: Column) -> tuple[Column, Column]:
+    """(domain, confidence) of a row's own scores, as ``detect_domain`` has them."""
+    best = F.array_max(F.transform(scores, lambda s: F.struct(s["score"].alias("score"), (-s["domain_ord"]).alias("o"), s["domain"].alias("domain"))))
+    total = F.aggregate(scores, F.lit(0).cast("long"), lambda a, s: a + s["score"])
+    name = F.when(t.strip(t.filled(text)) == "", v.UNKNOWN).otherwise(F.coalesce(best["domain"], F.lit(v.GENERAL)))
+    return name, F.when(best.isNull(), 0.0).otherwise(F.round(best["score"] / total * 100, 2))
+
+
 def profile(docs: DataFrame, lex: DataFrame) -> DataFrame:
-    """The domain profile of documents that have columns terms, abbreviations, formulas and units."""
-    best, more = detect_domain(docs, lex), alternatives(score_domains(docs, lex)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "domain"))), lambda r: r["domain"]).alias("alternatives"))
+    """The domain profile of documents that have columns terms, abbreviations, formulas and units. A row's domains are its own
+    text's; only the parents are joined."""
+    x = F.col("text")
+    out = docs.withColumns({"_scores": scores_in(x, lex), "_concepts": t.top_concepts(x, F.col("terms"))})
+    name, confidence = best_of(F.col("_scores"), x)
+    ranked = F.sort_array(F.transform("_scores", lambda s: F.struct(s["score"].alias("score"), s["domain"].alias("domain"))), asc=False)
+    out = out.withColumns({"subdomain": name, "confidence": confidence, "alternatives": F.transform(F.slice(ranked, 2, 2), lambda s: s["domain"])})
     parents = _small(lex.groupBy(F.col("domain").alias("subdomain")).agg(F.first("parent").alias("parent"))) if "parent" in lex.columns else None
-    out = docs.join(best.withColumnRenamed("domain", "subdomain"), "doc_id").join(more, "doc_id", "left")
     out = out.join(parents, "subdomain", "left") if parents is not None else out.withColumn("parent", F.lit(None).cast("string"))
-    return out.select("doc_id", F.coalesce("parent", "subdomain").alias("domain"), "subdomain", "confidence", F.coalesce("alternatives", F.array().cast("array<string>")).alias("alternatives"), t.language(F.col("text")).alias("language"), F.col("terms").alias("technical_terms"), "abbreviations", t.top_concepts(F.col("text"), F.col("terms")).alias("important_concepts"), "formulas", "units")
+    return out.select("doc_id", F.coalesce("parent", "subdomain").alias("domain"), "subdomain", "confidence", "alternatives", t.language(x).alias("language"), F.col("terms").alias("technical_terms"), "abbreviations", F.col("_concepts").alias("important_concepts"), "formulas", "units")
