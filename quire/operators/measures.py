@@ -45,19 +45,22 @@ def compression(summary: Column, source: Column) -> Column:
     return _rate(F.size(t.tokens(summary)), F.nullif(F.size(t.tokens(source)), F.lit(0)))
 
 
-def evaluate(pairs: DataFrame) -> DataFrame:
-    """One row a (doc_id, method) of ``pairs``: summary, source, terms, formulas."""
+def evaluate(pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a (doc_id, method) of ``pairs``: summary, source, terms, formulas; ``keep`` names columns that stay."""
     s, src = F.col("summary"), F.col("source")
-    return pairs.select("doc_id", "method", term_preservation(s, F.col("terms"))["rate"].alias("tpr"), number_preservation(s, src)["rate"].alias("npr"), unit_preservation(s, src)["rate"].alias("upr"), formula_preservation(s, F.col("formulas"))["rate"].alias("fpr"), compression(s, src).alias("compression"), t.average_sentence_length(s).alias("avg_sentence_words"))
+    return pairs.select("doc_id", "method", term_preservation(s, F.col("terms"))["rate"].alias("tpr"), number_preservation(s, src)["rate"].alias("npr"), unit_preservation(s, src)["rate"].alias("upr"), formula_preservation(s, F.col("formulas"))["rate"].alias("fpr"), compression(s, src).alias("compression"), t.average_sentence_length(s).alias("avg_sentence_words"), *keep)
 
 
-def validate(pairs: DataFrame, threshold: float = 0.12) -> DataFrame:
-    """A validation report for each row of ``pairs``: doc_id, summary, source, abbreviations (of the source)."""
+def validate(pairs: DataFrame, threshold: float = 0.12, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A validation report for each row of ``pairs``: doc_id, summary, source, abbreviations (of the source); ``keep`` names
+    columns that stay."""
     s, src = F.col("summary"), F.col("source")
     sents, source_sents = t.sentences(s), t.sentences(src)
     none = F.array().cast("array<string>")
+    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = pairs.select(
         "doc_id",
+        *kept,
         F.coalesce(number_preservation(s, src)["unsupported"], none).alias("unsupported_numbers"),
         F.coalesce(unit_preservation(s, src)["unsupported"], none).alias("unsupported_units"),
         arrow.conflicts(arrow.abbreviations(s), F.col("abbreviations")).alias("abbreviation_conflicts"),
@@ -76,19 +79,23 @@ def validate(pairs: DataFrame, threshold: float = 0.12) -> DataFrame:
         F.transform("abbreviation_conflicts", lambda c: F.concat(F.lit("Từ viết tắt "), c["abbr"], F.lit(" bị định nghĩa khác gốc: '"), c["summary"], F.lit("' (gốc: '"), c["source"], F.lit("')"))),
         F.when(some("ungrounded_sentences"), F.array(F.concat(F.size("ungrounded_sentences").cast("string"), F.lit(" câu ít bám vào nội dung gốc (có thể là diễn đạt lại, cần đối chiếu)")))).otherwise(none),
     )
-    return rows.select("doc_id", "unsupported_numbers", "unsupported_units", "abbreviation_conflicts", "ungrounded_sentences", F.size("_s").alias("n_sentences"), F.round(mean, 3).alias("grounding_mean"), F.lit(threshold).alias("threshold"), (F.size(issues) > 0).alias("needs_review"), issues.alias("issues"))
+    return rows.select("doc_id", "unsupported_numbers", "unsupported_units", "abbreviation_conflicts", "ungrounded_sentences", F.size("_s").alias("n_sentences"), F.round(mean, 3).alias("grounding_mean"), F.lit(threshold).alias("threshold"), (F.size(issues) > 0).alias("needs_review"), issues.alias("issues"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
 
 def score_methods(pairs: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """``evaluate``, grounding and, where a reference (doc_id, reference) is there, ROUGE; 4 decimals."""
-    out = evaluate(pairs)
-    rep = validate(pairs.select(F.concat_ws("\0", F.col("doc_id").cast("string"), "method").alias("doc_id"), "summary", "source", F.array().cast("array<struct<abbr:string,long:string>>").alias("abbreviations")))
-    rep = rep.select(F.substring_index("doc_id", "\0", 1).alias("_d"), F.substring_index("doc_id", "\0", -1).alias("method"), "grounding_mean", F.size("ungrounded_sentences").alias("n_ungrounded"), "needs_review")
-    out = out.withColumn("_d", F.col("doc_id").cast("string")).join(rep, ["_d", "method"]).drop("_d")
+    """``evaluate``, grounding and, where a reference (doc_id, reference) is there, ROUGE; 4 decimals.
+
+    All is worked out in the pair's own row; only the short summaries meet the references.
+    """
+    rows = evaluate(pairs, ("summary", "source")).withColumn("abbreviations", F.array().cast("array<struct<abbr:string,long:string>>"))
+    mine = [c for c in rows.columns if c not in ("doc_id", "source", "abbreviations")]
+    out = validate(rows, keep=tuple(mine)).select("doc_id", *mine, "grounding_mean", F.size("ungrounded_sentences").alias("n_ungrounded"), "needs_review")
     if references is not None:
-        both = pairs.select("doc_id", "method", "summary").join(references, "doc_id")
         s, r = F.col("summary"), F.col("reference")
-        out = out.join(both.select("doc_id", "method", arrow.rouge_n(s, r, 1)["f1"].alias("rouge1"), arrow.rouge_n(s, r, 2)["f1"].alias("rouge2"), arrow.rouge_l(s, r)["f1"].alias("rougeL")), ["doc_id", "method"], "left")
+        rouge = {"rouge1": arrow.rouge_n(s, r, 1), "rouge2": arrow.rouge_n(s, r, 2), "rougeL": arrow.rouge_l(s, r)}
+        out = out.join(references.select("doc_id", "reference", F.lit(True).alias("_there")), "doc_id", "left").withColumns(rouge)
+        out = out.withColumns({c: F.when(F.col("_there"), F.col(c)["f1"]) for c in rouge}).drop("reference", "_there")
+    out = out.drop("summary")
     return out.select(*(F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
 
 

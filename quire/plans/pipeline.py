@@ -25,9 +25,10 @@ def normalized(files: DataFrame, drop_page_numbers: bool = False) -> DataFrame:
 def analyze(docs: DataFrame, lex: DataFrame) -> DataFrame:
     """``docs(doc_id, text, paragraphs)`` with terms, raw_terms, abbreviations, formulas, units and undefined abbreviations."""
     x = F.col("text")
-    rows = docs.withColumn("raw_terms", t.terminology(x)).withColumn("_c", t.clean_terms(F.col("raw_terms"), x))
-    rows = rows.withColumn("terms", t.merge_terms(F.col("_c"), domain.terms_in(x, lex))).drop("_c")
-    rows = rows.withColumn("abbreviations", arrow.abbreviations(x)).withColumn("formulas", arrow.formulas(F.col("paragraphs"))).withColumn("units", t.units(x))
+    rows = docs.withColumn("raw_terms", t.terminology(x))
+    # One step, so that one worker a task has all kernels.
+    rows = rows.withColumns({"terms": domain.all_terms(F.col("raw_terms"), x, lex), "abbreviations": arrow.abbreviations(x), "formulas": arrow.formulas(F.col("paragraphs"))})
+    rows = rows.withColumn("units", t.units(x))
     return rows.withColumn("undefined_abbreviations", t.undefined_abbreviations(x, F.transform("abbreviations", lambda p: p["abbr"])))
 
 
@@ -36,7 +37,9 @@ def summarize(files: DataFrame, lex: DataFrame, make_call: Callable[[], models.C
     docs = normalized(files).withColumn("text", F.array_join("paragraphs", " "))
     n = QUICK if detail == "quick" else DETAIL
     rows = analyze(docs, lex)
-    rows = rows.withColumn("baseline", arrow.summary(F.col("text"), n)).withColumn("baseline_terms", arrow.summary(F.col("text"), n, F.col("terms")))
+    rows = rows.withColumns({"baseline": arrow.summary(F.col("text"), n), "baseline_terms": arrow.summary(F.col("text"), n, F.col("terms")), "_scores": domain.scores_in(F.col("text"), lex)})
+    name, confidence = domain.best_of(F.col("_scores"), F.col("text"))
+    rows = rows.withColumns({"domain": name, "confidence": confidence}).drop("_scores")
     rows = rows.withColumn("guide", t.glossary_guide(F.col("terms"), F.col("abbreviations"), F.col("formulas")))
     if make_call is None:
         rows = rows.withColumn("summary", F.col("baseline_terms")).withColumn("plan", F.lit(None).cast("string"))
@@ -51,11 +54,12 @@ def summarize(files: DataFrame, lex: DataFrame, make_call: Callable[[], models.C
 
         made = models.on_documents(asked, make_call, work).select("doc_id", F.col("result").alias("summary"), F.col("report").alias("plan"))
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("string")).join(made, "doc_id")
-    good = rows.where(~F.coalesce("summary", F.lit("")).startswith(v.ERROR_PREFIX))
-    report = measures.validate(good.select("doc_id", "summary", F.col("text").alias("source"), "abbreviations"))
-    report = report.select("doc_id", F.struct(*[c for c in report.columns if c != "doc_id"]).alias("validation"))
-    best = domain.detect_domain(docs, lex).withColumn("doc_id", F.col("doc_id").cast(dict(rows.dtypes)["doc_id"]))
-    return rows.join(best, "doc_id").join(report, "doc_id", "left").drop("guide", "paragraphs")
+    rows = rows.drop("guide", "paragraphs")
+    mine = tuple(c for c in rows.columns if c != "doc_id")
+    report = measures.validate(rows.withColumn("source", F.col("text")), keep=mine)
+    found = [F.col(c) for c in report.columns[: -len(mine)] if c != "doc_id"]
+    good = ~F.coalesce("summary", F.lit("")).startswith(v.ERROR_PREFIX)
+    return report.select("doc_id", *mine, F.when(good, F.struct(*found)).alias("validation"))
 
 
 def read_aloud(files: DataFrame, lex: DataFrame, make_call: Callable[[], models.Caller] | None = None, size: int = 6000, prompts: models.Prompts = models.Prompts()) -> DataFrame:
@@ -80,7 +84,8 @@ def benchmark(cases: DataFrame, lex: DataFrame, n: int = 3, extra: DataFrame | N
     """
     docs = normalized(cases.select(F.col("stem").alias("doc_id"), "paragraphs")).withColumn("text", F.array_join("paragraphs", " "))
     rows = analyze(docs, lex)
-    methods = rows.select("doc_id", F.col("text").alias("source"), "terms", "formulas", F.explode(F.create_map(F.lit("TextRank"), arrow.summary(F.col("text"), n), F.lit("TextRank + terms"), arrow.summary(F.col("text"), n, F.col("terms")))).alias("method", "summary"))
+    made = rows.withColumns({"_plain": arrow.summary(F.col("text"), n), "_terms": arrow.summary(F.col("text"), n, F.col("terms"))})
+    methods = made.select("doc_id", F.col("text").alias("source"), "terms", "formulas", F.explode(F.create_map(F.lit("TextRank"), "_plain", F.lit("TextRank + terms"), "_terms")).alias("method", "summary"))
     if extra is not None:
         given = extra.select("doc_id", "method", F.array_join(F.slice(t.sentences(F.col("summary")), 1, n), " ").alias("summary"))
         methods = methods.unionByName(rows.select("doc_id", F.col("text").alias("source"), "terms", "formulas").join(given, "doc_id"))
