@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import arrow
 from quire.functions import kernels as k
 from quire.functions import text as t
+from quire.operators import rank
 
 
 def _dense(sents):
@@ -78,3 +79,16 @@ def test_kernels_see_few_rows_at_a_time(spark):
     df = spark.range(1000).coalesce(1).select(arrow.rowwise(lambda x: None if x % 7 == 0 else f"v{x}", "string")(F.col("id")).alias("y"), "id")
     assert all(r.y == (None if r.id % 7 == 0 else f"v{r.id}") for r in df.collect())
     assert df.sparkSession.range(0).select(arrow.rowwise(str, "string")(F.col("id"))).count() == 0
+
+
+def test_sentence_words_are_not_shuffled(spark):
+    text = "Alpha beta gamma delta. Alpha beta gamma zeta. Kappa lambda mu nu. "
+    d = spark.createDataFrame([(1, text), (2, None), (3, "Short one."), (4, text), (4, text + "Alpha omega psi chi."), (None, text)], "doc_id int, text string")
+    for made in (rank.sentence_tfidf(d), rank.similarity_edges(d)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 1 and "hashpartitioning(doc_id" in plan and "hashpartitioning(doc_id#" in plan.replace("token", "!") and "SortMergeJoin" not in plan
+    n = {r.doc_id: r.n for r in rank.sentence_tfidf(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n == {1: 12, 4: 28, None: 12}
+    edges = {(r.doc_id, r.i, r.j): r.w for r in rank.similarity_edges(d).collect()}
+    assert {x for x in edges if x[0] == 1} == {(1, 0, 1)} and not any(x[0] is None for x in edges)
+    assert edges[1, 0, 1] == pytest.approx(k.np.sum(k._shared_weights([k.Counter(k.content(s)) for s in k.sentences(text)])[2][:3] ** 2))
