@@ -92,3 +92,18 @@ def test_sentence_words_are_not_shuffled(spark):
     edges = {(r.doc_id, r.i, r.j): r.w for r in rank.similarity_edges(d).collect()}
     assert {x for x in edges if x[0] == 1} == {(1, 0, 1)} and not any(x[0] is None for x in edges)
     assert edges[1, 0, 1] == pytest.approx(k.np.sum(k._shared_weights([k.Counter(k.content(s)) for s in k.sentences(text)])[2][:3] ** 2))
+
+
+def test_sweep_joins_texts_once(spark):
+    from quire.operators import ml
+
+    seen = []
+
+    def model(rows, fits):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return rows.withColumn("fit", F.lit(0)).withColumn("pred", F.col("label"))
+
+    d = spark.createDataFrame([(i, "ab"[i % 2], "x y " * (i + 1)) for i in range(8)], "grp long, label string, text string")
+    got = ml.sweep(d, [5, 9], [0, 1], lambda text, size: F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size))), 2, model=model).collect()
+    assert seen[0].count("Join Inner") == 1  # a join for each size and seed before
+    assert [(r.n_docs, r.doc_accuracy) for r in got] == [(8, 1.0)]
