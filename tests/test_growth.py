@@ -107,3 +107,14 @@ def test_sweep_joins_texts_once(spark):
     got = ml.sweep(d, [5, 9], [0, 1], lambda text, size: F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size))), 2, model=model).collect()
     assert seen[0].count("Join Inner") == 1  # a join for each size and seed before
     assert [(r.n_docs, r.doc_accuracy) for r in got] == [(8, 1.0)]
+
+
+def test_terms_of_a_row_are_counted_there(spark, monkeypatch):
+    from quire.operators import sparse
+
+    plans, kept = [], sparse.checkpoint
+    monkeypatch.setattr(sparse, "checkpoint", lambda df: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), kept(df))[1])
+    rows = spark.createDataFrame([("a", "one two one two"), ("b", None)], "label string, text string")
+    data = sparse.Sparse(rows, [sparse.Fit("true", "true")], ["a", "b"])
+    assert "Exchange" not in next(p for c, p in plans if c == ["_id", "_t", "term", "tf"])
+    assert sorted((r.df, round(r.w, 4)) for r in data.entries.collect()) == [(1, 1.0), (1, 1.6931), (1, 1.6931), (1, 1.6931)]
