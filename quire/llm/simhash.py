@@ -246,7 +246,7 @@ def hash_set(text: bytes, k: int) -> np.ndarray:
 
 
 def short(h: np.ndarray) -> bytes:
-    """Ascending hashes by their upper six bytes: what travels of a set. Two texts' unequal shingles agree in these about
+    """Ascending hashes by their upper six bytes, a compact form of a set. Two texts' unequal shingles agree in these about
     once in 10^9 pairs of texts of 500 shingles."""
     return (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -342,6 +342,29 @@ def _likeliest(found: np.ndarray) -> np.ndarray:
     return found[np.append((x[1:] != x[:-1]) | (y[1:] != y[:-1]), True)[: len(found)]]
 
 
+def some_of(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 28) -> DataFrame:
+    """The rows whose ``key`` is one of ``keys``, and a few others: about one in 16 of them or fewer, up to 16 million keys.
+
+    Keys are places in a map of at most 2 ** ``most_bits`` bits (32 MB), which all tasks get, so rows need no shuffle. The
+    others go where the rows are joined.
+    """
+    bits = min(max(15, (16 * keys.count()).bit_length()), most_bits)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    # Both functions count places from one.
+    found = keys.groupBy(F.bitmap_bucket_number(place + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("map")).toArrow()
+    on = np.zeros((1 << bits) // 8, np.uint8)
+    for part, m in zip(found["part"].to_pylist(), found["map"].to_pylist(), strict=True):
+        on[(part - 1) * len(m) : part * len(m)] = np.frombuffer(m, np.uint8)
+    shared, columns = rows.sparkSession.sparkContext.broadcast(on), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            yield b.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select(columns)
+
+    return map_arrow(rows.withColumn("__place", place), run, rows.schema.simpleString()[len("struct<") : -1])
+
+
 def radius_of(similarity: float, bits: int) -> int:
     """The expected number of differing bits at that Jaccard similarity, and 2.5 deviations."""
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
@@ -374,7 +397,7 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
     whole = checkpoint(map_arrow(src, wide, "id long, raw binary, digest binary, fp binary, n int, prefix binary").withColumn("row", F.monotonically_increasing_id()))
     docs = checkpoint(whole.select("id", "raw", "digest"))
     # Equal shingle sets are one node from here on: the number of one of their rows.
-    nodes = checkpoint(whole.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.min("row").alias("node"), F.first("fp").alias("fp")))
+    nodes = checkpoint(whole.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("raw").alias("raw")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, high = 1 << np.arange(width, dtype=np.int64), 1 << np.arange(len(further), dtype=np.int64)
@@ -393,27 +416,29 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
                         a.append(node[lo + y]), b.append(node[lo + x]), d.append(apart)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], ["a", "b", "d"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [hash_set(t, k) for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in held], pa.binary()), pa.array(map(short, held), pa.binary())], ["digest", "shingles"])
-
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = unshort(x.as_buffer()), unshort(y.as_buffer())
+            for t, u in zip(utf8(b.column(2)), utf8(b.column(3)), strict=True):
+                if t != last:
+                    last, x = t, hash_set(t, k)
+                y = hash_set(u, k)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike, by their whole shingle sets."""
+        """The pairs that are alike, by their whole shingle sets. Texts travel, which are smaller than their sets: each once
+        to its digest and once for each of its pairs; those of no pair stay where they are."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        named = small(ends.join(nodes.select("node", "digest", "first"), "node"), 500_000)
-        texts = src.join(named.withColumnRenamed("first", "id").select("id"), "id", "left_semi")
-        of = map_arrow(texts, sets, "digest binary, shingles binary").join(named.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        both = pairs.join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        named = checkpoint(ends.join(nodes.select("node", "raw"), "node"))
+        text = F.coalesce("text", F.lit(""))
+        texts = some_of(src.select(F.unhex(F.md5(text.cast("binary"))).alias("raw"), text.alias("text")), named, "raw")
+        of = texts.groupBy("raw").agg(F.first("text").alias("text"))
+        raw_a, raw_b = (named.select(F.col("node").alias(c), F.col("raw").alias(f"raw_{c}")) for c in "ab")
+        both = pairs.join(raw_a, "a").join(raw_b, "b").join(of.select(F.col("raw").alias("raw_b"), F.col("text").alias("y")), "raw_b")
+        both = both.join(of.select(F.col("raw").alias("raw_a"), F.col("text").alias("x")), "raw_a")
         return checkpoint(map_arrow(both.select("a", "b", "x", "y"), alike, "a long, b long", rows=256))
 
     def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,17 +483,21 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, k: int, similarity:
     found = map_arrow(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node"), candidates, "a long, b long, d int", rows=4096)
     best = found.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, nearest).alias("x")).select(F.explode("x.a").alias("a"), "b")
     pairs = checkpoint(best.union(same))
+    release(df.sparkSession)
     roots = connected_components(links_of(pairs))
     grouped = checkpoint(nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     release(df.sparkSession)
 
     # Then, exactly, texts of different groups that share a hash of their prefixes.
-    of = small(grouped.select(F.col("node").alias("row"), "root"), 500_000)
-    spread = map_arrow(whole.select("row", "n", "prefix").join(of, "row").select("row", "n", "root", "prefix"), by_hash, "h long, node long, n int, root long, pos int")
-    mixed = small(spread.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), 500_000)
-    before = F.lag("h").over(Window.partitionBy("node").orderBy("pos"))
-    spread = checkpoint(spread.join(mixed, "h", "left_semi").withColumn("before", F.coalesce(before, "h")))
-    del whole, of, mixed
+    # Most rows are their own root; the others, and the rows that are no node (-1), are few.
+    roots = grouped.select(F.col("node").alias("row"), "root")
+    of = small(whole.select("row").join(roots, "row", "left").where("root is null or root <> row").select("row", F.coalesce("root", F.lit(-1)).alias("root")), 500_000)
+    rooted = whole.join(of, "row", "left").withColumn("root", F.coalesce("root", "row")).where("root >= 0").select("row", "n", "root", "prefix")
+    spread = map_arrow(rooted, by_hash, "h long, node long, n int, root long, pos int")
+    of_h, before = Window.partitionBy("h"), F.lag("h").over(Window.partitionBy("node").orderBy("pos"))
+    mixed = spread.withColumn("x", F.min("root").over(of_h)).withColumn("y", F.max("root").over(of_h)).where("x <> y").drop("x", "y")
+    spread = checkpoint(mixed.withColumn("before", F.coalesce(before, "h")))
+    del whole, of, rooted, mixed
     for likeliest in (True, False):
         release(df.sparkSession)
         ordered = spread.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "before", "node", "n", "root", "pos")

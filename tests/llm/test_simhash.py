@@ -270,3 +270,31 @@ def test_pairs_meet_once_where_their_prefixes_run_together():
     assert [len(list(sh.prefix_pairs(x, 0.8))) for x in runs] == [1, 0, 1]
     found = np.array([[1, 2, 5, 6, 10], [3, 4, 6, 5, 30], [5, 6, 7, 8, 1], [8, 9, 5, 6, 20]])
     assert sh._likeliest(found).tolist() == [[3, 4, 6, 5, 30], [5, 6, 7, 8, 1]] and sh._likeliest(found[:0]).shape == (0, 5)
+
+
+def test_some_of_loses_no_key(spark):
+    keys = spark.range(3000).selectExpr("unhex(md5(string(id))) as raw", "'clash' as text")
+    rows = spark.range(40_000).selectExpr("unhex(md5(string(id))) as raw", "string(id) as text")
+    for bits, most in ((28, 0.1), (15, 0.3)):
+        some = sh.some_of(rows, keys, "raw", bits)
+        assert some.columns == ["raw", "text"]
+        got = {int(r.text) for r in some.select("text").collect()}
+        assert set(range(3000)) <= got and len(got) - 3000 < most * 37_000
+    assert sh.some_of(rows, keys.limit(0), "raw").isEmpty() and sh.some_of(rows.limit(0), keys, "raw").isEmpty()
+
+
+def test_texts_without_a_likeness_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(sh, "small", lambda df, most: sh.checkpoint(df))  # as past the bounds of broadcasts
+    rnd = random.Random(4)
+    rows = [(i, " ".join("%0100x" % rnd.getrandbits(400) for _ in range(100))) for i in range(300)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:15]]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    got = {r.id: r.component_id for r in sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 if i >= 1000 else i for i, _ in rows}
+    assert written() - before < 0.8 * sum(len(t) for _, t in rows)
