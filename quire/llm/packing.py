@@ -10,9 +10,10 @@ pieces, and the last one is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from quire.llm.runtime import map_arrow, table
 
 END_ID = 1
+GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -33,6 +35,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+def _ranges(kind: str) -> str:
+    """What a ``regex`` class matches of U+0000 to U+FFFF, as ranges that ``re`` understands."""
+    import regex
+
+    every = [*range(0xD800), *range(0xE000, 0x10000)]
+    on = [ord(c) for c in regex.findall(kind, "".join(map(chr, every)))]
+    first = [c for c, before in zip(on, [-2, *on], strict=False) if c != before + 1]
+    last = [c for c, after in zip(on, [*on[1:], -2], strict=True) if c + 1 != after]
+    return "".join(rf"\u{a:04x}-\u{z:04x}" for a, z in zip(first, last, strict=True))
+
+
+def matcher(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of a split pattern in a text.
+
+    ``re`` takes less than half the time of ``regex`` but has no Unicode classes: in GPT-2's pattern they are written out,
+    as ``regex`` has them, for texts without signs past U+FFFF. Others, and other patterns, go through ``regex``.
+    """
+    import regex
+
+    whole = regex.compile(pattern).findall
+    if pattern != GPT2_PATTERN:
+        return whole
+    letter, number, space = map(_ranges, (r"\p{L}", r"\p{N}", r"\s"))
+    plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    past = re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: plain(text) if text.isascii() or not past(text) else whole(text)
+
+
 class CachedTokenizer:
     """Ids of a byte-level tokenizers file as little-endian uint32 bytes; each distinct match of its split pattern is encoded once.
 
@@ -41,13 +71,12 @@ class CachedTokenizer:
     """
 
     def __init__(self, path: str, pattern: str, limit: int = 500_000) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenize, self.letters = self.whole.model.tokenize, byte_letters()
-        self.find, self.limit, self.known = regex.compile(pattern).findall, limit, _Known(self)
+        self.find, self.limit, self.known = matcher(pattern), limit, _Known(self)
 
     def one(self, piece: str) -> bytes:
         return self._bytes([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import regex
 from tokenizers import Tokenizer
 
 from quire.llm import chat, packing
@@ -156,3 +157,14 @@ def test_cached_ids_are_those_of_whole_texts():
     for _ in range(3000):
         text = "".join(rnd.choice(signs) for _ in range(rnd.randrange(12)))
         assert np.frombuffer(cached.ids(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_matches_are_those_of_the_split_pattern():
+    assert packing.GPT2_PATTERN == P.PATTERN
+    find, want = packing.matcher(P.PATTERN), regex.compile(P.PATTERN).findall
+    every = "".join(chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000)
+    rnd = random.Random(3)
+    texts = ["", " ", "a  b \n", "x\x1cy \x85z\u00a0 ", "it's 'S 'll", "𝒜b 𝟙  \U0001f600 c", every, every[:0x10000 - 0x800]]
+    texts += ["".join(rnd.choice(" \n\t\x1c\x85\u00a0\u2003'sdrel9½a_-.é\u0301ß中𝒜\u200b" + rnd.choice(every)) for _ in range(rnd.randrange(1, 12))) for _ in range(20_000)]
+    assert all(find(t) == want(t) for t in texts)
+    assert packing.matcher(r"\p{Lu}|.")("aB") == ["a", "B"]
