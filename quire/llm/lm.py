@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.runtime import checkpoint, crc_mod, map_arrow, table, utf8
@@ -274,19 +274,23 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]
     All words come from the lowest count on, in steps of an eighth of a doubling, that stays within the bound; of the
     step that passes it, words are drawn by hash.
     """
-    step = F.floor(8 * F.log2("c")).cast("int")
-    words = counts.where(F.length("word") > 0)
-    wanted, room = F.lit(False), most
-    for s, n in sorted(words.groupBy(step.alias("s")).count().toLocalIterator(), reverse=True):
+    words = counts.where(F.length("word") > 0).withColumn("s", F.floor(8 * F.log2("c")).cast("int"))
+    wanted = _wanted([(r["s"], r["count"]) for r in words.groupBy("s").count().toLocalIterator()], most)
+    rows = words.where(wanted).select("word", "c").toArrow()
+    both = sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))[:most]
+    return [w for w, _ in both], [c for _, c in both]
+
+
+def _wanted(steps: list[tuple[int, int]], most: int) -> Column:
+    """Whether a word of step ``s`` is taken, from the steps' numbers of words. Each row is compared once, not with every step."""
+    room = most
+    for s, n in sorted(steps, reverse=True):
         if n > room:  # two deviations fewer than there is room for
             share = max(0.0, (room - 4 * math.sqrt(room)) / n)
-            wanted |= (step == s) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))
-            break
+            drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+            return (F.col("s") > s) | ((F.col("s") == s) & drawn)
         room -= n
-        wanted |= step == s
-    rows = words.where(wanted).toArrow()
-    both = sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))[:most]
-    return [w for w, _ in both], [c for _, c in both]
+    return F.lit(True)
 
 
 def classes_for(tokens: int) -> int:

@@ -173,3 +173,12 @@ def test_ties_do_not_empty_the_table(spark):
 
 def test_classes_grow_with_the_tokens():
     assert [lm.classes_for(n) for n in (0, 300_000, 3_300_000, 23_000_000, 10**12)] == [8, 16, 64, 128, lm.MOST_CLASSES]
+
+
+def test_a_word_is_compared_with_one_step(spark):
+    steps = [(s, 10) for s in range(200)]
+    assert str(lm._wanted(steps, 995)).count("(s, ") == 2  # one comparison for each of the hundred steps before
+    words = spark.createDataFrame([(b"%d.%d" % s, s[0]) for s in ((i, j) for i in range(200) for j in range(10))], "word binary, s int")
+    got = Counter(r.s for r in words.where(lm._wanted(steps, 995)).collect())
+    assert all(got[s] == 10 for s in range(101, 200)) and max(got) == 199 and got[100] <= 5 and not any(got[s] for s in range(100))
+    assert words.where(lm._wanted(steps, 2000)).count() == 2000
