@@ -56,6 +56,32 @@ def test_textrank_needs_no_matrix_of_pairs():
     assert peak < 25e6  # the pairs alone were 32 MB, and their words 60 MB
 
 
+def _late(n=2100):
+    """A long text whose only sentences that are like others come last."""
+    word = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(n)]
+    return " ".join(f"Q{w}a q{w}b q{w}c q{w}d." for w in word) + " Weather report says rain. Weather report says snow. Weather report says hail."
+
+
+def test_textrank_ranks_every_sentence(spark):
+    assert k.textrank(_late(), 3) == [2100, 2101, 2102]
+    assert k.summary(_late(), 3) == "Weather report says rain. Weather report says snow. Weather report says hail."
+    docs = spark.createDataFrame([(1, _late(), ["hail"])], "doc_id long, text string, terms array<string>")
+    assert [r.pos for r in rank.textrank(docs, 3).collect()] == [2100, 2101, 2102]
+    assert [r.pos for r in rank.textrank(docs, 1, "terms").collect()] == [2102]
+
+
+def test_whole_runs_summarize_whole_texts(spark):
+    from quire.operators import domain
+    from quire.plans import pipeline
+
+    lex = domain.lexicon(spark, {"D": ["weather"]})
+    text = _late() + " Weather report says wind."
+    files = spark.createDataFrame([(1, [text])], "doc_id long, paragraphs array<string>")
+    assert "Weather report says rain." in pipeline.summarize(files, lex).first().baseline
+    cases = spark.createDataFrame([("a", [_late()], "Weather report says rain. Weather report says snow. Weather report says hail.")], "stem string, paragraphs array<string>, reference string")
+    assert {r.rouge1 for r in pipeline.benchmark(cases, lex)[0].collect()} == {1.0}
+
+
 def test_term_hits_odd_letters(spark):
     terms = ["AI", "straße", "ſet", "a b", "µm", "naıve", "ci/cd", "K"]
     sents = ["ai Ai aI.", "STRASSE Straße STRAßE", "set SET ſet", "A b a b", "μm µM", "NAIVE naıve", "CI/CD, ci/cdx", "K k", "aib"]
