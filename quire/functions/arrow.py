@@ -67,7 +67,6 @@ def _three(f):
 
 
 _NFC = rowwise(k.nfc, "string")
-_NFC_ALL = rowwise(lambda texts: texts and [k.nfc(x) for x in texts], "array<string>")
 _COMBINES = r"\p{M}|[ᄀ-ᇿ]|[ΩKÅ]"
 
 
@@ -78,14 +77,7 @@ def normalize(text: Column) -> Column:
     return t.squeeze(F.when(text.rlike(_COMBINES), _NFC(text)).otherwise(text))
 
 
-def normalize_all(texts: Column) -> Column:
-    """``normalize`` of each text of an array."""
-    from quire.functions import text as t
-
-    odd = F.exists(texts, lambda x: F.coalesce(x, F.lit("")).rlike(_COMBINES))
-    return F.transform(F.when(odd, _NFC_ALL(texts)).otherwise(texts), t.squeeze)
-
-
+normalize_all = rowwise(k.normalized, "array<string>")  # ``normalize`` of each text of an array
 slug = rowwise(k.slug, "string")
 html_text = rowwise(k.html_text, "string")
 article_text = rowwise(k.article_text, "string")
@@ -134,6 +126,12 @@ def summary(text: Column, n: int = 5, terms: Column | None = None, boost: float
     return rowwise(lambda t, x: k.summary(t, n, x, boost), "string")(text, F.array().cast("array<string>") if terms is None else terms)
 
 
+def summaries(text: Column, n: int, terms: Column) -> Column:
+    """struct(plain, terms): the summary without and with ``terms``, of one ranking."""
+    return rowwise(lambda t, x: dict(zip(("plain", "terms"), k.summaries(t, n, (None, x)), strict=True)), "struct<plain:string,terms:string>")(text, terms)
+
+
+text_grounding = rowwise(lambda claims, text: k.text_grounding(claims or [], text), "array<double>")
 grounding = rowwise(lambda claims, source: k.grounding(claims or [], source or []), "array<double>")
 _pairs = lambda a: [(p["abbr"], p["long"]) for p in a or []]
 conflicts = rowwise(lambda a, b: [dict(zip(("abbr", "source", "summary"), x, strict=True)) for x in k.conflicts(_pairs(a), _pairs(b))], "array<struct<abbr:string,source:string,summary:string>>")

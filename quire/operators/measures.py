@@ -55,7 +55,7 @@ def validate(pairs: DataFrame, threshold: float = 0.12, keep: tuple[str, ...] =
     """A validation report for each row of ``pairs``: doc_id, summary, source, abbreviations (of the source); ``keep`` names
     columns that stay."""
     s, src = F.col("summary"), F.col("source")
-    sents, source_sents = t.sentences(s), t.sentences(src)
+    sents = t.sentences(s)
     none = F.array().cast("array<string>")
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = pairs.select(
@@ -65,10 +65,9 @@ def validate(pairs: DataFrame, threshold: float = 0.12, keep: tuple[str, ...] =
         F.coalesce(unit_preservation(s, src)["unsupported"], none).alias("unsupported_units"),
         arrow.conflicts(arrow.abbreviations(s), F.col("abbreviations")).alias("abbreviation_conflicts"),
         sents.alias("_s"),
-        (F.size(source_sents) > 0).alias("_source"),
-        arrow.grounding(sents, source_sents).alias("_g"),
+        arrow.text_grounding(sents, src).alias("_g"),
     )
-    scored = F.when((F.size("_s") > 0) & F.col("_source"), F.arrays_zip(F.col("_s").alias("sentence"), F.col("_g").alias("score")))
+    scored = F.when((F.size("_s") > 0) & F.col("_g").isNotNull(), F.arrays_zip(F.col("_s").alias("sentence"), F.col("_g").alias("score")))
     low = F.transform(F.filter(scored, lambda x: x["score"] < threshold), lambda x: F.struct(x["sentence"].alias("sentence"), F.round(x["score"], 3).alias("score")))
     rows = rows.withColumn("ungrounded_sentences", F.coalesce(low, F.array().cast("array<struct<sentence:string,score:double>>")))
     mean = F.when(scored.isNotNull(), F.aggregate("_g", F.lit(0.0), lambda a, x: a + x) / F.size("_g"))

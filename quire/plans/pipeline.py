@@ -37,9 +37,9 @@ def summarize(files: DataFrame, lex: DataFrame, make_call: Callable[[], models.C
     docs = normalized(files).withColumn("text", F.array_join("paragraphs", " "))
     n = QUICK if detail == "quick" else DETAIL
     rows = analyze(docs, lex)
-    rows = rows.withColumns({"baseline": arrow.summary(F.col("text"), n), "baseline_terms": arrow.summary(F.col("text"), n, F.col("terms")), "_scores": domain.scores_in(F.col("text"), lex)})
+    rows = rows.withColumns({"_both": arrow.summaries(F.col("text"), n, F.col("terms")), "_scores": domain.scores_in(F.col("text"), lex)})
     name, confidence = domain.best_of(F.col("_scores"), F.col("text"))
-    rows = rows.withColumns({"domain": name, "confidence": confidence}).drop("_scores")
+    rows = rows.withColumns({"baseline": F.col("_both")["plain"], "baseline_terms": F.col("_both")["terms"], "domain": name, "confidence": confidence}).drop("_scores", "_both")
     rows = rows.withColumn("guide", t.glossary_guide(F.col("terms"), F.col("abbreviations"), F.col("formulas")))
     if make_call is None:
         rows = rows.withColumn("summary", F.col("baseline_terms")).withColumn("plan", F.lit(None).cast("string"))
@@ -84,8 +84,9 @@ def benchmark(cases: DataFrame, lex: DataFrame, n: int = 3, extra: DataFrame | N
     """
     docs = normalized(cases.select(F.col("stem").alias("doc_id"), "paragraphs")).withColumn("text", F.array_join("paragraphs", " "))
     rows = analyze(docs, lex)
-    made = rows.withColumns({"_plain": arrow.summary(F.col("text"), n), "_terms": arrow.summary(F.col("text"), n, F.col("terms"))})
-    methods = made.select("doc_id", F.col("text").alias("source"), "terms", "formulas", F.explode(F.create_map(F.lit("TextRank"), "_plain", F.lit("TextRank + terms"), "_terms")).alias("method", "summary"))
+    made = rows.withColumn("_both", arrow.summaries(F.col("text"), n, F.col("terms")))
+    both = F.create_map(F.lit("TextRank"), F.col("_both")["plain"], F.lit("TextRank + terms"), F.col("_both")["terms"])
+    methods = made.select("doc_id", F.col("text").alias("source"), "terms", "formulas", F.explode(both).alias("method", "summary"))
     if extra is not None:
         given = extra.select("doc_id", "method", F.array_join(F.slice(t.sentences(F.col("summary")), 1, n), " ").alias("summary"))
         methods = methods.unionByName(rows.select("doc_id", F.col("text").alias("source"), "terms", "formulas").join(given, "doc_id"))

@@ -144,3 +144,30 @@ def test_terms_of_a_row_are_counted_there(spark, monkeypatch):
     data = sparse.Sparse(rows, [sparse.Fit("true", "true")], ["a", "b"])
     assert "Exchange" not in next(p for c, p in plans if c == ["_id", "_t", "term", "tf"])
     assert sorted((r.df, round(r.w, 4)) for r in data.entries.collect()) == [(1, 1.0), (1, 1.6931), (1, 1.6931), (1, 1.6931)]
+
+
+def test_both_summaries_are_of_one_ranking(monkeypatch):
+    calls, scores = [], k.sentence_scores
+    monkeypatch.setattr(k, "sentence_scores", lambda sents: calls.append(1) or scores(sents))
+    text = " ".join(_many(40))
+    got = k.summaries(text, 3, (None, ["w7", "w9"]))
+    assert len(calls) == 1 and got == [k.summary(text, 3), k.summary(text, 3, ["w7", "w9"])]
+    assert k.summaries(" x ", 3, (None, [])) == ["x", "x"]
+
+
+def test_a_source_is_laid_out_once_for_its_summaries():
+    text, other = " ".join(_many(40)), "Alpha beta gamma delta. Alpha beta gamma zeta."
+    claims = ["w1 w2 w3 w4 strange.", "", "the of and to.", k.sentences(text)[5]]
+    before = k._text_windows.cache_info().misses
+    assert k.text_grounding(claims, text) == k.text_grounding(claims, text) == k.grounding(claims, k.sentences(text))
+    assert k._text_windows.cache_info().misses == before + 1
+    assert k.text_grounding(["alpha beta."], other) == k.grounding(["alpha beta."], k.sentences(other)) != [1.0]
+    assert k.text_grounding(["a b"], "short") is None and k.text_grounding(["a b"], None) is None and k.grounding(["a b"], []) == [0.0]
+
+
+def test_paragraphs_are_normalised_in_one_kernel(spark):
+    odd = ["é  a\tb ", None, "a\n\n\n\nb\x00\x1c", " x ", "가", "", "Å", "豈", " \x1f ", "İ \u0085"]
+    rows = spark.createDataFrame([(odd,), (["豈", " plain "],), ([],), (None,), ([None],)], "p array<string>")
+    one = rows.select(F.col("p"), arrow.normalize_all(F.col("p")).alias("n")).collect()
+    nfc = spark.createDataFrame([([k.nfc(x) for x in odd],)], "p array<string>").select(F.transform("p", t.squeeze)).first()[0]
+    assert [r.n for r in one] == [nfc, ["豈", "plain"], [], None, [""]]
